@@ -1,0 +1 @@
+"""Empty on purpose: every supported job is a batch job, so there is no stream to offer."""
