@@ -41,39 +41,60 @@ CONE_AF = SEMI_MAJOR_M * _cone_m(_P1) / (CONE_N * _cone_t(_P1) ** CONE_N)
 CONE_RHO0 = CONE_AF * _cone_t(math.radians(ORIGIN_LAT)) ** CONE_N
 
 
-def to_metric(lon: Column, lat: Column) -> tuple[Column, Column]:
+def _number(value: float) -> str:
+    return f"({value!r}D)"
+
+
+def metric_text(lon: str, lat: str) -> tuple[str, str]:
+    """SQL text of metric x and y; the formulas take SQL text so that each is parsed in one go."""
+    phi = f"radians({lat})"
+    s = f"({_number(ECCENTRICITY)} * sin({phi}))"
+    t = f"tan(pi() / 4 - {phi} / 2) / power((1 - {s}) / (1 + {s}), {_number(ECCENTRICITY / 2)})"
+    rho = f"({_number(CONE_AF)} * power({t}, {_number(CONE_N)}))"
+    theta = f"({_number(CONE_N)} * radians({lon} - {_number(ORIGIN_LON)}))"
+    return (
+        f"{_number(FALSE_EASTING)} + {rho} * sin({theta})",
+        f"{_number(FALSE_NORTHING + CONE_RHO0)} - {rho} * cos({theta})",
+    )
+
+
+def to_metric(lon: str, lat: str) -> tuple[Column, Column]:
     """Longitude and latitude in degrees to metres (conformal conic, EPSG:3347)."""
-    phi = F.radians(lat)
-    s = F.sin(phi) * ECCENTRICITY
-    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(ECCENTRICITY / 2))
-    rho = F.pow(t, F.lit(CONE_N)) * CONE_AF
-    theta = F.radians(lon - ORIGIN_LON) * CONE_N
-    return rho * F.sin(theta) + FALSE_EASTING, F.lit(FALSE_NORTHING + CONE_RHO0) - rho * F.cos(theta)
-
-
-def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
-    """Metres back to longitude and latitude."""
-    dx = x - FALSE_EASTING
-    dy = F.lit(FALSE_NORTHING + CONE_RHO0) - y
-    t = F.pow(F.sqrt(dx * dx + dy * dy) / CONE_AF, F.lit(1.0 / CONE_N))
-    phi = F.lit(math.pi / 2) - F.atan(t) * 2
-    # Latitude from the conformal one, by the closed series in e^2 (to e^10).
-    for coefficient, multiple in _SERIES:
-        phi = phi + F.sin((F.lit(math.pi / 2) - F.atan(t) * 2) * multiple) * coefficient
-    return F.degrees(F.atan2(dx, dy) / CONE_N) + ORIGIN_LON, F.degrees(phi)
-
-
-_E2 = ECCENTRICITY**2
-# Published series for geodetic latitude from conformal latitude (fixed values):
-# (coefficient, multiple of the conformal latitude).
-_SERIES = (
-    (_E2 / 2 + 5 * _E2**2 / 24 + _E2**3 / 12 + 13 * _E2**4 / 360, 2),
-    (7 * _E2**2 / 48 + 29 * _E2**3 / 240 + 811 * _E2**4 / 11520, 4),
-    (7 * _E2**3 / 120 + 81 * _E2**4 / 1120, 6),
-    (4279 * _E2**4 / 161280, 8),
+    x, y = metric_text(lon, lat)
+    return F.expr(x), F.expr(y)
+
+
+def to_polar(x: str, y: str) -> tuple[Column, Column]:
+    """Metres to (angle, half conformal colatitude), the costly half of ``to_degrees``."""
+    dx, dy = f"({x} - {_number(FALSE_EASTING)})", f"({_number(FALSE_NORTHING + CONE_RHO0)} - ({y}))"
+    reach = f"sqrt({dx} * {dx} + {dy} * {dy}) / {_number(CONE_AF)}"
+    return F.expr(f"atan2({dx}, {dy})"), F.expr(f"atan(power({reach}, {_number(1.0 / CONE_N)}))")
+
+
+_N = _FLATTENING / (2.0 - _FLATTENING)
+# Published series in the third flattening for geodetic from conformal latitude:
+# coefficients of sin 2, 4, 6, 8 and 10 times the latitude (fixed values).
+LATITUDE_SERIES = (
+    2 * _N - 2 / 3 * _N**2 - 2 * _N**3 + 116 / 45 * _N**4 + 26 / 45 * _N**5,
+    7 / 3 * _N**2 - 8 / 5 * _N**3 - 227 / 45 * _N**4 + 2704 / 315 * _N**5,
+    56 / 15 * _N**3 - 136 / 35 * _N**4 - 1262 / 105 * _N**5,
+    4279 / 630 * _N**4 - 332 / 35 * _N**5,
+    4174 / 315 * _N**5,
 )
 
 
+def polar_degrees(angle: str, half: str) -> tuple[Column, Column]:
+    """Longitude and latitude of a polar pair; pass column names, since ``half`` is used five times."""
+    s, c = f"sin(4 * {half})", f"cos(4 * {half})"
+    a1, a2, a3, a4, a5 = LATITUDE_SERIES
+    # sin 2k of the conformal latitude, written in powers of c.
+    powers = (a1 - a3 + a5, 2 * a2 - 4 * a4, 4 * a3 - 12 * a5, 8 * a4, 16 * a5)
+    p0, p1, p2, p3, p4 = (_number(v) for v in powers)
+    bend = f"({p0} - {c} * ({p1} - {c} * ({p2} - {c} * ({p3} - {c} * {p4}))))"
+    phi = f"pi() / 2 - 2 * {half} + {s} * {bend}"
+    return F.expr(f"degrees({angle} / {_number(CONE_N)}) + {_number(ORIGIN_LON)}"), F.expr(f"degrees({phi})")
+
+
 def edge_km(resolution: int) -> float:
     """Mean hexagon edge length of a resolution in kilometres."""
     if not 0 <= resolution <= 15:
@@ -85,18 +106,21 @@ def edge_m(resolution: int) -> float:
     return edge_km(resolution) * 1000.0
 
 
-def axial(x: Column, y: Column, resolution: int) -> tuple[Column, Column]:
-    """Lattice coordinates of the cell that holds a metric point (pointy-top, cube rounding)."""
-    a = edge_m(resolution)
-    q = (x * (SQRT3 / 3) - y / 3) / a
-    r = y * (2.0 / 3) / a
-    s = -q - r
-    rq, rr, rs = (F.floor(v + 0.5) for v in (q, r, s))
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    q_worst = (dq > dr) & (dq > ds)
+def axial(x: str, y: str, resolution: int) -> tuple[Column, Column]:
+    """Lattice coordinates of the cell that holds a metric point (pointy-top, cube rounding).
+
+    Pass column names: the coordinates are used many times.
+    """
+    a = _number(edge_m(resolution))
+    q = f"(({x}) * {_number(SQRT3 / 3)} - ({y}) / 3) / {a}"
+    r = f"({y}) * {_number(2.0 / 3)} / {a}"
+    cube = (q, r, f"(- ({q}) - ({r}))")
+    rq, rr, rs = (f"floor({v} + 0.5D)" for v in cube)
+    dq, dr, ds = (f"abs({near} - ({v}))" for near, v in zip((rq, rr, rs), cube, strict=True))
+    q_worst = f"({dq} > {dr} AND {dq} > {ds})"
     return (
-        F.when(q_worst, -rr - rs).otherwise(rq),
-        F.when(~q_worst & (dr > ds), -rq - rs).otherwise(rr),
+        F.expr(f"CASE WHEN {q_worst} THEN - {rr} - {rs} ELSE {rq} END"),
+        F.expr(f"CASE WHEN NOT {q_worst} AND {dr} > {ds} THEN - {rq} - {rs} ELSE {rr} END"),
     )
 
 
@@ -121,16 +145,10 @@ def is_cell(cell: Column, resolution: int) -> Column:
     return F.coalesce(cell_parts(cell)[0] == resolution, F.lit(False))
 
 
-def point_cell(lon: Column, lat: Column, resolution: int) -> Column:
-    """Cell id of a point; null outside the world range."""
-    q, r = axial(*to_metric(lon, lat), resolution)
-    return F.when(in_world(lon, lat), cell_id(q, r, resolution))
-
-
-def centre(q: Column, r: Column, resolution: int) -> tuple[Column, Column]:
+def centre(q: str, r: str, resolution: int) -> tuple[Column, Column]:
     """Metric centre of a cell."""
     a = edge_m(resolution)
-    return (q + r / 2) * (a * SQRT3), r * (a * 1.5)
+    return F.expr(f"({q} + {r} / 2) * {_number(a * SQRT3)}"), F.expr(f"{r} * {_number(a * 1.5)}")
 
 
 def corner_offsets(resolution: int) -> list[tuple[float, float]]:
@@ -146,17 +164,17 @@ def corner_offsets(resolution: int) -> list[tuple[float, float]]:
 DISK = ((0, 0), (1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
 
 
-def hexagon_share(px: Column, py: Column, vx: Column, vy: Column,
-                  cx: Column, cy: Column, resolution: int) -> Column:
+def hexagon_share(resolution: int, px: str = "px", py: str = "py", vx: str = "vx", vy: str = "vy",
+                  cx: str = "cx", cy: str = "cy") -> Column:
     """Share of the segment p + t*v, 0 <= t <= 1, that lies in the hexagon about c."""
-    apothem = edge_m(resolution) * SQRT3 / 2
-    low, high, missed = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    apothem = _number(edge_m(resolution) * SQRT3 / 2)
+    low, high, missed = ["0D"], ["1D"], []
     for k in range(6):
-        nx, ny = math.cos(math.radians(60 * k)), math.sin(math.radians(60 * k))
-        room = F.lit(apothem) - ((px - cx) * nx + (py - cy) * ny)
-        rate = vx * nx + vy * ny
-        high.append(F.when(rate > 0, room / rate).otherwise(F.lit(1.0)))
-        low.append(F.when(rate < 0, room / rate).otherwise(F.lit(0.0)))
-        missed = missed | ((rate == 0) & (room < 0))
-    share = F.least(*high) - F.greatest(*low)
-    return F.when(missed, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), share))
+        nx, ny = _number(math.cos(math.radians(60 * k))), _number(math.sin(math.radians(60 * k)))
+        room = f"({apothem} - (({px} - {cx}) * {nx} + ({py} - {cy}) * {ny}))"
+        rate = f"({vx} * {nx} + {vy} * {ny})"
+        high.append(f"CASE WHEN {rate} > 0 THEN {room} / {rate} ELSE 1D END")
+        low.append(f"CASE WHEN {rate} < 0 THEN {room} / {rate} ELSE 0D END")
+        missed.append(f"({rate} = 0 AND {room} < 0)")
+    share = f"greatest(0D, least({', '.join(high)}) - greatest({', '.join(low)}))"
+    return F.expr(f"CASE WHEN {' OR '.join(missed)} THEN 0D ELSE {share} END")

@@ -14,7 +14,7 @@ from cellweft.operators.keys import first_per_key
 from cellweft.operators.lattice import with_cell
 from cellweft.operators.ranked import first_n
 
-ARRIVAL = ("arrival_file", "arrival_position")
+ARRIVAL = ("arrival_page", "arrival_file", "arrival_position")
 
 
 def in_extent(lon: Column, lat: Column, extent: tuple[float, float, float, float] = EXTENT) -> Column:

@@ -19,9 +19,9 @@ CELL_BIN_DEGREES = 0.05
 def with_axial(df: DataFrame, lon: str = "lon", lat: str = "lat",
                resolution: int = DEFAULT_RESOLUTION) -> DataFrame:
     """Add the lattice coordinates ``q`` and ``r`` of each point."""
-    x, y = geo.to_metric(F.col(lon), F.col(lat))
+    x, y = geo.to_metric(lon, lat)
     placed = df.withColumns({"_x": x, "_y": y})
-    q, r = geo.axial(F.col("_x"), F.col("_y"), resolution)
+    q, r = geo.axial("_x", "_y", resolution)
     return placed.withColumns({"q": q, "r": r}).drop("_x", "_y")
 
 
@@ -35,21 +35,25 @@ def with_cell(df: DataFrame, lon: str = "lon", lat: str = "lat",
 
 def with_ring(df: DataFrame, resolution: int = DEFAULT_RESOLUTION) -> DataFrame:
     """Add centroid, corner ring and box in degrees to rows that have ``q`` and ``r``."""
-    cx, cy = geo.centre(F.col("q"), F.col("r"), resolution)
+    cx, cy = geo.centre("q", "r", resolution)
     placed = df.withColumns({"_cx": cx, "_cy": cy})
-    lon, lat = geo.to_degrees(F.col("_cx"), F.col("_cy"))
-    columns = {"centroid_lon": lon, "centroid_lat": lat}
-    for k, (ox, oy) in enumerate(geo.corner_offsets(resolution)):
-        columns[f"_lon{k}"], columns[f"_lat{k}"] = geo.to_degrees(F.col("_cx") + ox, F.col("_cy") + oy)
-    placed = placed.withColumns(columns)
-    corners = [F.struct(F.col(f"_lon{k}").alias("lon"), F.col(f"_lat{k}").alias("lat")) for k in range(6)]
-    lons, lats = ([F.col(f"_{axis}{k}") for k in range(6)] for axis in ("lon", "lat"))
-    placed = placed.withColumns({
-        "geometry": F.array(*corners, corners[0]),
-        "lon_min": F.least(*lons), "lat_min": F.least(*lats),
-        "lon_max": F.greatest(*lons), "lat_max": F.greatest(*lats),
-    })
-    return placed.drop("_cx", "_cy", *[f"_{axis}{k}" for k in range(6) for axis in ("lon", "lat")])
+    spots = [(0.0, 0.0), *geo.corner_offsets(resolution)]
+    polar, degrees = {}, {}
+    for k, (ox, oy) in enumerate(spots):
+        polar[f"_angle{k}"], polar[f"_half{k}"] = geo.to_polar(f"(_cx + {ox!r}D)", f"(_cy + {oy!r}D)")
+        degrees[f"_lon{k}"], degrees[f"_lat{k}"] = geo.polar_degrees(f"_angle{k}", f"_half{k}")
+    placed = placed.withColumns(polar).select(*df.columns, *[c.alias(n) for n, c in degrees.items()])
+    corners = [F.struct(F.col(f"_lon{k}").alias("lon"), F.col(f"_lat{k}").alias("lat")) for k in range(1, 7)]
+    lons, lats = ([F.col(f"_{axis}{k}") for k in range(1, 7)] for axis in ("lon", "lat"))
+    cell = F.struct(
+        F.col("_lon0").alias("centroid_lon"), F.col("_lat0").alias("centroid_lat"),
+        F.array(*corners, corners[0]).alias("geometry"),
+        F.least(*lons).alias("lon_min"), F.least(*lats).alias("lat_min"),
+        F.greatest(*lons).alias("lon_max"), F.greatest(*lats).alias("lat_max"),
+    )
+    # A generator, so that later tests on these columns are not pushed below (and copied
+    # into) the trigonometry above.
+    return placed.select(*df.columns, F.inline(F.array(cell)))
 
 
 GRID_COLUMNS = ("cell_id", "resolution", "centroid_lat", "centroid_lon", "geometry",
@@ -75,24 +79,22 @@ def cell_neighbors(cells: DataFrame, cell: str = "cell_id", resolution: int = DE
     return rows.select("cell_id", near.alias("neighbor_id"))
 
 
-def ring_meets_box(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+def ring_meets_box(ring: str, box: tuple[str, str, str, str]) -> Column:
     """Exact test that a convex closed ring and a box share a point (separating axes).
 
-    The box axes are left to the caller's box test; this tests the axis of each ring edge.
+    The box axes are left to the caller's box test; this tests the axis of each ring edge:
+    an edge separates when the whole box lies beyond its line, seen from the ring's middle.
     """
-    edges = F.size(ring) - 1
-    middle_x = (F.element_at(ring, 1)["lon"] + F.element_at(ring, 4)["lon"]) / 2
-    middle_y = (F.element_at(ring, 1)["lat"] + F.element_at(ring, 4)["lat"]) / 2
-
-    def separates(i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
-        nx, ny = b["lat"] - a["lat"], a["lon"] - b["lon"]
-        inner = nx * (middle_x - a["lon"]) + ny * (middle_y - a["lat"])
-        sign = F.when(inner > 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        nearest = F.least(nx * sign * west, nx * sign * east) + F.least(ny * sign * south, ny * sign * north)
-        return nearest > sign * (nx * a["lon"] + ny * a["lat"])
-
-    return ~F.exists(F.sequence(F.lit(1), edges), separates)
+    west, south, east, north = box
+    middle = f"aggregate({ring}, 0D, (s, p) -> s + p.%s) / size({ring})"
+    return F.expr(f"""NOT exists(
+      transform(sequence(1, size({ring}) - 1), i -> struct(
+        {ring}[i - 1].lon AS ax, {ring}[i - 1].lat AS ay,
+        {ring}[i].lat - {ring}[i - 1].lat AS nx, {ring}[i - 1].lon - {ring}[i].lon AS ny,
+        {middle % 'lon'} AS mx, {middle % 'lat'} AS my)),
+      g -> CASE WHEN g.nx * (g.mx - g.ax) + g.ny * (g.my - g.ay) > 0
+        THEN greatest(g.nx * {west}, g.nx * {east}) + greatest(g.ny * {south}, g.ny * {north}) < g.nx * g.ax + g.ny * g.ay
+        ELSE least(g.nx * {west}, g.nx * {east}) + least(g.ny * {south}, g.ny * {north}) > g.nx * g.ax + g.ny * g.ay END)""")
 
 
 def grid_fill(boxes: DataFrame, box: tuple[str, str, str, str] = ("west", "south", "east", "north"),
@@ -120,9 +122,9 @@ def cells_of_boxes(boxes: DataFrame, box: tuple[str, str, str, str] = ("west", "
     step_x, step_y = a * geo.SQRT3, a * 1.5
     # A box's metric extremes lie on its corners or where its south side crosses the
     # central meridian.
-    lowest = F.least(F.greatest(west, F.lit(ORIGIN_LON)), east)
-    marks = [geo.to_metric(lon, lat) for lon, lat in (
-        (west, south), (west, north), (east, south), (east, north), (lowest, south))]
+    w, s, e, n = box
+    lowest = f"least(greatest({w}, {ORIGIN_LON!r}D), {e})"
+    marks = [geo.to_metric(lon, lat) for lon, lat in ((w, s), (w, n), (e, s), (e, n), (lowest, s))]
     placed = boxes.withColumns({f"_{axis}{k}": mark[i] for k, mark in enumerate(marks)
                                 for i, axis in enumerate("xy")})
     xs, ys = ([F.col(f"_{axis}{k}") for k in range(5)] for axis in "xy")
@@ -141,7 +143,7 @@ def cells_of_boxes(boxes: DataFrame, box: tuple[str, str, str, str] = ("west", "
         (F.col("lon_min") <= east) & (F.col("lon_max") >= west)
         & (F.col("lat_min") <= north) & (F.col("lat_max") >= south)
     )
-    exact = ring_meets_box(F.col("geometry"), west, south, east, north)
+    exact = ring_meets_box("geometry", box)
     return cells.filter(meets).filter(exact).select(*boxes.columns, "q", "r")
 
 

@@ -28,28 +28,16 @@ def points_in_cells(points: DataFrame, lon: str = "lon", lat: str = "lat",
     return with_cell(points, lon, lat, resolution).filter(F.col("cell_id").isNotNull())
 
 
-def ring_holds_point(ring: Column, lon: Column, lat: Column) -> Column:
+def ring_holds_point(ring: str, lon: str, lat: str) -> Column:
     """True strictly inside a closed ring (crossing count); the boundary is outside."""
-    edges = F.sequence(F.lit(1), F.size(ring) - 1)
-
-    def ends(i: Column):
-        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
-        return a["lon"], a["lat"], b["lon"], b["lat"]
-
-    def crosses(i: Column) -> Column:
-        ax, ay, bx, by = ends(i)
-        at = ax + (lat - ay) * (bx - ax) / (by - ay)
-        return F.when((ay > lat) != (by > lat), lon < at).otherwise(F.lit(False))
-
-    def touches(i: Column) -> Column:
-        ax, ay, bx, by = ends(i)
-        on_line = (bx - ax) * (lat - ay) == (by - ay) * (lon - ax)
-        return on_line & lon.between(F.least(ax, bx), F.greatest(ax, bx)) & lat.between(
-            F.least(ay, by), F.greatest(ay, by)
-        )
-
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+    edges = f"""transform(sequence(1, size({ring}) - 1), i -> struct({ring}[i - 1].lon AS ax, {ring}[i - 1].lat AS ay,
+      {ring}[i].lon AS bx, {ring}[i].lat AS by))"""
+    crossings = f"""size(filter({edges}, e -> CASE WHEN (e.ay > {lat}) <> (e.by > {lat})
+      THEN {lon} < e.ax + ({lat} - e.ay) * (e.bx - e.ax) / (e.by - e.ay) ELSE false END))"""
+    touches = f"""exists({edges}, e -> (e.bx - e.ax) * ({lat} - e.ay) = (e.by - e.ay) * ({lon} - e.ax)
+      AND {lon} BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx)
+      AND {lat} BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by))"""
+    return F.expr(f"{crossings} % 2 = 1 AND NOT {touches}")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
@@ -59,7 +47,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon",
                             "lon_min", "lat_min", "lon_max", "lat_max")
     near = box_join(points, sides, (lon, lat, lon, lat),
                     ("lon_min", "lat_min", "lon_max", "lat_max"), bin_size, min_rows)
-    inside = near.filter(ring_holds_point(F.col("_ring"), F.col(lon), F.col(lat)))
+    inside = near.filter(ring_holds_point("_ring", lon, lat))
     return inside.select(*points.columns, "cell_id")
 
 
@@ -118,9 +106,8 @@ def line_pieces(lines: DataFrame, piece_m: float) -> DataFrame:
     path = F.col("geometry")
     step = F.explode(F.sequence(F.lit(1), F.size(path) - 1))
     legs = lines.filter(F.size(path) > 1).select("objectid", "geometry", step.alias("_i"))
-    start, end = F.element_at(path, F.col("_i")), F.element_at(path, F.col("_i") + 1)
-    ax, ay = geo.to_metric(start["lon"], start["lat"])
-    bx, by = geo.to_metric(end["lon"], end["lat"])
+    ax, ay = geo.to_metric("geometry[_i - 1].lon", "geometry[_i - 1].lat")
+    bx, by = geo.to_metric("geometry[_i].lon", "geometry[_i].lat")
     legs = legs.select("objectid", ax.alias("_ax"), ay.alias("_ay"), bx.alias("_bx"), by.alias("_by"))
     legs = legs.withColumns({"_dx": F.col("_bx") - F.col("_ax"), "_dy": F.col("_by") - F.col("_ay")})
     metres = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
@@ -151,14 +138,14 @@ def line_density(lines: DataFrame, kind: str = "water", resolution: int = DEFAUL
     With ``grid`` only its cells are kept, after the aggregate, so the join is one row per cell.
     """
     pieces = line_pieces(lines, geo.edge_m(resolution))
-    q, r = geo.axial(F.col("px") + F.col("vx") / 2, F.col("py") + F.col("vy") / 2, resolution)
+    pieces = pieces.withColumns({"_mx": F.col("px") + F.col("vx") / 2, "_my": F.col("py") + F.col("vy") / 2})
+    q, r = geo.axial("_mx", "_my", resolution)
     around = F.explode(F.array(*[F.struct(F.lit(dq).alias("dq"), F.lit(dr).alias("dr")) for dq, dr in geo.DISK]))
     near = pieces.withColumns({"_q": q, "_r": r}).select("*", around.alias("_d"))
     near = near.withColumns({"q": F.col("_q") + F.col("_d.dq"), "r": F.col("_r") + F.col("_d.dr")})
-    cx, cy = geo.centre(F.col("q"), F.col("r"), resolution)
-    near = near.withColumns({"_cx": cx, "_cy": cy})
-    share = geo.hexagon_share(F.col("px"), F.col("py"), F.col("vx"), F.col("vy"),
-                              F.col("_cx"), F.col("_cy"), resolution)
+    cx, cy = geo.centre("q", "r", resolution)
+    near = near.withColumns({"cx": cx, "cy": cy})
+    share = geo.hexagon_share(resolution)
     metres = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
     clipped = near.select("objectid", "q", "r", (share * metres / 1000).alias("km")).filter(F.col("km") > 0)
     cells = _per_cell(clipped, ["q", "r"], kind)
@@ -170,36 +157,32 @@ def line_density(lines: DataFrame, kind: str = "water", resolution: int = DEFAUL
 
 def metric_polygons(polygons: DataFrame) -> DataFrame:
     """Polygon rings in metres (``_ring`` of x and y) with their metric boxes."""
-    def project(point: Column) -> Column:
-        x, y = geo.to_metric(point["lon"], point["lat"])
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    rows = polygons.select("cell_id", F.transform("geometry", project).alias("_ring"))
+    x, y = geo.metric_text("p.lon", "p.lat")
+    ring = F.expr(f"transform(geometry, p -> struct({x} AS x, {y} AS y))")
+    rows = polygons.select("cell_id", ring.alias("_ring"))
     return rows.withColumns({
         "x_min": F.array_min(F.col("_ring.x")), "y_min": F.array_min(F.col("_ring.y")),
         "x_max": F.array_max(F.col("_ring.x")), "y_max": F.array_max(F.col("_ring.y")),
     })
 
 
-def ring_share(ring: Column, px: Column, py: Column, vx: Column, vy: Column) -> Column:
-    """Share of the segment p + t*v, 0 <= t <= 1, inside a closed convex metric ring."""
-    middle_x = F.aggregate(ring, F.lit(0.0), lambda s, c: s + c["x"]) / F.size(ring)
-    middle_y = F.aggregate(ring, F.lit(0.0), lambda s, c: s + c["y"]) / F.size(ring)
-
-    def narrow(span: Column, i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
-        nx, ny = b["y"] - a["y"], a["x"] - b["x"]
-        sign = F.when(nx * (middle_x - a["x"]) + ny * (middle_y - a["y"]) > 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        room = sign * (nx * (a["x"] - px) + ny * (a["y"] - py))
-        rate = sign * (nx * vx + ny * vy)
-        low = F.when(rate < 0, F.greatest(span["low"], room / rate)).when(
-            (rate == 0) & (room < 0), F.lit(2.0)).otherwise(span["low"])
-        high = F.when(rate > 0, F.least(span["high"], room / rate)).otherwise(span["high"])
-        return F.struct(low.alias("low"), high.alias("high"))
+def ring_share(ring: str) -> Column:
+    """Share of the segment p + t*v, 0 <= t <= 1, inside a closed convex metric ring.
 
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    span = F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), start, narrow)
-    return F.greatest(F.lit(0.0), span["high"] - span["low"])
+    Each edge gives the room to its line and the rate at which the segment uses it up, both
+    counted positive towards the outside as seen from the ring's middle.
+    """
+    middle = f"aggregate({ring}, 0D, (s, c) -> s + c.%s) / size({ring})"
+    sides = f"""transform(sequence(1, size({ring}) - 1), i -> struct({ring}[i - 1].x AS ax, {ring}[i - 1].y AS ay,
+      {ring}[i].y - {ring}[i - 1].y AS nx, {ring}[i - 1].x - {ring}[i].x AS ny, {middle % 'x'} AS mx, {middle % 'y'} AS my))"""
+    signed = f"""transform({sides}, g -> struct(g.nx AS nx, g.ny AS ny, g.ax AS ax, g.ay AS ay,
+      CASE WHEN g.nx * (g.mx - g.ax) + g.ny * (g.my - g.ay) > 0 THEN -1D ELSE 1D END AS sign))"""
+    rooms = f"""transform({signed}, g -> struct(g.sign * (g.nx * (g.ax - px) + g.ny * (g.ay - py)) AS room,
+      g.sign * (g.nx * vx + g.ny * vy) AS rate))"""
+    return F.expr(f"""aggregate({rooms}, named_struct('low', 0D, 'high', 1D), (s, g) -> named_struct(
+        'low', CASE WHEN g.rate < 0 THEN greatest(s.low, g.room / g.rate) WHEN g.rate = 0 AND g.room < 0 THEN 2D ELSE s.low END,
+        'high', CASE WHEN g.rate > 0 THEN least(s.high, g.room / g.rate) ELSE s.high END),
+      s -> greatest(0D, s.high - s.low))""")
 
 
 def line_density_on_polygons(lines: DataFrame, polygons: DataFrame, kind: str = "water",
@@ -211,7 +194,7 @@ def line_density_on_polygons(lines: DataFrame, polygons: DataFrame, kind: str =
     })
     near = box_join(pieces, metric_polygons(polygons), ("_x0", "_y0", "_x1", "_y1"),
                     ("x_min", "y_min", "x_max", "y_max"), bin_m, min_rows)
-    share = ring_share(F.col("_ring"), F.col("px"), F.col("py"), F.col("vx"), F.col("vy"))
+    share = ring_share("_ring")
     metres = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
     clipped = near.select("cell_id", "objectid", (share * metres / 1000).alias("km")).filter(F.col("km") > 0)
     return _per_cell(clipped, ["cell_id"], kind)

@@ -34,7 +34,7 @@ def bbox_cells(requests: DataFrame, grid: DataFrame, bin_size: float = CELL_BIN_
     accepted = requests.filter(bbox_problem(*[F.col(c) for c in BOX]).isNull())
     cells = grid.select("cell_id", "geometry", "lon_min", "lat_min", "lon_max", "lat_max")
     near = box_join(accepted, cells, BOX, ("lon_min", "lat_min", "lon_max", "lat_max"), bin_size, min_rows)
-    exact = ring_meets_box(F.col("geometry"), *[F.col(c) for c in BOX])
+    exact = ring_meets_box("geometry", BOX)
     return near.filter(exact).select(*requests.columns, "cell_id", "geometry")
 
 
