@@ -15,6 +15,7 @@ from cellweft.constants import (
     TARGET_MODES,
 )
 from cellweft.errors import DataError
+from cellweft.operators.joins import salted_join
 from cellweft.operators.keys import require_unique
 from cellweft.operators.ranked import exact_median
 
@@ -48,11 +49,12 @@ def feature_matrix(cells: DataFrame, days: DataFrame, station: str = "station_id
     """Every cell with every day of its station; clashing weather names get ``_weather``.
 
     An equi-join on the station. Each station has at most 92 days, so the join multiplies
-    cells by a bounded number; the day table is broadcast only if Spark finds it small.
+    cells by a bounded number. A station with very many cells is split over tasks; the day
+    table is broadcast only if Spark finds it small.
     """
     clashes = (set(cells.columns) & set(days.columns)) - {station}
     weather = days.select(*[F.col(c).alias(f"{c}_weather") if c in clashes else F.col(c) for c in days.columns])
-    return cells.join(weather, station)
+    return salted_join(cells, weather, [station])
 
 
 def rule_score(df: DataFrame, water_median: float) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from cellweft.constants import AGGREGATE_FEATURE_COLUMNS, HIGH_RISK, MAX_MAP_FEATURES
 from cellweft.functions.display import bbox_problem, risk_band, round_half_even
 from cellweft.functions.weather import heat_index_c
-from cellweft.operators.joins import MIN_HOT_ROWS, box_join
+from cellweft.operators.joins import MIN_HOT_ROWS, box_join, salted_join
 from cellweft.operators.lattice import CELL_BIN_DEGREES, ring_meets_box
 
 BOX = ("west", "south", "east", "north")
@@ -24,6 +24,15 @@ def request_problem(limit: str | None = "max_features") -> Column:
     return F.coalesce(problem, F.when(bad_limit, "max_features is outside its range"))
 
 
+def scenario_problem(temperature: str = "sim_temperature_c", humidity: str = "sim_relative_humidity",
+                     dry_days: str = "sim_dry_days") -> Column:
+    """Reason a what-if value is refused; null when all given values are in range."""
+    limits = ((temperature, -50, 60), (humidity, 0, 100), (dry_days, 0, 365))
+    return F.coalesce(*[
+        F.when(~F.coalesce(F.col(c).between(low, high), F.lit(True)), f"{c} is outside its range") for c, low, high in limits
+    ])
+
+
 def bbox_cells(requests: DataFrame, grid: DataFrame, bin_size: float = CELL_BIN_DEGREES,
                min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Accepted requests with every grid cell whose ring meets their box.
@@ -51,7 +60,7 @@ def first_cells(selected: DataFrame, limit: str = "max_features", request: str =
 def with_weather(cells: DataFrame, latest: DataFrame, station: str = "station_id") -> DataFrame:
     """The latest weather row of its station on every cell; weather wins a name clash."""
     kept = [c for c in cells.columns if c == station or c not in latest.columns]
-    return cells.select(*kept).join(latest, station)
+    return salted_join(cells.select(*kept), latest, [station])
 
 
 def apply_scenario(df: DataFrame, temperature: str = "sim_temperature_c",

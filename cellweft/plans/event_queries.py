@@ -135,7 +135,7 @@ marked AS (SELECT *, page < max(page) OVER (PARTITION BY source) AS exceeded FRO
 paired AS (SELECT a.*, b.body = a.body AS repeated, b.page IS NOT NULL AND (NOT b.exceeded OR b.n < {PAGE_KEYS}) AS after_last
   FROM marked a LEFT JOIN marked b ON a.source = b.source AND b.page = a.page - 1)
 SELECT source, count(*) AS pages, sum(n)::BIGINT AS features, bool_or(exceeded) AS exceeded_transfer_limit,
-  count_if(coalesce(repeated, false)) AS repeated_pages, count_if(after_last) AS pages_after_last, count(*) > 500 AS over_page_cap
+  count(*) FILTER (WHERE coalesce(repeated, false)) AS repeated_pages, count(*) FILTER (WHERE after_last) AS pages_after_last, count(*) > 500 AS over_page_cap
 FROM paired GROUP BY source""")
 def page_audit(spark, folder):
     """One sound page set and one whose source sent every page twice."""
@@ -252,9 +252,9 @@ def one_to_one(spark, folder):
 
 @query("constraint_audit", """
 WITH rows AS (SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'R') AS flag, l_quantity, l_discount FROM lineitem)
-SELECT count(*) AS row_count, count_if(flag IS NULL) AS null_flag, count_if(l_quantity IS NULL) AS null_l_quantity,
-  count_if(l_quantity > 40) AS check_quantity, count_if(l_discount NOT BETWEEN 0.02 AND 0.08) AS check_discount,
-  count_if(flag <> 'A') AS check_flag,
+SELECT count(*) AS row_count, count(*) FILTER (WHERE flag IS NULL) AS null_flag, count(*) FILTER (WHERE l_quantity IS NULL) AS null_l_quantity,
+  count(*) FILTER (WHERE l_quantity > 40) AS check_quantity, count(*) FILTER (WHERE l_discount NOT BETWEEN 0.02 AND 0.08) AS check_discount,
+  count(*) FILTER (WHERE flag <> 'A') AS check_flag,
   (SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM rows) AS duplicate_keys FROM rows""")
 def constraint_audit(spark, folder):
     rows = inputs.table(spark, folder, "lineitem").select(

@@ -18,10 +18,10 @@ from cellweft.sources import tables
 
 
 def stationed(spark, folder) -> DataFrame:
-    """Cells with the station whose weather they get."""
-    cells = cell_table(spark, folder)
+    """Cells with the station whose weather they get, written once and read back."""
     _, q, r = geo.cell_parts(F.col("cell_id"))
-    return cells.withColumn("station_id", inputs.station_of(q, r))
+    cells = cell_table(spark, folder).withColumn("station_id", inputs.station_of(q, r))
+    return spark.read.parquet(tables.write_table(cells, scratch_path(spark, "cells"), order=["cell_id"]))
 
 
 def days(spark, folder) -> DataFrame:
@@ -85,8 +85,8 @@ def exact_median(spark, folder):
 
 
 @query("class_weight", """
-SELECT l_linestatus, count_if(l_returnflag = 'R') AS positives, count_if(l_returnflag <> 'R') AS negatives,
-  round(count_if(l_returnflag <> 'R') / count_if(l_returnflag = 'R'), 6) AS positive_weight FROM lineitem GROUP BY 1""")
+SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'R') AS positives, count(*) FILTER (WHERE l_returnflag <> 'R') AS negatives,
+  round(count(*) FILTER (WHERE l_returnflag <> 'R') / count(*) FILTER (WHERE l_returnflag = 'R'), 6) AS positive_weight FROM lineitem GROUP BY 1""")
 def class_weight(spark, folder):
     rows = inputs.table(spark, folder, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("label"))
     return rounded(evaluate.class_counts(rows, "label", ["l_linestatus"]), "positive_weight")
@@ -131,7 +131,7 @@ def average_precision_fine(spark, folder):
 
 
 @query("f1_at_threshold", with_views("scored") + """
-SELECT round(2 * count_if(score >= 0.5 AND label = 1) / (count_if(score >= 0.5) + count_if(label = 1)), 6) AS f1_at_threshold,
+SELECT round(2 * count(*) FILTER (WHERE score >= 0.5 AND label = 1) / (count(*) FILTER (WHERE score >= 0.5) + count(*) FILTER (WHERE label = 1)), 6) AS f1_at_threshold,
   count(*) AS test_rows FROM scored""")
 def f1_at_threshold(spark, folder):
     return rounded(evaluate.f1_at_threshold(inputs.scored(spark, folder), 0.5), "f1_at_threshold")

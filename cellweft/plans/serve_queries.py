@@ -122,7 +122,7 @@ def bands(spark, folder):
 
 
 @query("risk_summary", _scored_sql() + """
-SELECT request_id, count(*) AS cells, count_if(risk_score >= 0.7) AS high_cells, round(avg(risk_score), 6) AS mean_risk,
+SELECT request_id, count(*) AS cells, count(*) FILTER (WHERE risk_score >= 0.7) AS high_cells, round(avg(risk_score), 6) AS mean_risk,
   max(risk_score) AS max_risk FROM scored_cells GROUP BY 1""")
 def risk_summary(spark, folder):
     return rounded(serve.risk_summary(scored_cells(spark, folder)), "mean_risk")

@@ -204,9 +204,9 @@ SELECT event_type AS station_id, date_trunc('hour', ts)::TIMESTAMP AS timestamp,
 
 
 @query("dq_report", f"""
-WITH raw AS ({_DIRTY}) SELECT count(*) AS row_count, count_if(timestamp IS NULL) AS missing_timestamp,
-  count(*) AS bad_station_id, count_if(relative_humidity NOT BETWEEN 0 AND 100) AS humidity_out_of_range,
-  count_if(precip_mm < 0) AS negative_precip,
+WITH raw AS ({_DIRTY}) SELECT count(*) AS row_count, count(*) FILTER (WHERE timestamp IS NULL) AS missing_timestamp,
+  count(*) AS bad_station_id, count(*) FILTER (WHERE relative_humidity NOT BETWEEN 0 AND 100) AS humidity_out_of_range,
+  count(*) FILTER (WHERE precip_mm < 0) AS negative_precip,
   (SELECT count(*) - count(DISTINCT (station_id, timestamp)) FROM raw) AS duplicate_timestamps FROM raw""")
 def dq_report(spark, folder):
     raw = inputs.table(spark, folder, "events").select(
