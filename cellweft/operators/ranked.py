@@ -96,7 +96,8 @@ def first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     that tie on the whole order are sorted, by all their columns, for the places left.
     """
     if not order:
-        return df.orderBy(*df.columns).limit(n)
+        sortable = [f.name for f in df.schema.fields if f.dataType.typeName() not in {"variant", "map"}]
+        return df.orderBy(*sortable).limit(n)
     column, later = order[0], order[1:]
     keyed = df.withColumn("_key", _order_key(df, column))
     counts = value_counts(keyed, "_key")

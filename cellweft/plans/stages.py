@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweft.constants import DEFAULT_RESOLUTION, EXTENT, PREDICTION_HORIZON_HOURS
+from cellweft.functions.text import parse_variant_time
 from cellweft.operators import daily, events, features, keys, lattice, layers, learn, quality, serve, windows
 from cellweft.sources import hourly, pages, tables
 
@@ -15,13 +16,20 @@ from cellweft.sources import hourly, pages, tables
 def build_events(spark: SparkSession, pages_path: str, out: str, start: str | None = None, end: str | None = None,
                  max_records: int | None = None, multi_line: bool = True,
                  resolution: int = DEFAULT_RESOLUTION) -> str:
-    """Landed pages to stored events; a page with a problem stops the stage."""
+    """Landed pages to stored events; a page with a problem stops the stage.
+
+    Dates and the record cap apply to all source records, before any of them is matched.
+    """
     found = pages.require_good_pages(pages.read_pages(spark, pages_path, multi_line))
-    judged = events.judge_features(pages.page_features(found))
-    judged = judged.filter(events.date_range("createddate", start, end)) if start or end else judged
+    rows = pages.page_features(found).withColumns({
+        "_created": parse_variant_time(F.col("createddate")),
+        "_id": F.try_variant_get("objectid", "$", "bigint"),
+    })
+    if start or end:
+        rows = rows.filter(events.date_range("_created", start, end))
     if max_records is not None:
-        judged = events.cap_records(judged, max_records)
-    stored = events.accepted_events(judged, resolution)
+        rows = events.cap_records(rows, max_records, ("_created", "_id"))
+    stored = events.accepted_events(events.judge_features(rows), resolution)
     return tables.write_table(stored, out, order=["createddate", "objectid"])
 
 
