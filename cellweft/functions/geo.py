@@ -164,17 +164,23 @@ def corner_offsets(resolution: int) -> list[tuple[float, float]]:
 DISK = ((0, 0), (1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
 
 
-def hexagon_share(resolution: int, px: str = "px", py: str = "py", vx: str = "vx", vy: str = "vy",
-                  cx: str = "cx", cy: str = "cy") -> Column:
-    """Share of the segment p + t*v, 0 <= t <= 1, that lies in the hexagon about c."""
-    apothem = _number(edge_m(resolution) * SQRT3 / 2)
-    low, high, missed = ["0D"], ["1D"], []
-    for k in range(6):
-        nx, ny = _number(math.cos(math.radians(60 * k))), _number(math.sin(math.radians(60 * k)))
-        room = f"({apothem} - (({px} - {cx}) * {nx} + ({py} - {cy}) * {ny}))"
-        rate = f"({vx} * {nx} + {vy} * {ny})"
-        high.append(f"CASE WHEN {rate} > 0 THEN {room} / {rate} ELSE 1D END")
-        low.append(f"CASE WHEN {rate} < 0 THEN {room} / {rate} ELSE 0D END")
-        missed.append(f"({rate} = 0 AND {room} < 0)")
-    share = f"greatest(0D, least({', '.join(high)}) - greatest({', '.join(low)}))"
-    return F.expr(f"CASE WHEN {' OR '.join(missed)} THEN 0D ELSE {share} END")
+# A hexagon is the overlap of three strips; these are the unit normals of the strips.
+STRIPS = ((1.0, 0.0), (0.5, SQRT3 / 2), (-0.5, SQRT3 / 2))
+
+
+def strip_parts(x: str, y: str) -> list[Column]:
+    """Components of a vector across the three strips."""
+    return [F.expr(f"({x}) * {_number(nx)} + ({y}) * {_number(ny)}") for nx, ny in STRIPS]
+
+
+def strip_share(resolution: int, starts: tuple[str, str, str], rates: tuple[str, str, str]) -> Column:
+    """Share of a segment inside a hexagon, from columns with its start (seen from the centre)
+    and its whole run across each strip."""
+    h = _number(edge_m(resolution) * SQRT3 / 2)
+    low, high = ["0D"], ["1D"]
+    for start, rate in zip(starts, rates, strict=True):
+        ends = f"(- {h} - {start}) / {rate}, ({h} - {start}) / {rate}"
+        beside = f"CASE WHEN abs({start}) <= {h} THEN 0D ELSE 2D END"
+        low.append(f"CASE WHEN {rate} = 0 THEN {beside} ELSE least({ends}) END")
+        high.append(f"CASE WHEN {rate} = 0 THEN 1D ELSE greatest({ends}) END")
+    return F.expr(f"greatest(0D, least({', '.join(high)}) - greatest({', '.join(low)}))")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.constants import LABEL, MIN_TRAINING_DAYS, PREDICTION_HORIZON_HOURS, TRAIN_FRACTION, VALIDATION_FRACTION
@@ -31,6 +31,25 @@ def split_bounds(df: DataFrame, ts: str = "timestamp") -> tuple[int, int]:
     return train_end, validation_end
 
 
+def split_tests(df: DataFrame, bounds: tuple[int, int], ts: str = "timestamp",
+                purge_hours: int = PREDICTION_HORIZON_HOURS) -> dict[str, Column]:
+    """Row test of each split: plain comparisons with typed constants, so scans can skip row groups."""
+    if purge_hours < 0:
+        raise ValueError("purge_hours cannot be negative")
+    train_end, validation_end = bounds
+    gap = purge_hours * HOUR_US
+
+    def at(us: int) -> Column:
+        return F.timestamp_micros(F.lit(us)).cast(df.schema[ts].dataType)
+
+    time = F.col(ts)
+    return {
+        "train": time <= at(train_end),
+        "validation": (time >= at(train_end + gap)) & (time <= at(validation_end)),
+        "test": time >= at(validation_end + gap),
+    }
+
+
 def temporal_split(df: DataFrame, ts: str = "timestamp", purge_hours: int = PREDICTION_HORIZON_HOURS,
                    bounds: tuple[int, int] | None = None) -> DataFrame:
     """Add ``split``: one row per membership; rows inside a purge gap drop out.
@@ -39,14 +58,8 @@ def temporal_split(df: DataFrame, ts: str = "timestamp", purge_hours: int = PRED
     """
     if purge_hours < 0:
         raise ValueError("purge_hours cannot be negative")
-    train_end, validation_end = bounds or split_bounds(df, ts)
-    gap = purge_hours * HOUR_US
-    us = _micros(ts)
-    member = F.array_compact(F.array(
-        F.when(us <= train_end, F.lit("train")),
-        F.when((us >= train_end + gap) & (us <= validation_end), F.lit("validation")),
-        F.when(us >= validation_end + gap, F.lit("test")),
-    ))
+    tests = split_tests(df, bounds or split_bounds(df, ts), ts, purge_hours)
+    member = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
     return df.withColumn("split", F.explode(member))
 
 

@@ -32,7 +32,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     hot = hot_keys(left, keys, min_rows)
-    spread = F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("_salts"), F.lit(1)))
+    hashable = [f.name for f in left.schema.fields if f.dataType.typeName() not in {"variant", "map"}]
+    spread = F.pmod(F.xxhash64(*hashable), F.coalesce(F.col("_salts"), F.lit(1)))
     salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
@@ -49,7 +50,7 @@ def box_join(left: DataFrame, right: DataFrame, left_box: Sequence[str], right_b
 
     Boxes are spread over the square bins they touch and joined on the bin. A pair that
     shares several bins is kept only in the bin of the lower-left corner of the overlap,
-    so no distinct step is needed.
+    so no distinct step is needed. Choose ``bin_size`` near the size of the usual box.
     """
     spread = []
     for df, (x0, y0, x1, y1) in ((left, left_box), (right, right_box)):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,9 @@ from cellweft.errors import DataError
 from cellweft.functions import geo
 from cellweft.functions.display import world_bbox_problem
 
-# Bin width for box joins against cells, in degrees.
+# Bin widths in degrees for box joins against cells: about one cell for points, wider for
+# request boxes, which touch many bins each.
+POINT_BIN_DEGREES = 0.0125
 CELL_BIN_DEGREES = 0.05
 
 
@@ -147,18 +147,9 @@ def cells_of_boxes(boxes: DataFrame, box: tuple[str, str, str, str] = ("west", "
     return cells.filter(meets).filter(exact).select(*boxes.columns, "q", "r")
 
 
-def edge_lengths() -> list[tuple[int, float]]:
-    """(resolution, mean edge in km) for resolutions 0 to 15."""
-    return [(resolution, geo.edge_km(resolution)) for resolution in range(16)]
-
-
 def with_edge_length(grid: DataFrame, resolution: str = "resolution") -> DataFrame:
     """Add the mean edge length of each row's resolution; null for a resolution outside 0..15."""
     known = F.col(resolution).between(0, 15)
     edge = F.lit(geo.edge_km(8)) * F.pow(F.lit(7.0), (F.lit(8) - F.col(resolution)) / 2)
     return grid.withColumn("edge_length_km", F.when(known, edge))
 
-
-def span_in_bins(degrees: float) -> int:
-    """Most bins a box of this width can touch along one axis."""
-    return math.floor(degrees / CELL_BIN_DEGREES) + 2

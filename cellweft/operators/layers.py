@@ -14,7 +14,7 @@ from cellweft.constants import DEFAULT_RESOLUTION, VINTAGE_YEAR, YEAR_BUILT_RANG
 from cellweft.functions import geo
 from cellweft.functions.text import to_number
 from cellweft.operators.joins import MIN_HOT_ROWS, box_join
-from cellweft.operators.lattice import CELL_BIN_DEGREES, with_axial, with_cell
+from cellweft.operators.lattice import POINT_BIN_DEGREES, with_cell
 
 LINE_KINDS = ("water", "road")
 
@@ -41,7 +41,7 @@ def ring_holds_point(ring: str, lon: str, lat: str) -> Column:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
-                       bin_size: float = CELL_BIN_DEGREES, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                       bin_size: float = POINT_BIN_DEGREES, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Points joined to the polygons (cell_id, geometry and box) that strictly hold them."""
     sides = polygons.select("cell_id", F.col("geometry").alias("_ring"),
                             "lon_min", "lat_min", "lon_max", "lat_max")
@@ -138,16 +138,22 @@ def line_density(lines: DataFrame, kind: str = "water", resolution: int = DEFAUL
     With ``grid`` only its cells are kept, after the aggregate, so the join is one row per cell.
     """
     pieces = line_pieces(lines, geo.edge_m(resolution))
-    pieces = pieces.withColumns({"_mx": F.col("px") + F.col("vx") / 2, "_my": F.col("py") + F.col("vy") / 2})
+    pieces = pieces.withColumns({
+        "_mx": F.col("px") + F.col("vx") / 2, "_my": F.col("py") + F.col("vy") / 2,
+        "_km": F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")) / 1000,
+        **{f"_rate{k}": part for k, part in enumerate(geo.strip_parts("vx", "vy"))},
+    })
     q, r = geo.axial("_mx", "_my", resolution)
     around = F.explode(F.array(*[F.struct(F.lit(dq).alias("dq"), F.lit(dr).alias("dr")) for dq, dr in geo.DISK]))
     near = pieces.withColumns({"_q": q, "_r": r}).select("*", around.alias("_d"))
     near = near.withColumns({"q": F.col("_q") + F.col("_d.dq"), "r": F.col("_r") + F.col("_d.dr")})
     cx, cy = geo.centre("q", "r", resolution)
-    near = near.withColumns({"cx": cx, "cy": cy})
-    share = geo.hexagon_share(resolution)
-    metres = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
-    clipped = near.select("objectid", "q", "r", (share * metres / 1000).alias("km")).filter(F.col("km") > 0)
+    near = near.withColumns({"_dx": F.col("px") - cx, "_dy": F.col("py") - cy})
+    near = near.withColumns({f"_start{k}": part for k, part in enumerate(geo.strip_parts("_dx", "_dy"))})
+    share = geo.strip_share(resolution, ("_start0", "_start1", "_start2"), ("_rate0", "_rate1", "_rate2"))
+    # Generated one by one, so that the filter on the length does not repeat its expression.
+    clipped = near.select("objectid", "q", "r", F.explode(F.array(share * F.col("_km"))).alias("km"))
+    clipped = clipped.filter(F.col("km") > 0)
     cells = _per_cell(clipped, ["q", "r"], kind)
     cells = cells.withColumn("cell_id", geo.cell_id(F.col("q"), F.col("r"), resolution)).drop("q", "r")
     if grid is not None:
@@ -186,7 +192,7 @@ def ring_share(ring: str) -> Column:
 
 
 def line_density_on_polygons(lines: DataFrame, polygons: DataFrame, kind: str = "water",
-                             bin_m: float = 4_000.0, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                             bin_m: float = 1_000.0, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Like ``line_density`` for a table of convex polygons (cell_id, geometry)."""
     pieces = line_pieces(lines, bin_m).withColumns({
         "_x0": F.least(F.col("px"), F.col("px") + F.col("vx")), "_y0": F.least(F.col("py"), F.col("py") + F.col("vy")),
@@ -199,8 +205,3 @@ def line_density_on_polygons(lines: DataFrame, polygons: DataFrame, kind: str =
     clipped = near.select("cell_id", "objectid", (share * metres / 1000).alias("km")).filter(F.col("km") > 0)
     return _per_cell(clipped, ["cell_id"], kind)
 
-
-__all__ = [
-    "building_features", "building_rows", "line_density", "line_density_on_polygons", "line_pieces",
-    "points_in_cells", "points_in_polygons", "polygon_point", "with_axial",
-]

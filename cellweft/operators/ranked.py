@@ -21,9 +21,9 @@ DEFAULT_RANGES = 512
 
 def split_points(df: DataFrame, column: str, ranges: int = DEFAULT_RANGES) -> list[float]:
     """At most ``ranges - 1`` increasing values that cut ``column`` into even ranges."""
-    steps = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), steps, 20 * ranges)).first()[0]
-    return sorted(set(found or []))
+    steps = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    cuts = F.expr(f"percentile_approx(cast(`{column}` as double), array({steps}), {20 * ranges})")
+    return sorted(set(df.agg(cuts).first()[0] or []))
 
 
 def running_totals(df: DataFrame, column: str, sums: Sequence[str], ascending: bool = True,

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from cellweft.constants import AGGREGATE_FEATURE_COLUMNS, HIGH_RISK, MAX_MAP_FEATURES
 from cellweft.functions.display import bbox_problem, risk_band, round_half_even
 from cellweft.functions.weather import heat_index_c
-from cellweft.operators.joins import MIN_HOT_ROWS, box_join, salted_join
+from cellweft.operators.joins import MIN_HOT_ROWS, box_join
 from cellweft.operators.lattice import CELL_BIN_DEGREES, ring_meets_box
 
 BOX = ("west", "south", "east", "north")
@@ -58,9 +58,13 @@ def first_cells(selected: DataFrame, limit: str = "max_features", request: str =
 
 
 def with_weather(cells: DataFrame, latest: DataFrame, station: str = "station_id") -> DataFrame:
-    """The latest weather row of its station on every cell; weather wins a name clash."""
+    """The latest weather row of its station on every cell; weather wins a name clash.
+
+    There is one weather row per station, so Spark broadcasts it while it is small; above
+    that its adaptive skew join splits a station with very many cells.
+    """
     kept = [c for c in cells.columns if c == station or c not in latest.columns]
-    return salted_join(cells.select(*kept), latest, [station])
+    return cells.select(*kept).join(latest, station)
 
 
 def apply_scenario(df: DataFrame, temperature: str = "sim_temperature_c",
@@ -125,13 +129,16 @@ def geojson_features(scored: DataFrame, score: str = "risk_score") -> DataFrame:
     return scored.select("request_id", "cell_id", F.to_json(feature).alias("feature"))
 
 
-def collection_metadata(requests: DataFrame, answered: DataFrame, scenario: tuple[str, ...] = (
-        "sim_temperature_c", "sim_relative_humidity", "sim_dry_days")) -> DataFrame:
-    """Per accepted request: features returned, truncated flag, whether a scenario was applied."""
+SCENARIO = ("sim_temperature_c", "sim_relative_humidity", "sim_dry_days")
+
+
+def collection_metadata(requests: DataFrame, answered: DataFrame, target_mode: str = "unknown",
+                        model_version: str = "unknown") -> DataFrame:
+    """Per accepted request: features returned, truncated flag, scenario flag and provenance."""
     counts = answered.groupBy("request_id").agg(
         F.count("*").alias("feature_count"), F.max("truncated").alias("truncated")
     )
-    applied = F.coalesce(*[F.col(c) for c in scenario]).isNotNull()
+    applied = F.coalesce(*[F.col(c) for c in SCENARIO]).isNotNull()
     return requests.filter(request_problem(None).isNull()).select(
         "request_id", applied.alias("scenario_applied")
     ).join(counts, "request_id", "left").select(
@@ -139,6 +146,8 @@ def collection_metadata(requests: DataFrame, answered: DataFrame, scenario: tupl
         F.coalesce("feature_count", F.lit(0)).alias("feature_count"),
         F.coalesce("truncated", F.lit(False)).alias("truncated"),
         "scenario_applied",
+        F.lit(target_mode).alias("target_mode"),
+        F.lit(model_version).alias("model_version"),
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cellweft.constants import LABEL
 from cellweft.functions import geo
-from cellweft.operators import daily, evaluate, features, learn, ranked, windows
+from cellweft.operators import daily, evaluate, features, keys, learn, ranked, serve, windows
+from cellweft.operators.quality import audit_predictions, check_scores, require_clean
 from cellweft.plans import inputs
 from cellweft.plans.inputs import DAY_COLUMNS, with_views
 from cellweft.plans.registry import query
@@ -174,11 +175,11 @@ def trained(spark, folder) -> str:
 
 @query("train_classifier")
 def train_classifier(spark, folder):
-    """The trees of a classifier trained on the newest label rows: nodes and depth per tree."""
+    """The trees of a classifier trained on the training rows: nodes and depth per tree."""
     rows = written_matrix(spark, folder)
     columns = features.feature_columns(rows)
-    parts = evaluate.temporal_split(rows)
-    model = learn.classifier(learn.train_classifier(parts.filter("split = 'train'"), columns))
+    tests = evaluate.split_tests(rows, evaluate.split_bounds(rows))
+    model = learn.classifier(learn.train_classifier(rows.filter(tests["train"]), columns))
     trees = [(i, t.numNodes, t.depth, float(w)) for i, (t, w) in enumerate(zip(model.trees, model.treeWeights, strict=True))]
     return spark.createDataFrame(trees, "tree int, nodes int, depth int, weight double")
 
@@ -204,9 +205,6 @@ def model_registry(spark, folder):
 @query("batch_score")
 def batch_score(spark, folder):
     """Predictions of every cell under its station's latest weather, written and read back."""
-    from cellweft.operators import keys, serve
-    from cellweft.operators.quality import audit_predictions, check_scores, require_clean
-
     model, metadata = learn.load_model(spark, trained(spark, folder))
     latest = keys.latest_per_key(windows.weather_features(inputs.obs(spark, folder)), ["station_id"], "timestamp")
     rows = serve.with_weather(stationed(spark, folder), latest)

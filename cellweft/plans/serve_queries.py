@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from cellweft.constants import AGGREGATE_FEATURE_COLUMNS
 from cellweft.functions.display import asset_class, bbox_problem, density_class, risk_band, vintage_split
+from cellweft.functions.geo import cell_parts
 from cellweft.operators import keys, serve, windows
 from cellweft.operators.layers import points_in_cells
-from cellweft.operators.lattice import with_axial
 from cellweft.plans import inputs
 from cellweft.plans.inputs import cells_sql, heat_sql, points_sql, with_views
 from cellweft.plans.registry import query
-from cellweft.plans.space_queries import cell_table, grid
+from cellweft.plans.space_queries import cell_table, grid, vintage
 from cellweft.plans.weather_queries import rounded
 
 # A stand-in score from the cell's place, so that answers do not hang on a trained model.
@@ -21,16 +21,10 @@ _SCORE_SQL = "((((q * 31 + r * 17) % 1000 + 1000) % 1000)::DOUBLE / 1000::DOUBLE
 
 
 def _score():
-    _, q, r = _parts()
+    _, q, r = cell_parts(F.col("cell_id"))
     return F.pmod(q * 31 + r * 17, F.lit(1000)) / 1000.0
 
 
-def _parts():
-    from cellweft.functions.geo import cell_parts
-
-    return cell_parts(F.col("cell_id"))
-
-
 def scored_cells(spark, folder) -> DataFrame:
     """Requests with their first cells, the cell features and a score."""
     requests = inputs.requests(spark, folder)
@@ -80,8 +74,6 @@ SELECT cell_id, CASE WHEN g.cell_id IS NULL THEN 'unknown' WHEN v.cell_id IS NUL
   CASE WHEN g.cell_id IS NOT NULL THEN median_year_built END AS median_year_built
 FROM asked LEFT JOIN grid g USING (cell_id) LEFT JOIN vintage v USING (cell_id)""")
 def cell_lookup(spark, folder):
-    from cellweft.plans.space_queries import vintage
-
     asked = points_in_cells(inputs.points(spark, folder, "orders", "o_orderkey"))
     known = vintage(spark, folder).select("cell_id", "building_count", "median_year_built")
     return keys.cell_lookup(asked, grid(spark, folder), known)
@@ -104,7 +96,7 @@ SELECT request_id, cell_id, {_NOW_T} AS temperature_c, {_NOW_H} AS relative_humi
 FROM asked JOIN latest USING (station_id)""")
 def what_if(spark, folder):
     found = serve.bbox_cells(inputs.requests(spark, folder), grid(spark, folder))
-    _, q, r = _parts()
+    _, q, r = cell_parts(F.col("cell_id"))
     asked = found.withColumn("station_id", inputs.station_of(q, r))
     latest = keys.latest_per_key(windows.weather_features(inputs.obs(spark, folder)), ["station_id"], "timestamp")
     changed = serve.apply_scenario(serve.with_weather(asked, latest))
@@ -148,11 +140,13 @@ def geojson_rows(spark, folder):
 
 @query("collection_metadata", with_views("met", "grid").rstrip() + ",\n" + _SHOWN.split(",\nscored_cells")[0] + """
 SELECT request_id, count(s.cell_id) AS feature_count, coalesce(bool_or(s.truncated), false) AS truncated,
-  any_value(coalesce(a.sim_temperature_c, a.sim_relative_humidity, a.sim_dry_days) IS NOT NULL) AS scenario_applied
+  any_value(coalesce(a.sim_temperature_c, a.sim_relative_humidity, a.sim_dry_days) IS NOT NULL) AS scenario_applied,
+  'synthetic' AS target_mode, 'stand-in' AS model_version
 FROM accepted a LEFT JOIN shown s USING (request_id) GROUP BY request_id""")
 def collection_metadata(spark, folder):
     requests = inputs.requests(spark, folder)
-    return serve.collection_metadata(requests, serve.first_cells(serve.bbox_cells(requests, grid(spark, folder))))
+    shown = serve.first_cells(serve.bbox_cells(requests, grid(spark, folder)))
+    return serve.collection_metadata(requests, shown, "synthetic", "stand-in")
 
 
 @query("cell_profile", with_views("cell_table") + """
@@ -180,6 +174,3 @@ def allowed_features(spark, folder):
     kept = serve.allowed_features(cells)
     doubles = [c for c in kept if dict(cells.dtypes)[c] == "double" and c != "median_year_built"]
     return rounded(cells.select("cell_id", *kept), *doubles)
-
-
-__all__ = ["scored_cells", "with_axial"]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cellweft.functions import geo
 from cellweft.functions.display import clamp_bbox
 from cellweft.operators import features, lattice, layers
+from cellweft.operators.serve import request_problem
 from cellweft.plans import inputs
-from cellweft.plans.inputs import EDGE, cells_sql, points_sql, project_sql, sql_lat, sql_lon, unproject_sql, with_views
+from cellweft.plans.inputs import EDGE, cells_sql, points_sql, project_sql, sql_lat, sql_lon, with_views
 from cellweft.plans.registry import query
 from cellweft.plans.weather_queries import rounded
 
@@ -101,8 +102,6 @@ def cell_neighbors(spark, folder):
 SELECT cell_id, 8 AS resolution, round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon
 FROM (SELECT DISTINCT cell_id FROM met) JOIN centroids USING (cell_id)""")
 def grid_fill(spark, folder):
-    from cellweft.operators.serve import request_problem
-
     boxes = inputs.requests(spark, folder).filter(request_problem(None).isNull())
     cells = lattice.grid_fill(boxes).select("cell_id", "resolution", "centroid_lat", "centroid_lon")
     return rounded(cells, "centroid_lat", "centroid_lon")
@@ -191,6 +190,3 @@ def clamp(spark, folder):
     )
     clipped = clamp_bbox(*[F.col(c) for c in ("west", "south", "east", "north")])
     return rounded(views.withColumns(clipped), *clipped)
-
-
-__all__ = ["cell_table", "grid", "unproject_sql"]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweft.constants import DEFAULT_RESOLUTION, EXTENT, PREDICTION_HORIZON_HOURS
+from cellweft.functions import geo
+from cellweft.functions.display import risk_band, round_half_even
 from cellweft.functions.text import parse_variant_time
 from cellweft.operators import daily, events, features, keys, lattice, layers, learn, quality, serve, windows
 from cellweft.sources import hourly, pages, tables
@@ -107,7 +109,30 @@ def score_requests(spark: SparkSession, requests: DataFrame, grid_path: str, cel
     scored = learn.score_rows(model, metadata["feature_columns"], changed).withColumns({
         "target_mode": F.lit(metadata["target_mode"]), "model_version": F.lit(metadata["model_version"]),
     })
-    return scored, serve.collection_metadata(accepted, shown)
+    return scored, serve.collection_metadata(accepted, shown, metadata["target_mode"], metadata["model_version"])
+
+
+def score_cells(spark: SparkSession, asked: DataFrame, grid_path: str, cells_path: str, weather_path: str,
+                model_path: str, station: str, resolution: int = DEFAULT_RESOLUTION) -> DataFrame:
+    """Single-cell requests: status, score and band per distinct cell id.
+
+    The status is 'invalid', 'unknown', 'empty' or 'found'; the first two have no score.
+    """
+    model, metadata = learn.load_model(spark, model_path)
+    grid = tables.require_table(spark, grid_path, "grid")
+    cells = tables.require_table(spark, cells_path, "cell features")
+    answers = keys.cell_lookup(asked, grid, cells)
+    answers = answers if "station_id" in answers.columns else answers.withColumn("station_id", F.lit(station))
+    valid = geo.is_cell(F.col("cell_id"), resolution)
+    answers = answers.withColumn("status", F.when(~valid, "invalid").otherwise(F.col("status")))
+    latest = keys.latest_per_key(tables.require_table(spark, weather_path, "weather features"), ["station_id"], "timestamp")
+    rows = serve.with_weather(answers.fillna({"station_id": station}), latest)
+    scored = learn.score_rows(model, metadata["feature_columns"], rows)
+    known = F.col("status").isin("empty", "found")
+    return scored.select(
+        "cell_id", "status", F.when(known, round_half_even(F.col("risk_score"), 4)).alias("risk_score"),
+        F.when(known, risk_band(F.col("risk_score"))).alias("risk_level"), *serve.allowed_features(cells),
+    )
 
 
 def build_predictions(spark: SparkSession, cells_path: str, weather_path: str, model_path: str, out: str,

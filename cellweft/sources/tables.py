@@ -42,7 +42,7 @@ def write_table(df: DataFrame, path: str, order: Sequence[str] = (), partition_b
     Range-partitioned files give narrow row-group statistics, so later range filters skip files.
     """
     if order:
-        df = df.repartitionByRange(*order).sortWithinPartitions(*partition_by, *order)
+        df = df.repartitionByRange(*partition_by, *order).sortWithinPartitions(*partition_by, *order)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -157,3 +157,12 @@ def test_training_and_loading_rules(spark, tmp_path):
         learn.load_model(spark, str(tmp_path / "none"))
     with pytest.raises(DataError, match="invalid_score"):
         quality.check_scores(spark.createDataFrame([(0.5,), (float("nan"),)], "risk_score double"))
+
+
+def test_split_tests_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "m")
+    matrix(spark).write.parquet(path)
+    df = spark.read.parquet(path)
+    rows = df.filter(evaluate.split_tests(df, evaluate.split_bounds(df))["validation"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp," in plan

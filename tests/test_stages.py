@@ -75,6 +75,16 @@ def test_requests_are_answered(spark, built):
         stages.score_requests(spark, asked.union(asked), built["grid"], built["cells"], built["weather"], built["model"], "7")
 
 
+def test_single_cells_are_answered(spark, built):
+    known = spark.read.parquet(built["cells"]).orderBy("cell_id").first()["cell_id"]
+    asked = spark.createDataFrame([(known,), (known,), ("r8_1_1",), ("r9_1_1",), ("cell",)], "cell_id string")
+    answers = stages.score_cells(spark, asked, built["grid"], built["cells"], built["weather"], built["model"], "7")
+    rows = {r["cell_id"]: r for r in answers.collect()}
+    assert {c: r["status"] for c, r in rows.items()} == {known: "found", "r8_1_1": "unknown", "r9_1_1": "invalid", "cell": "invalid"}
+    assert 0 <= rows[known]["risk_score"] <= 1 and rows["r8_1_1"]["risk_score"] is None
+    assert rows[known]["building_count"] is not None
+
+
 def test_predictions_are_stored(spark, built):
     path = stages.build_predictions(spark, built["cells"], built["weather"], built["model"], str(built["root"] / "p"), "7")
     stored = spark.read.parquet(path)
