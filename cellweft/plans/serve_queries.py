@@ -114,10 +114,12 @@ def bands(spark, folder):
 
 
 @query("risk_summary", _scored_sql() + """
-SELECT request_id, count(*) AS cells, count(*) FILTER (WHERE risk_score >= 0.7) AS high_cells, round(avg(risk_score), 6) AS mean_risk,
+SELECT request_id, count(*) AS cells, count(*) FILTER (WHERE risk_score >= 0.7) AS high_cells, round(avg(risk_score), 9) AS mean_risk,
   max(risk_score) AS max_risk FROM scored_cells GROUP BY 1""")
 def risk_summary(spark, folder):
-    return rounded(serve.risk_summary(scored_cells(spark, folder)), "mean_risk")
+    # Nine places: means of up to 50 three-place scores then never fall between two results.
+    summary = serve.risk_summary(scored_cells(spark, folder))
+    return summary.withColumn("mean_risk", F.round("mean_risk", 9))
 
 
 @query("geojson_rows", _scored_sql() + """

@@ -12,9 +12,15 @@ from cellweft.functions import geo
 from cellweft.functions.display import risk_band, round_half_even
 from cellweft.functions.text import parse_variant_time
 from cellweft.operators import daily, events, features, keys, lattice, layers, learn, quality, serve, windows
+from cellweft.session import scratch_path
 from cellweft.sources import hourly, pages, tables
 
 
+def _kept(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """The rows from a written copy, for results that several passes read."""
+    return spark.read.parquet(tables.write_table(df, scratch_path(spark, label)))
+
+
 def build_events(spark: SparkSession, pages_path: str, out: str, start: str | None = None, end: str | None = None,
                  max_records: int | None = None, multi_line: bool = True,
                  resolution: int = DEFAULT_RESOLUTION) -> str:
@@ -62,7 +68,8 @@ def build_cells(spark: SparkSession, grid_path: str, water: DataFrame, roads: Da
     usable = layers.building_rows(buildings)
     if resolution is None:
         lines = [layers.line_density_on_polygons(df, grid, kind) for df, kind in ((water, "water"), (roads, "road"))]
-        placed = layers.points_in_polygons(usable, grid)
+        # Two aggregates read the placed points, and the join that places them is costly.
+        placed = _kept(spark, layers.points_in_polygons(usable, grid).select("cell_id", "objectid", "year_built"), "placed")
     else:
         lines = [layers.line_density(df, kind, resolution) for df, kind in ((water, "water"), (roads, "road"))]
         placed = layers.points_in_cells(usable, resolution=resolution)
@@ -98,7 +105,9 @@ def score_requests(spark: SparkSession, requests: DataFrame, grid_path: str, cel
     keys.require_unique(requests, ["request_id"], "requests")
     refused = F.coalesce(serve.request_problem(), serve.scenario_problem()).isNotNull()
     accepted = requests.filter(~refused)
-    shown = serve.first_cells(serve.bbox_cells(accepted, tables.require_table(spark, grid_path, "grid")))
+    # Both the scores and the metadata start from the cells shown.
+    found = serve.bbox_cells(accepted, tables.require_table(spark, grid_path, "grid"))
+    shown = _kept(spark, serve.first_cells(found), "shown")
     cells = tables.require_table(spark, cells_path, "cell features")
     cells = cells if "station_id" in cells.columns else cells.withColumn("station_id", F.lit(station))
     keys.require_unique(cells, ["cell_id"], "cell features")
