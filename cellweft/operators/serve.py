@@ -60,41 +60,38 @@ def first_cells(selected: DataFrame, limit: str = "max_features", request: str =
 def with_weather(cells: DataFrame, latest: DataFrame, station: str = "station_id") -> DataFrame:
     """The latest weather row of its station on every cell; weather wins a name clash.
 
-    There is one weather row per station, so Spark broadcasts it while it is small; above
+    Cells of a station without weather stay, with nulls. There is one weather row per station, so Spark broadcasts it while it is small; above
     that its adaptive skew join splits a station with very many cells.
     """
     kept = [c for c in cells.columns if c == station or c not in latest.columns]
-    return cells.select(*kept).join(latest, station)
+    return cells.select(*kept).join(latest, station, "left")
 
 
 def apply_scenario(df: DataFrame, temperature: str = "sim_temperature_c",
                    humidity: str = "sim_relative_humidity", dry_days: str = "sim_dry_days") -> DataFrame:
     """What-if values over the weather columns; a null scenario value changes nothing.
 
-    Lows, deltas, dry hours and rain stay as they were.
+    Lows, deltas, dry hours and rain stay as they were. Where the weather has no temperature
+    or humidity column at all, 20 C and 50 % stand in for the new heat index only.
     """
     t, h, d = F.col(temperature), F.col(humidity), F.col(dry_days)
-    now_t, now_h = F.coalesce(t, F.col("temperature_c")), F.coalesce(h, F.col("relative_humidity"))
-    changed = t.isNotNull() | h.isNotNull()
-    felt = heat_index_c(now_t, now_h)
+
+    def given(name: str, fallback: float | None = None) -> Column:
+        return F.col(name) if name in df.columns else F.lit(fallback).cast("double")
+
+    felt = heat_index_c(F.coalesce(t, given("temperature_c", 20.0)), F.coalesce(h, given("relative_humidity", 50.0)))
     columns = {
-        "temperature_c": now_t,
-        "relative_humidity": now_h,
-        "temp_max_24h": F.coalesce(t, F.col("temp_max_24h")),
-        "temp_max_48h": F.coalesce(t, F.col("temp_max_48h")),
-        "consecutive_dry_days": F.coalesce(d, F.col("consecutive_dry_days")),
+        "temperature_c": F.coalesce(t, given("temperature_c")),
+        "relative_humidity": F.coalesce(h, given("relative_humidity")),
+        "temp_max_24h": F.coalesce(t, given("temp_max_24h")),
+        "temp_max_48h": F.coalesce(t, given("temp_max_48h")),
+        "consecutive_dry_days": F.coalesce(d, given("consecutive_dry_days")),
     }
     for name in ("heat_index_c", "heat_index_max_24h", "heat_index_max_48h"):
-        columns[name] = F.when(changed, felt).otherwise(F.col(name))
+        columns[name] = F.when(t.isNotNull() | h.isNotNull(), felt).otherwise(given(name))
     return df.withColumns(columns)
 
 
-def with_default_weather(df: DataFrame) -> DataFrame:
-    """Give rows without temperature or humidity columns the fallbacks a scenario needs."""
-    missing = {"temperature_c": 20.0, "relative_humidity": 50.0}
-    return df.withColumns({c: F.lit(v) for c, v in missing.items() if c not in df.columns})
-
-
 def aligned(df: DataFrame, columns: list[str]) -> list[Column]:
     """Model columns in order: absent ones null, the rest as numbers."""
     return [

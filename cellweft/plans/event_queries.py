@@ -84,8 +84,7 @@ def write_pages(spark, rows: DataFrame, label: str) -> str:
 
 def landed_features(spark, folder) -> DataFrame:
     path = write_pages(spark, feature_json(requests(spark, folder)), "pages")
-    found = page_source.read_pages(spark, path, multi_line=False)
-    return page_source.page_features(page_source.require_good_pages(found))
+    return page_source.page_features(page_source.read_pages(spark, path, multi_line=False))
 
 
 _JSON_SQL = f"""

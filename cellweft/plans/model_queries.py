@@ -175,12 +175,10 @@ def trained(spark, folder) -> str:
 
 @query("train_classifier")
 def train_classifier(spark, folder):
-    """The trees of a classifier trained on the training rows: nodes and depth per tree."""
-    rows = written_matrix(spark, folder)
-    columns = features.feature_columns(rows)
-    tests = evaluate.split_tests(rows, evaluate.split_bounds(rows))
-    model = learn.classifier(learn.train_classifier(rows.filter(tests["train"]), columns))
-    trees = [(i, t.numNodes, t.depth, float(w)) for i, (t, w) in enumerate(zip(model.trees, model.treeWeights, strict=True))]
+    """The trees of the trained classifier: nodes, depth and weight of each."""
+    model, _ = learn.load_model(spark, trained(spark, folder))
+    parts = learn.classifier(model)
+    trees = [(i, t.numNodes, t.depth, float(w)) for i, (t, w) in enumerate(zip(parts.trees, parts.treeWeights, strict=True))]
     return spark.createDataFrame(trees, "tree int, nodes int, depth int, weight double")
 
 

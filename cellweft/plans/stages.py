@@ -24,11 +24,11 @@ def _kept(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 def build_events(spark: SparkSession, pages_path: str, out: str, start: str | None = None, end: str | None = None,
                  max_records: int | None = None, multi_line: bool = True,
                  resolution: int = DEFAULT_RESOLUTION) -> str:
-    """Landed pages to stored events; a page with a problem stops the stage.
+    """Landed pages to stored events; a page with a problem stops the stage before it stores any.
 
     Dates and the record cap apply to all source records, before any of them is matched.
     """
-    found = pages.require_good_pages(pages.read_pages(spark, pages_path, multi_line))
+    found, seen = pages.watch_pages(pages.read_pages(spark, pages_path, multi_line))
     rows = pages.page_features(found).withColumns({
         "_created": parse_variant_time(F.col("createddate")),
         "_id": F.try_variant_get("objectid", "$", "bigint"),
@@ -37,7 +37,8 @@ def build_events(spark: SparkSession, pages_path: str, out: str, start: str | No
         rows = rows.filter(events.date_range("_created", start, end))
     if max_records is not None:
         rows = events.cap_records(rows, max_records, ("_created", "_id"))
-    stored = events.accepted_events(events.judge_features(rows), resolution)
+    stored = _kept(spark, events.accepted_events(events.judge_features(rows), resolution), "events")
+    pages.require_watched(seen)
     return tables.write_table(stored, out, order=["createddate", "objectid"])
 
 
@@ -114,7 +115,7 @@ def score_requests(spark: SparkSession, requests: DataFrame, grid_path: str, cel
     weather = tables.require_table(spark, weather_path, "weather features")
     latest = keys.latest_per_key(weather, ["station_id"], "timestamp")
     rows = serve.with_weather(shown.join(cells, "cell_id", "left").fillna({"station_id": station}), latest)
-    changed = serve.apply_scenario(serve.with_default_weather(rows))
+    changed = serve.apply_scenario(rows)
     scored = learn.score_rows(model, metadata["feature_columns"], changed).withColumns({
         "target_mode": F.lit(metadata["target_mode"]), "model_version": F.lit(metadata["model_version"]),
     })

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,21 @@ def require_good_pages(pages: DataFrame) -> DataFrame:
     return pages
 
 
+def watch_pages(pages: DataFrame) -> tuple[DataFrame, Observation]:
+    """The pages, and a count of bad ones taken while the next action reads them.
+
+    This saves parsing all pages once more just to check them.
+    """
+    seen = Observation()
+    return pages.observe(seen, F.count_if(F.col("problem").isNotNull()).alias("bad")), seen
+
+
+def require_watched(seen: Observation) -> None:
+    """Raise when the action that read the watched pages met a bad one."""
+    if seen.get["bad"]:
+        raise DataError(f"bad pages: {seen.get['bad']}")
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """One row per feature, with the fields the event steps need and its arrival order."""
     good = pages.filter(F.col("problem").isNull())

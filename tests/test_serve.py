@@ -61,11 +61,22 @@ def test_what_if_changes_only_its_columns(spark):
     assert rows[2]["temp_max_48h"] == 35.0 and rows[2]["temp_min_24h"] == 1.0 and rows[2]["heat_index_max_24h"] > 35
     assert rows[3]["heat_index_c"] == 10.0 and rows[3]["relative_humidity"] == 80.0 and rows[3]["temp_max_24h"] == 1.0
     assert rows[4]["consecutive_dry_days"] == 9.0 and rows[4]["heat_index_c"] == 1.0 and rows[4]["consecutive_dry_hours"] == 1.0
+    bare = serve.apply_scenario(df.drop("temperature_c", "relative_humidity", "heat_index_c"))
+    rows = {r["id"]: r for r in bare.collect()}
+    assert rows[1]["temperature_c"] is None and rows[1]["heat_index_c"] is None
+    assert rows[3]["heat_index_c"] == 20.0 and rows[2]["relative_humidity"] is None and rows[2]["heat_index_c"] > 35
     bad = spark.createDataFrame([(61.0, None, None), (None, 101.0, None), (None, None, -1.0), (None, 100.0, None)],
                                 "sim_temperature_c double, sim_relative_humidity double, sim_dry_days double")
     assert [r[0] is None for r in bad.select(serve.scenario_problem()).collect()] == [False, False, False, True]
 
 
+def test_cells_without_weather_stay(spark):
+    cells = spark.createDataFrame([("a", "1", 5.0), ("b", "2", 6.0)], "cell_id string, station_id string, shared double")
+    latest = spark.createDataFrame([("1", 9.0, 20.0)], "station_id string, shared double, temperature_c double")
+    rows = {r["cell_id"]: (r["shared"], r["temperature_c"]) for r in serve.with_weather(cells, latest).collect()}
+    assert rows == {"a": (9.0, 20.0), "b": (None, None)}
+
+
 def test_geojson_and_allow_list(spark):
     grid = lattice.cell_boundary(spark.createDataFrame([("r8_5_5",)], "cell_id string"))
     row = grid.select(F.lit(1).alias("request_id"), "cell_id", "geometry", F.lit(0.71239).alias("risk_score"), F.lit(None).cast("double").alias("line_length_km_water"),

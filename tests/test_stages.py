@@ -115,3 +115,8 @@ def test_event_stage_caps_before_matching(spark, tmp_path):
     assert ids("a") == [2, 3]
     assert ids("b", max_records=2) == [2]
     assert ids("c", start="2023-07-04", end="2023-07-04") == [3]
+    (tmp_path / "in" / "page_2.json").write_text('{"error": {"code": 500}}', encoding="utf-8")
+    for name, more in (("d", {}), ("e", {"max_records": 2})):
+        with pytest.raises(DataError, match="bad pages"):
+            ids(name, **more)
+        assert not (tmp_path / name).exists()
