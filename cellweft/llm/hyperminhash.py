@@ -217,7 +217,10 @@ def open_blocks(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_partners(blocks: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
-    """(band, key, i, j, node, partners): pairs across components that agree first in this band."""
+    """(band, key, i, j, node, partners): pairs across components that agree first in this band.
+
+    Every node of such a pair has one row in its group; the list names each pair once.
+    """
     told = blocks.join(nodes.select("node", "regs", "n_shingles"), "node")
 
     def run(key, rows):
@@ -230,7 +233,7 @@ def near_partners(blocks: DataFrame, nodes: DataFrame, share: float) -> DataFram
         regs = np.frombuffer(b"".join(rows["regs"][keep]), np.uint16).reshape(len(names), REGISTERS)
         words = regs.view(np.uint64)
         filled = (regs.reshape(len(regs), BANDS, ROWS) != EMPTY).any(2)
-        found = []
+        partners: dict[int, list] = {}
         for k in range(len(names)):
             if i == j:
                 others = np.arange(k + 1, len(names))
@@ -243,8 +246,10 @@ def near_partners(blocks: DataFrame, nodes: DataFrame, share: float) -> DataFram
             if len(others):
                 others = others[worth_verifying(regs[k], regs[others], sizes[k], sizes[others], share)]
             if len(others):
-                found.append((*key, names[k], list(names[others])))
-        return found
+                partners.setdefault(k, []).extend(names[others])
+                for other in others.tolist():
+                    partners.setdefault(other, [])
+        return [(*key, names[k], found) for k, found in partners.items()]
 
     schema = fields(band="int", key="long", i="int", j="int", node="binary", partners="array<binary>")
     return written(by_groups(told, ["band", "key", "i", "j"], run, schema), "partners")
@@ -253,10 +258,10 @@ def near_partners(blocks: DataFrame, nodes: DataFrame, share: float) -> DataFram
 def verify_blocks(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links of each group, without those that join what the group has joined already."""
     group = ["band", "key", "i", "j"]
-    needed = near.select(*group, "node").unionByName(near.select(*group, F.explode("partners").alias("node"))).distinct()
     none = F.lit(None)
-    both = needed.join(sets, "node").select(*group, "node", "shingles", none.cast("array<binary>").alias("partners"))
-    both = both.unionByName(near.select(*group, "node", none.cast("binary").alias("shingles"), "partners"))
+    both = near.select(*group, "node").join(sets, "node").select(*group, "node", "shingles", none.cast("array<binary>").alias("partners"))
+    both = both.unionByName(near.filter(F.size("partners") > 0).select(
+        *group, "node", none.cast("binary").alias("shingles"), "partners"))
 
     def run(key, rows):
         full = {bytes(n): np.frombuffer(s, np.uint64) for n, s in zip(rows["node"], rows["shingles"]) if s is not None}
@@ -295,8 +300,7 @@ def duplicate_groups(docs: DataFrame, id_col="doc_id", text_col="text", width: i
     roots = written(components(links), "roots")
 
     near = near_partners(open_blocks(entries, roots), nodes, share)
-    wanted = near.select("node").unionByName(near.select(F.explode("partners").alias("node"))).distinct()
-    more = verify_blocks(near, full_sets(docs, wanted, nodes, id_col, text_col, width), percent)
+    more = verify_blocks(near, full_sets(docs, near.select("node").distinct(), nodes, id_col, text_col, width), percent)
     links = written(links.unionByName(more), "links")
     roots = written(components(links), "roots")
 
