@@ -35,7 +35,7 @@ SEPARATOR = b"\x00\x00\x00\x00"
 SPECIAL = "<|endoftext|>"
 #: Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO_SIZE = 500_000
+MEMO_SIZE = 120_000
 _SPACE_RUN = re.compile(r"\s ")
 _ENCODERS: dict[str, Encoder] = {}
 
