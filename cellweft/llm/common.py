@@ -7,7 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cellweft.session import configure, scratch_path
 
@@ -34,6 +34,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, label: str, rows: int = 10_000) -> DataFrame:
+    """A written copy, hinted for broadcast only if it has at most ``rows`` rows; beyond, joins shuffle."""
+    kept = written(df, label)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cellweft.llm.common import tune, written
+from cellweft.llm.common import small_side, tune, written
 
 #: The weights, the share of all words, the limit per source.
 WEIGHTS = (3, 1, 2)
@@ -127,9 +127,9 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     tune(docs.sparkSession)
     rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                                word_count(F.col(text_col)).alias("size")), "sizes")
-    targets = written(source_targets(rows.select("source", "size")), "targets")
+    targets = small_side(source_targets(rows.select("source", "size")), "targets")
     largest = targets.agg(F.max("n")).first()[0] or 0
-    told = rows.join(F.broadcast(targets) if targets.count() <= 1000 else targets,
+    told = rows.join(targets,
                      rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(LIMIT))).otherwise(0.0)
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1))
