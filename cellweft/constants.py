@@ -8,7 +8,6 @@ TARGET_REQUEST_TYPES = (
     "WATER MAIN BREAK",
 )
 EVENT_COLUMNS = ("objectid", "reqtype", "category", "createddate", "cell_id")
-MAX_SOURCE_RECORDS = 1_000_000
 PAGE_SIZE = 1_000
 MAX_PAGES = 500
 

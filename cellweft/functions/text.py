@@ -47,9 +47,10 @@ def parse_variant_time(value: Column) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """Number from text; bad text and NaN become null."""
+    """Number from text; bad text, NaN and numbers with a type suffix (``12d``) become null."""
     number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    suffixed = F.coalesce(F.regexp_like(value.cast("string"), F.lit(r"(?i)[0-9.]\s*[df]\s*$")), F.lit(False))
+    return F.when(~F.isnan(number) & ~suffixed, number)
 
 
 def parse_local_time(value: Column) -> Column:

@@ -15,7 +15,7 @@ def _power(value: Column, exponent: int) -> Column | None:
 
 
 def heat_index_c(temperature_c: Column, humidity: Column) -> Column:
-    """Heat index in Celsius; air temperature below 80 F, null when either input is null."""
+    """Heat index in Celsius; air temperature below 80 F, null when an input is null or humidity is no percentage."""
     fahrenheit = temperature_c * 9 / 5 + 32
     total = None
     for coefficient, t_power, h_power in HEAT_INDEX_TERMS:
@@ -24,7 +24,7 @@ def heat_index_c(temperature_c: Column, humidity: Column) -> Column:
             if factor is not None:
                 term = term * factor
         total = term if total is None else total + term
-    return F.when(temperature_c.isNull() | humidity.isNull(), F.lit(None).cast("double")).otherwise(
+    return F.when(temperature_c.isNull() | ~F.coalesce(humidity.between(0, 100), F.lit(False)), F.lit(None).cast("double")).otherwise(
         F.when(fahrenheit < HEAT_INDEX_MIN_F, temperature_c).otherwise((total - 32) * 5 / 9)
     )
 

@@ -23,9 +23,11 @@ def daily_last(df: DataFrame, columns: Sequence[str] | None = None, station: str
     return days.dropna(how="all", subset=columns).select(station, F.col("_day").alias(ts), *columns)
 
 
-def newest_days(days: DataFrame, limit: int = MAX_TRAINING_DAYS, station: str = "station_id",
+def newest_days(days: DataFrame, limit: int | None = MAX_TRAINING_DAYS, station: str = "station_id",
                 ts: str = "timestamp") -> DataFrame:
-    """The newest ``limit`` days of each station (one row per station and day comes in)."""
+    """The newest ``limit`` days of each station, all for None (one row per station and day comes in)."""
+    if limit is None:
+        return days
     newest = Window.partitionBy(station).orderBy(F.col(ts).desc())
     ranked = days.withColumn("_rank", F.row_number().over(newest))
     return ranked.filter(F.col("_rank") <= limit).drop("_rank")

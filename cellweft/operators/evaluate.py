@@ -35,7 +35,7 @@ def split_tests(df: DataFrame, bounds: tuple[int, int], ts: str = "timestamp",
                 purge_hours: int = PREDICTION_HORIZON_HOURS) -> dict[str, Column]:
     """Row test of each split: plain comparisons with typed constants, so scans can skip row groups."""
     if purge_hours < 0:
-        raise ValueError("purge_hours cannot be negative")
+        raise ValueError("purge_hours is below zero")
     train_end, validation_end = bounds
     gap = purge_hours * HOUR_US
 
@@ -57,7 +57,7 @@ def temporal_split(df: DataFrame, ts: str = "timestamp", purge_hours: int = PRED
     With no purge a row on a boundary belongs to two splits, so this is not one label per row.
     """
     if purge_hours < 0:
-        raise ValueError("purge_hours cannot be negative")
+        raise ValueError("purge_hours is below zero")
     tests = split_tests(df, bounds or split_bounds(df, ts), ts, purge_hours)
     member = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
     return df.withColumn("split", F.explode(member))

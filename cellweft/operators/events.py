@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.constants import DEFAULT_RESOLUTION, EVENT_COLUMNS, EXTENT, MAX_SOURCE_RECORDS
+from cellweft.constants import DEFAULT_RESOLUTION, EVENT_COLUMNS, EXTENT
 from cellweft.errors import DataError
 from cellweft.functions.text import is_target_request, normalize_text, parse_variant_time
 from cellweft.operators.keys import first_per_key
@@ -91,6 +91,6 @@ def minimize_events(features: DataFrame, resolution: int = DEFAULT_RESOLUTION) -
 
 def cap_records(df: DataFrame, limit: int, order: tuple[str, ...] = ("createddate", "objectid")) -> DataFrame:
     """The first ``limit`` source records in source order."""
-    if not 1 <= limit <= MAX_SOURCE_RECORDS:
-        raise ValueError(f"limit must be between 1 and {MAX_SOURCE_RECORDS}")
+    if limit < 1:
+        raise ValueError("the record limit is at least 1")
     return first_n(df, limit, order)

@@ -73,14 +73,23 @@ def rule_score(df: DataFrame, water_median: float) -> Column:
     )
 
 
-def rule_label(matrix: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Add the rule label. The water median is taken over ``cells`` when given.
+def rule_label(matrix: DataFrame, cells: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """Add the rule label, by the water median over the matrix.
 
-    In a matrix every cell repeats equally often, so the median over cells is the median
-    over the matrix at a fraction of the cost; pass ``cells`` whenever that holds.
+    With ``cells`` and ``days`` (what the matrix was crossed from) each cell counts as often as its
+    station has days, which is the same median at a fraction of the cost. ``cells`` alone
+    will do only where every station has equally many days.
     """
     name = "line_length_km_water"
-    median = exact_median(matrix if cells is None else cells, name) if name in matrix.columns else 0.0
+    if name not in matrix.columns:
+        median = 0.0
+    elif cells is None:
+        median = exact_median(matrix, name)
+    elif days is None:
+        median = exact_median(cells, name)
+    else:
+        counts = days.groupBy("station_id").agg(F.count("*").alias("_days"))
+        median = exact_median(cells.select("station_id", name).join(counts, "station_id"), name, "_days")
     return matrix.withColumn(LABEL, (rule_score(matrix, median) >= 4).cast("int"))
 
 
@@ -91,10 +100,11 @@ def observed_label(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn(LABEL, F.col(LABEL).cast("int"))
 
 
-def with_label(matrix: DataFrame, mode: str = "synthetic", cells: DataFrame | None = None) -> DataFrame:
+def with_label(matrix: DataFrame, mode: str = "synthetic", cells: DataFrame | None = None,
+               days: DataFrame | None = None) -> DataFrame:
     if mode not in TARGET_MODES:
         raise ValueError(f"mode must be one of: {', '.join(TARGET_MODES)}")
-    return observed_label(matrix) if mode == "observed" else rule_label(matrix, cells)
+    return observed_label(matrix) if mode == "observed" else rule_label(matrix, cells, days)
 
 
 def feature_columns(df: DataFrame) -> list[str]:

@@ -7,6 +7,7 @@ large share of the rows costs its reducer one row per map task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +41,14 @@ def require_unique(df: DataFrame, keys: Sequence[str], label: str) -> None:
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Rows of ``new`` replace rows of ``base`` with the same key; the rest stay.
 
-    ``order`` says which of several new rows per key wins (the last one).
+    ``order`` says which of several new rows per key wins (the last one); without it, a key
+    that repeats is an error, as is a null key.
     """
-    if order:
+    if not new.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).isEmpty():
+        raise DataError(f"new rows have null keys: {', '.join(keys)}")
+    if not order:
+        require_unique(new, keys, "new rows")
+    else:
         winner = F.max_by(F.struct(*new.columns), F.struct(*order)).alias("_row")
         new = new.groupBy(*keys).agg(winner).select("_row.*")
     kept = base.join(new.select(*keys), list(keys), "left_anti")

@@ -117,7 +117,7 @@ def cells_of_boxes(boxes: DataFrame, box: tuple[str, str, str, str] = ("west", "
     """
     west, south, east, north = (F.col(c) for c in box)
     if check and not boxes.filter(world_bbox_problem(west, south, east, north).isNotNull()).isEmpty():
-        raise DataError("bbox must be ordered west, south, east, north")
+        raise DataError("corners are not in west, south, east, north order")
     a = geo.edge_m(resolution)
     step_x, step_y = a * geo.SQRT3, a * 1.5
     # A box's metric extremes lie on its corners or where its south side crosses the

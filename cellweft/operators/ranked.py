@@ -54,9 +54,10 @@ def running_totals(df: DataFrame, column: str, sums: Sequence[str], ascending: b
     return joined.withColumns(cumulated).select(*df.columns, *cumulated)
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-null values with their counts, written once for the passes that follow."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    """Distinct non-null values with their counts (or sums of a whole-number weight), written once."""
+    many = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(many.alias("n"))
     return cut_lineage(counts)
 
 
@@ -72,9 +73,9 @@ def nth_values(counts: DataFrame, column: str, ranks: Sequence[int]) -> list:
     return [found[k] for k in ranks]
 
 
-def exact_median(df: DataFrame, column: str) -> float | None:
-    """Exact median of a numeric column; null when it holds no values."""
-    counts = value_counts(df, column)
+def exact_median(df: DataFrame, column: str, weight: str | None = None) -> float | None:
+    """Exact median of a numeric column, each row ``weight`` times; null when it holds no values."""
+    counts = value_counts(df, column, weight)
     size = counts.agg(F.sum("n")).first()[0]
     if not size:
         return None

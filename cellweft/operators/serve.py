@@ -148,19 +148,30 @@ def collection_metadata(requests: DataFrame, answered: DataFrame, target_mode: s
     )
 
 
+def request_answers(requests: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row per request: the metadata of an answered one, the reason of a refused one."""
+    reason = F.coalesce(request_problem(), scenario_problem())
+    told = requests.select("request_id", reason.alias("reason")).join(metadata, "request_id", "left")
+    return told.withColumns({
+        "status": F.when(F.col("reason").isNull(), "answered").otherwise("refused"),
+        "feature_count": F.coalesce("feature_count", F.lit(0)),
+        "truncated": F.coalesce("truncated", F.lit(False)),
+    })
+
+
 def risk_summary(scored: DataFrame, score: str = "risk_score", request: str = "request_id") -> DataFrame:
-    """Per request: cells, cells in the high band, mean and greatest score."""
+    """Per request: cells, cells in the high band by the score as shown (four places), mean and greatest score."""
     return scored.groupBy(request).agg(
         F.count("*").alias("cells"),
-        F.count_if(F.col(score) >= HIGH_RISK).alias("high_cells"),
+        F.count_if(round_half_even(F.col(score), 4) >= HIGH_RISK).alias("high_cells"),
         F.avg(score).alias("mean_risk"),
         F.max(score).alias("max_risk"),
     )
 
 
 def at_least(scored: DataFrame, minimum: float, score: str = "risk_score") -> DataFrame:
-    """Scored cells at or above a minimum; a minimum of 0 or less keeps all."""
-    return scored.filter(F.col(score) >= minimum) if minimum > 0 else scored
+    """Scored cells whose score as shown (four places) is at or above a minimum; 0 or less keeps all."""
+    return scored.filter(round_half_even(F.col(score), 4) >= minimum) if minimum > 0 else scored
 
 
 def weather_summary(latest: DataFrame) -> DataFrame:

@@ -58,6 +58,19 @@ def rule_label(spark, folder):
     return labelled.select("cell_id", "timestamp", LABEL)
 
 
+@query("rule_label_uneven", with_views("matrix").rstrip() + f""",
+uneven AS (SELECT * FROM matrix WHERE station_id <> 'click' OR day(timestamp) % 4 = 0)
+SELECT cell_id, timestamp, (2 * (line_length_km_water > (SELECT median(line_length_km_water) FROM uneven))::INT
+  + 2 * (pct_pre_1980 >= 0.4)::INT + (heat_index_c >= 28)::INT + (consecutive_dry_days >= 2)::INT + (rainfall_48h < 1)::INT >= 4)::INT AS {LABEL}
+FROM uneven""")
+def rule_label_uneven(spark, folder):
+    """One station has a quarter of the days, so its cells count less in the median."""
+    cells = stationed(spark, folder)
+    some = days(spark, folder).filter((F.col("station_id") != "click") | (F.dayofmonth("timestamp") % 4 == 0))
+    labelled = features.with_label(features.feature_matrix(cells, some), "synthetic", cells, some)
+    return labelled.select("cell_id", "timestamp", LABEL)
+
+
 @query("observed_label", f"""
 SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::INT AS {LABEL} FROM lineitem""")
 def observed_label(spark, folder):

@@ -46,9 +46,9 @@ def _scored_sql() -> str:
 
 
 @query("validate_bbox", with_views("requests") + """
-SELECT request_id, CASE WHEN west >= east THEN 'min_lon must be less than max_lon' WHEN south >= north THEN 'min_lat must be less than max_lat'
-  WHEN east - west > 0.5 OR north - south > 0.5 THEN 'bounding box is too large'
-  WHEN west < -76.35 OR east > -75.50 OR south < 45.25 OR north > 45.60 THEN 'bounding box is outside the extent' END AS problem
+SELECT request_id, CASE WHEN west >= east THEN 'west is not below east' WHEN south >= north THEN 'south is not below north'
+  WHEN east - west > 0.5 OR north - south > 0.5 THEN 'box spans too many degrees'
+  WHEN west < -76.35 OR east > -75.50 OR south < 45.25 OR north > 45.60 THEN 'box leaves the service area' END AS problem
 FROM requests""")
 def validate_bbox(spark, folder):
     problem = bbox_problem(*[F.col(c) for c in serve.BOX])
@@ -151,6 +151,26 @@ def collection_metadata(spark, folder):
     return serve.collection_metadata(requests, shown, "synthetic", "stand-in")
 
 
+_REASON = """CASE WHEN west >= east THEN 'west is not below east' WHEN south >= north THEN 'south is not below north'
+  WHEN east - west > 0.5 OR north - south > 0.5 THEN 'box spans too many degrees'
+  WHEN west < -76.35 OR east > -75.50 OR south < 45.25 OR north > 45.60 THEN 'box leaves the service area' {more}END"""
+
+
+@query("request_answers", with_views("met", "grid").rstrip() + ",\n" + _SHOWN.split(",\nscored_cells")[0] + f"""
+SELECT request_id, CASE WHEN reason IS NULL THEN 'answered' ELSE 'refused' END AS status, reason,
+  CASE WHEN reason IS NULL THEN coalesce(n, 0) ELSE 0 END AS feature_count
+FROM (SELECT request_id, {_REASON.format(more="WHEN request_id % 7 = 0 THEN 'max_features is outside its range' ")} AS reason FROM requests)
+  LEFT JOIN (SELECT request_id, count(*) AS n FROM shown GROUP BY 1) USING (request_id)""")
+def request_answers(spark, folder):
+    """Every request gets a row; one in seven asks for no features and is refused for it."""
+    limit = F.when(F.col("request_id") % 7 == 0, 0).otherwise(F.col("max_features"))
+    requests = inputs.requests(spark, folder).withColumn("max_features", limit)
+    accepted = requests.filter(serve.request_problem().isNull())
+    shown = serve.first_cells(serve.bbox_cells(accepted, grid(spark, folder)))
+    answers = serve.request_answers(requests, serve.collection_metadata(accepted, shown))
+    return answers.select("request_id", "status", "reason", "feature_count")
+
+
 @query("cell_profile", with_views("cell_table") + """
 SELECT cell_id, CASE WHEN b >= 130 THEN 'dense urban core' WHEN b >= 40 THEN 'suburban medium density' ELSE 'low density fringe' END AS density,
   CASE WHEN b > 90 AND line_length_km_water > 3 THEN 'high asset concentration' ELSE 'moderate asset density' END AS assets,

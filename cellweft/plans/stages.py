@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.constants import DEFAULT_RESOLUTION, EXTENT, PREDICTION_HORIZON_HOURS
+from cellweft.constants import DEFAULT_RESOLUTION, EXTENT, MAX_TRAINING_DAYS, PREDICTION_HORIZON_HOURS
 from cellweft.functions import geo
 from cellweft.functions.display import risk_band, round_half_even
 from cellweft.functions.text import parse_variant_time
@@ -79,15 +79,15 @@ def build_cells(spark: SparkSession, grid_path: str, water: DataFrame, roads: Da
 
 
 def build_matrix(spark: SparkSession, cells_path: str, weather_path: str, out: str, station: str,
-                 mode: str = "synthetic") -> str:
-    """Cells crossed with the newest days of their station, labelled."""
+                 mode: str = "synthetic", max_days: int | None = MAX_TRAINING_DAYS) -> str:
+    """Cells crossed with the newest ``max_days`` days of their station (None: all), labelled."""
     cells = tables.require_table(spark, cells_path, "cell features")
     cells = cells if "station_id" in cells.columns else cells.withColumn("station_id", F.lit(station))
     weather = tables.require_table(spark, weather_path, "weather features", ["station_id", "timestamp"])
-    days = daily.newest_days(daily.daily_last(weather))
+    days = _kept(spark, daily.newest_days(daily.daily_last(weather), max_days), "days")
     features.check_matrix_inputs(cells, days)
     matrix = features.feature_matrix(cells, days)
-    return tables.write_table(features.with_label(matrix, mode, cells), out, order=["timestamp", "cell_id"])
+    return tables.write_table(features.with_label(matrix, mode, cells, days), out, order=["timestamp", "cell_id"])
 
 
 def build_model(spark: SparkSession, matrix_path: str, out: str, mode: str = "synthetic", trees: int = learn.TREES,
@@ -101,7 +101,7 @@ def build_model(spark: SparkSession, matrix_path: str, out: str, mode: str = "sy
 
 def score_requests(spark: SparkSession, requests: DataFrame, grid_path: str, cells_path: str, weather_path: str,
                    model_path: str, station: str) -> tuple[DataFrame, DataFrame]:
-    """Map requests to (scored cells, one metadata row per accepted request)."""
+    """Map requests to (scored cells, one answer per request: its metadata, or why it is refused)."""
     model, metadata = learn.load_model(spark, model_path)
     keys.require_unique(requests, ["request_id"], "requests")
     refused = F.coalesce(serve.request_problem(), serve.scenario_problem()).isNotNull()
@@ -119,7 +119,8 @@ def score_requests(spark: SparkSession, requests: DataFrame, grid_path: str, cel
     scored = learn.score_rows(model, metadata["feature_columns"], changed).withColumns({
         "target_mode": F.lit(metadata["target_mode"]), "model_version": F.lit(metadata["model_version"]),
     })
-    return scored, serve.collection_metadata(accepted, shown, metadata["target_mode"], metadata["model_version"])
+    told = serve.collection_metadata(accepted, shown, metadata["target_mode"], metadata["model_version"])
+    return scored, serve.request_answers(requests, told)
 
 
 def score_cells(spark: SparkSession, asked: DataFrame, grid_path: str, cells_path: str, weather_path: str,

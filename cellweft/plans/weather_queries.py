@@ -85,7 +85,14 @@ _DAY_ROUND = "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _
 @query("daily_last", with_views("days") + _DAY_ROUND + "days")
 def daily_last(spark, folder):
     weather = windows.weather_features(inputs.obs(spark, folder))
-    return rounded(daily.newest_days(daily.daily_last(weather, DAY_COLUMNS)), *_ROUND)
+    return rounded(daily.daily_last(weather, DAY_COLUMNS), *_ROUND)
+
+
+@query("newest_days", with_views("days") + _DAY_ROUND + """days
+  QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) <= 7""")
+def newest_days(spark, folder):
+    weather = windows.weather_features(inputs.obs(spark, folder))
+    return rounded(daily.newest_days(daily.daily_last(weather, DAY_COLUMNS), limit=7), *_ROUND)
 
 
 @query("latest_row", with_views("obs") + """

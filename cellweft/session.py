@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +30,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Return the folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder, because there all tasks share one machine.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session may do
+    without; it then uses a folder in the warehouse.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
@@ -41,9 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError(f"{CHECKPOINT_SETTING} must name a shared folder on a cluster")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cellweft-"))
+    context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
     return context.getCheckpointDir()
 
 

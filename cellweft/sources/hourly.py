@@ -25,12 +25,12 @@ def check_station_id(station_id: str) -> str:
 
 
 def read_hourly(spark: SparkSession, path: str | Sequence[str], station_id: str | None = None) -> DataFrame:
-    """Read CSV files that share one header; the station is ``station_id`` or a partition folder.
+    """Read CSV files that share one header (another one is an error); the station is ``station_id`` or a partition folder.
 
     Every field is read as text. Arrival order is kept in the ``_file``, ``_block`` and
     ``_row`` columns for the keep-first step.
     """
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
     return normalize_hourly(
         raw.select(
             "*",

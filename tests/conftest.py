@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,8 @@ from cellweft.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    settings = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"}
+    settings = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g",
+                "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="cellweft-tests-")}
     session = build_session("tests", "local[8]", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -56,6 +56,6 @@ def test_first_n_takes_nulls_last_and_copies_whole(spark):
 
 
 def test_cap_limits(spark):
-    for bad in (0, 1_000_001):
+    for bad in (0, -1):
         with pytest.raises(ValueError, match="limit"):
             cap_records(spark.range(1), bad, ("id",))

@@ -22,8 +22,8 @@ def test_bad_boxes_have_their_own_reason(spark):
              (4, -75.52, 45.4, -75.4, 45.5), (5, -75.7, 45.4, -75.6, 45.5), (6, None, 45.4, -75.6, 45.5)]
     df = spark.createDataFrame(boxes, "id int, west double, south double, east double, north double")
     reasons = [r[0] for r in df.orderBy("id").select(bbox_problem(*[F.col(c) for c in serve.BOX])).collect()]
-    assert reasons == ["min_lon must be less than max_lon", "min_lat must be less than max_lat", "bounding box is too large",
-                       "bounding box is outside the extent", None, "missing corner"]
+    assert reasons == ["west is not below east", "south is not below north", "box spans too many degrees",
+                       "box leaves the service area", None, "missing corner"]
 
 
 def test_clamped_boxes_are_accepted(spark):

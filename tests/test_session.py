@@ -20,6 +20,8 @@ def test_cluster_folder_comes_from_the_setting():
 def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="shared folder"):
         session.shared_folder(fake("yarn"))
+    with pytest.raises(RuntimeError, match="shared folder"):
+        session.shared_folder(fake("local-cluster[2,1,1024]"))
 
 
 def test_cut_lineage_keeps_rows_and_drops_the_plan(spark):

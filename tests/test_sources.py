@@ -8,7 +8,7 @@ from cellweft.operators import events
 from cellweft.sources import hourly, pages, tables
 
 
-def feature(objectid, reqtype, created=1688169600000, x=-75.6972, y=45.4215, **more):
+def feature(objectid, reqtype, created=1651363200000, x=-75.9011, y=45.3302, **more):
     return {"attributes": {"objectid": objectid, "reqtype": reqtype, "category": "WATER", "createddate": created,
                            "description": "free text", **more}, "geometry": {"x": x, "y": y}}
 
@@ -21,8 +21,8 @@ def land(tmp_path, *bodies):
 
 
 SAMPLE = {"exceededTransferLimit": False, "features": [
-    feature(2001, "WATER MAIN BREAK"), feature(2002, "WATER SERVICE"), feature(2003, "GRAFFITI REMOVAL"),
-    feature(2004, "MAIN BREAK", created="2023-07-04T00:00:00Z")]}
+    feature(881, "WATER MAIN BREAK"), feature(882, "WATER SERVICE"), feature(883, "GRAFFITI REMOVAL"),
+    feature(884, "MAIN BREAK", created="2022-05-19T00:00:00Z")]}
 
 
 def test_pretty_printed_page_keeps_the_two_breaks(spark, tmp_path):
@@ -30,10 +30,10 @@ def test_pretty_printed_page_keeps_the_two_breaks(spark, tmp_path):
     kept = events.minimize_events(rows)
     assert kept.columns == list(events.EVENT_COLUMNS)
     found = {r["objectid"]: r for r in kept.collect()}
-    assert set(found) == {2001, 2004}
-    assert found[2001]["createddate"].isoformat().startswith("2023-07-01")
-    assert found[2004]["createddate"].isoformat().startswith("2023-07-04")
-    assert found[2001]["cell_id"].startswith("r8_")
+    assert set(found) == {881, 884}
+    assert found[881]["createddate"].isoformat().startswith("2022-05-01")
+    assert found[884]["createddate"].isoformat().startswith("2022-05-19")
+    assert found[881]["cell_id"].startswith("r8_")
 
 
 def test_first_arrival_wins_and_reasons_are_counted(spark, tmp_path):
@@ -41,7 +41,7 @@ def test_first_arrival_wins_and_reasons_are_counted(spark, tmp_path):
                           {**feature(4, "MAIN BREAK"), "geometry": None}, feature(5, "MAIN BREAK", created="soon"),
                           feature(6, "MAIN BREAK", created=True), feature(7, "", req_type="Water Break"),
                           feature("eight", "MAIN BREAK"), feature(9, "MAIN BREAK", x="east"),
-                          feature(10, "MAIN BREAK", x="-75.7", created="2023-07-01")]}
+                          feature(10, "MAIN BREAK", x="-75.7", created="2022-05-01")]}
     second = {"features": [feature(1, "MAIN BREAK", created=1)]}
     judged = events.judge_features(pages.page_features(pages.read_pages(spark, land(tmp_path, first, second))))
     report = {r["reason"]: r["rows"] for r in events.reject_report(judged).collect()}
@@ -49,7 +49,7 @@ def test_first_arrival_wins_and_reasons_are_counted(spark, tmp_path):
                       "invalid createddate": 2, "invalid objectid": 1, "invalid coordinates": 1}
     kept = {r["objectid"]: r for r in events.accepted_events(judged).collect()}
     assert set(kept) == {1, 7, 10}
-    assert kept[1]["reqtype"] == "WATER MAIN BREAK" and kept[1]["createddate"].year == 2023
+    assert kept[1]["reqtype"] == "WATER MAIN BREAK" and kept[1]["createddate"].year == 2022
     assert kept[7]["reqtype"] == ""
 
 
@@ -76,19 +76,19 @@ HEADER = '"Station Name","Climate ID","Date/Time (LST)","Temp (°C)","Dew Point
 
 
 def test_hourly_file_with_byte_order_mark(spark, tmp_path):
-    text = "﻿" + HEADER + '\r\n"A","61","2023-07-01 00:00","19.7","17.8","89","","13","100.04"\r\n' \
-        '"A","61","2023-07-01 01:00","","17.9","91","0.4","13","100.01"\r\n"A","61","never","1","1","1","1","1","1"\r\n'
+    text = "﻿" + HEADER + '\r\n"A","61","2022-05-01 00:00","19.7","17.8","89","","13","100.04"\r\n' \
+        '"A","61","2022-05-01 01:00","","17.9","91","0.4","13","100.01"\r\n"A","61","never","1","1","1","1","1","1"\r\n'
     (tmp_path / "a.csv").write_text(text, encoding="utf-8")
     df = hourly.combine_hourly(hourly.read_hourly(spark, str(tmp_path), " 49568 "))
     rows = df.orderBy("timestamp").collect()
     assert df.columns == list(hourly.OBSERVATION_COLUMNS)
     assert len(rows) == 2 and rows[0]["station_id"] == "49568"
     assert rows[0]["temperature_c"] == 19.7 and rows[1]["temperature_c"] is None
-    assert rows[0]["precip_mm"] is None and rows[0]["timestamp"].isoformat() == "2023-07-01T00:00:00"
+    assert rows[0]["precip_mm"] is None and rows[0]["timestamp"].isoformat() == "2022-05-01T00:00:00"
 
 
 def test_hourly_file_rules(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('"Date/Time (LST)","Temp (°C)"\n"2023-07-01 00:00","1"\n', encoding="utf-8")
+    (tmp_path / "a.csv").write_text('"Date/Time (LST)","Temp (°C)"\n"2022-05-01 00:00","1"\n', encoding="utf-8")
     with pytest.raises(DataError, match="Rel Hum"):
         hourly.read_hourly(spark, str(tmp_path), "1")
     for bad in ("12a", "١٢", ""):
@@ -100,7 +100,7 @@ def test_first_file_wins_on_a_shared_hour(spark, tmp_path):
     parts = []
     for name, t in (("a", "1.0"), ("b", "2.0")):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "x.csv").write_text(HEADER + f'\n"A","61","2023-07-01 00:00","{t}","","50","0","",""\n', encoding="utf-8")
+        (tmp_path / name / "x.csv").write_text(HEADER + f'\n"A","61","2022-05-01 00:00","{t}","","50","0","",""\n', encoding="utf-8")
         parts.append(hourly.read_hourly(spark, str(tmp_path / name), "1"))
     assert [r["temperature_c"] for r in hourly.combine_hourly(*parts).collect()] == [1.0]
     assert [r["temperature_c"] for r in hourly.combine_hourly(*reversed(parts)).collect()] == [2.0]

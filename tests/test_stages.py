@@ -65,7 +65,8 @@ def test_requests_are_answered(spark, built):
                                    (3, BOX[2], BOX[1], BOX[0], BOX[3], 10, None, None, None), (4, *BOX, 10, 99.0, None, None)], schema)
     scored, meta = stages.score_requests(spark, asked, built["grid"], built["cells"], built["weather"], built["model"], "7")
     facts = {r["request_id"]: r for r in meta.collect()}
-    assert set(facts) == {1, 2}
+    assert {k: r["status"] for k, r in facts.items()} == {1: "answered", 2: "answered", 3: "refused", 4: "refused"}
+    assert facts[3]["reason"] and facts[4]["reason"] and facts[4]["feature_count"] == 0
     assert facts[1]["feature_count"] == 10 and facts[1]["truncated"] and not facts[1]["scenario_applied"]
     assert facts[2]["scenario_applied"] and not facts[2]["truncated"]
     assert scored.count() == 10 + facts[2]["feature_count"]
