@@ -81,7 +81,7 @@ def test_split_without_purge_shares_boundaries(spark):
 
 
 def test_split_rules(spark):
-    with pytest.raises(ValueError, match="negative"):
+    with pytest.raises(ValueError, match="below zero"):
         evaluate.temporal_split(matrix(spark), purge_hours=-1)
     with pytest.raises(DataError, match="at least 10"):
         evaluate.temporal_split(matrix(spark, 9))

@@ -77,7 +77,7 @@ def test_grid_covers_the_box_and_nothing_else(spark):
     far = grid.filter((F.col("lon_min") > box[2]) | (F.col("lon_max") < box[0]) | (F.col("lat_min") > box[3]) | (F.col("lat_max") < box[1]))
     assert far.isEmpty()
     bad = spark.createDataFrame([(-75.0, 45.0, -76.0, 46.0)], "west double, south double, east double, north double")
-    with pytest.raises(DataError, match="bbox"):
+    with pytest.raises(DataError, match="corners"):
         lattice.grid_fill(bad)
 
 
