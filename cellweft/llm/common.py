@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from cellweft.session import configure, scratch_path
 
 
+#: Workers give batches back to the system when they are done with them, instead of pooling them.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576",
+                 "MALLOC_TRIM_THRESHOLD_": "1048576"}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Bound the rows and bytes of one Arrow batch, so long texts don't fill a task's memory.
 
@@ -20,9 +25,11 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     configure(spark)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 
