@@ -54,21 +54,27 @@ class Encoder(dict):
     every single space and each part be encoded by itself; parts are remembered, up to
     MEMO_SIZE of them. Texts with white space before a space are encoded whole. The
     vocabulary and ids are the file's; merging is done by a second public library, as its
-    rank is the id. Only texts with the special token's string need the file's own tokenizer.
+    rank is the id. Only texts with the special token's string need the file's own tokenizer,
+    which is loaded for the first of them.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         symbols = byte_symbols()
-        ranks = {bytes(symbols[c] for c in token): i for token, i in self.tokenizer.get_vocab(False).items()
+        ranks = {bytes(symbols[c] for c in token): i for token, i in self.load().get_vocab(False).items()
                  if token != SPECIAL}
         self.merger = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def load(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         if SPECIAL in text:
+            self.tokenizer = self.tokenizer or self.load()
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.merger.encode_ordinary(text)).tobytes()
 
