@@ -38,7 +38,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cellweft.llm.common import by_groups, fields, tune, written
+from cellweft.llm.common import by_groups, fields, small_side, tune, written
 from cellweft.llm.components import components
 from cellweft.llm.words import mix, shingle_set
 
@@ -174,7 +174,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, id_col, text
     """(node, shingles) of the wanted nodes, from the text of one document of each."""
     chosen = nodes.join(wanted, "node", "left_semi").select("first_id", "node")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(chosen, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text")
+    joined = texts.join(chosen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text")
 
     def run(batches):
         for pdf in batches:
@@ -320,25 +320,36 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", width: in
 def one_per_group(docs: DataFrame, id_col="doc_id", text_col="text", width: int = 5, percent: int = 75) -> DataFrame:
     """One document of each group, with its own columns: that of the smallest id.
 
-    Documents without words all stay. Rows meet their group's choice by id and set, so a
-    large group of copies is spread over all tasks.
+    Documents without words all stay. Rows meet their group's choice by id, so a large
+    group of copies is spread over all tasks, and texts are neither sorted nor read twice.
+    Only rows that repeat an id need their set again to be told apart.
     """
-    told = written(duplicate_groups(docs, id_col, text_col, width, percent), "groups")
-    named = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit(""))
+    named = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit(""))
+    told = written(duplicate_groups(docs, id_col, text_col, width, percent).withColumn("name", named("id")), "groups")
     chosen = told.filter(F.col("node").isNotNull() & F.col("id").eqNullSafe(F.col("least")))
-    chosen = chosen.groupBy("root").agg(F.min(F.struct(named(F.col("id")).alias("name"), "node")).alias("x")).select("x.*")
+    chosen = chosen.groupBy("root").agg(F.min(F.struct("name", "node")).alias("x")).select("x.*")
+    wanted = chosen.unionByName(told.filter(F.col("node").isNull()).select("name", "node"))
+    repeated = told.groupBy("name").agg(F.count("*").alias("copies")).filter("copies > 1")
+    wanted = written(wanted.join(repeated, "name", "left"), "wanted")
     names = docs.columns
     inner = {c: f"c{k}" for k, c in enumerate(names)}
-    rows = docs.toDF(*inner.values())
+    rows = docs.toDF(*inner.values()).withColumn("name", named(inner[id_col]))
     text = inner[text_col]
 
+    single = wanted.filter(F.col("copies").isNull()).select("name")
+    kept = rows.join(single.hint("shuffle_hash"), "name", "left_semi").select(*inner.values())
+    several = wanted.filter("copies > 1")
+    if several.isEmpty():
+        return kept.toDF(*names)
+
     def mark(batches):
         for pdf in batches:
             sets = [shingle_set(t, width) for t in pdf[text]]
             yield pdf.assign(node=[xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets])
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    marked = rows.mapInPandas(mark, f"{kinds}, node binary").withColumn("name", named(F.col(inner[id_col])))
-    kept = marked.join(chosen, ["name", "node"]).dropDuplicates(["name", "node"]).select(*inner.values())
-    empty = rows.filter(~F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
-    return kept.unionByName(empty).toDF(*names)
+    same = small_side(several.select("name").distinct(), "repeated")
+    marked = rows.join(same, "name", "left_semi").select(*rows.columns).mapInPandas(mark, f"{kinds}, node binary")
+    one = marked.join(several.select("name", "node"), ["name", "node"]).dropDuplicates(["name", "node"])
+    empty = marked.filter(F.col("node").isNull())
+    return kept.unionByName(one.select(*inner.values())).unionByName(empty.select(*inner.values())).toDF(*names)
