@@ -166,7 +166,7 @@ def repeat_rows(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
         F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     same = (F.col(id_).eqNullSafe(F.col("m_id")) & F.col(source).eqNullSafe(F.col("m_source"))
             & (F.col("size") == F.col("m_size")))
-    told = rows.join(taken.filter("copies > 0"), same)
+    told = rows.join(taken.filter("copies > 0").hint("shuffle_hash"), same)
     one = told.filter("rows = 1").select(*inner.values(), F.col("copies").cast("int").alias("times"))
     place = F.row_number().over(Window.partitionBy("m_id", "m_source", "m_size").orderBy(F.xxhash64(*inner.values())))
     share = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("int")
