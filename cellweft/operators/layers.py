@@ -19,6 +19,46 @@ from cellweft.operators.lattice import POINT_BIN_DEGREES, with_cell
 LINE_KINDS = ("water", "road")
 
 
+# Rings ----------------------------------------------------------------------------------
+
+
+def ring_problem(ring: str = "geometry") -> Column:
+    """Why a ring is no closed convex one: 'points' (under four), 'open', 'area' (none) or 'concave'; else null.
+
+    Turns are compared with a billionth of the area, so rounding does not make a straight run concave.
+    """
+    at = lambda i, c: f"get({ring}, {i}).{c}"
+    after = f"IF(i + 1 < size({ring}), i + 1, 1)"
+    steps = f"sequence(1, greatest(size({ring}) - 1, 1))"
+    turns = f"""transform({steps}, i -> ({at('i', 'lon')} - {at('i - 1', 'lon')}) * ({at(after, 'lat')} - {at('i', 'lat')})
+      - ({at('i', 'lat')} - {at('i - 1', 'lat')}) * ({at(after, 'lon')} - {at('i', 'lon')}))"""
+    area = f"""aggregate(transform({steps}, i -> ({at('i - 1', 'lon')} - {at('0', 'lon')}) * ({at('i', 'lat')} - {at('0', 'lat')})
+      - ({at('i', 'lon')} - {at('0', 'lon')}) * ({at('i - 1', 'lat')} - {at('0', 'lat')})), 0D, (s, x) -> s + x)"""
+    return F.expr(f"""CASE WHEN {ring} IS NULL OR size({ring}) < 4 THEN 'points'
+      WHEN get({ring}, 0) <> get({ring}, size({ring}) - 1) THEN 'open'
+      WHEN coalesce({area}, 0D) = 0 THEN 'area'
+      WHEN array_min({turns}) < -1e-9 * abs({area}) AND array_max({turns}) > 1e-9 * abs({area}) THEN 'concave' END""")
+
+
+def ring_report(polygons: DataFrame, ring: str = "geometry") -> DataFrame:
+    """(reason, polygons): how many rings each reason rejects."""
+    told = polygons.select(ring_problem(ring).alias("reason")).filter("reason IS NOT NULL")
+    return told.groupBy("reason").agg(F.count("*").alias("polygons"))
+
+
+def usable_rings(polygons: DataFrame, convex: bool = True, ring: str = "geometry") -> DataFrame:
+    """Polygons with an area; rings without one hold nothing (``ring_report`` counts them).
+
+    Where an operator needs convex rings, a concave one is an error instead of a wrong answer.
+    """
+    problem = ring_problem(ring)
+    bad = problem.isin("points", "open", "area")
+    if convex:
+        stop = F.raise_error(F.lit("this operator takes convex rings; see ring_report")).cast("boolean")
+        return polygons.filter(F.when(problem == "concave", stop).otherwise(~F.coalesce(bad, F.lit(False))))
+    return polygons.filter(~F.coalesce(bad, F.lit(False)))
+
+
 # Points ---------------------------------------------------------------------------------
 
 
@@ -43,7 +83,7 @@ def ring_holds_point(ring: str, lon: str, lat: str) -> Column:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
                        bin_size: float = POINT_BIN_DEGREES, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Points joined to the polygons (cell_id, geometry and box) that strictly hold them."""
-    sides = polygons.select("cell_id", F.col("geometry").alias("_ring"),
+    sides = usable_rings(polygons, convex=False).select("cell_id", F.col("geometry").alias("_ring"),
                             "lon_min", "lat_min", "lon_max", "lat_max")
     near = box_join(points, sides, (lon, lat, lon, lat),
                     ("lon_min", "lat_min", "lon_max", "lat_max"), bin_size, min_rows)
@@ -77,12 +117,12 @@ def building_features(placed: DataFrame) -> DataFrame:
 
 
 def polygon_point(df: DataFrame, ring: str = "geometry") -> DataFrame:
-    """Add the area centroid of a closed convex ring as ``lon`` and ``lat``."""
+    """Add the area centroid of a closed convex ring as ``lon`` and ``lat``; null where the ring has no area."""
     origin = F.element_at(F.col(ring), 1)
-    steps = F.sequence(F.lit(1), F.size(ring) - 1)
+    steps = F.sequence(F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1)))
 
     def parts(i: Column) -> Column:
-        a, b = F.element_at(F.col(ring), i), F.element_at(F.col(ring), i + 1)
+        a, b = F.get(ring, i - 1), F.get(ring, i)
         ax, ay = a["lon"] - origin["lon"], a["lat"] - origin["lat"]
         bx, by = b["lon"] - origin["lon"], b["lat"] - origin["lat"]
         cross = ax * by - bx * ay
@@ -93,8 +133,8 @@ def polygon_point(df: DataFrame, ring: str = "geometry") -> DataFrame:
         (s["w"] + p["w"]).alias("w"), (s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")))
     rows = df.withColumn("_sum", total)
     return rows.withColumns({
-        "lon": origin["lon"] + F.col("_sum.x") / (F.col("_sum.w") * 3),
-        "lat": origin["lat"] + F.col("_sum.y") / (F.col("_sum.w") * 3),
+        "lon": origin["lon"] + F.try_divide(F.col("_sum.x"), F.col("_sum.w") * 3),
+        "lat": origin["lat"] + F.try_divide(F.col("_sum.y"), F.col("_sum.w") * 3),
     }).drop("_sum")
 
 
@@ -198,7 +238,7 @@ def line_density_on_polygons(lines: DataFrame, polygons: DataFrame, kind: str =
         "_x0": F.least(F.col("px"), F.col("px") + F.col("vx")), "_y0": F.least(F.col("py"), F.col("py") + F.col("vy")),
         "_x1": F.greatest(F.col("px"), F.col("px") + F.col("vx")), "_y1": F.greatest(F.col("py"), F.col("py") + F.col("vy")),
     })
-    near = box_join(pieces, metric_polygons(polygons), ("_x0", "_y0", "_x1", "_y1"),
+    near = box_join(pieces, metric_polygons(usable_rings(polygons)), ("_x0", "_y0", "_x1", "_y1"),
                     ("x_min", "y_min", "x_max", "y_max"), bin_m, min_rows)
     share = ring_share("_ring")
     metres = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
