@@ -124,17 +124,18 @@ def score_requests(spark: SparkSession, requests: DataFrame, grid_path: str, cel
 
 
 def score_cells(spark: SparkSession, asked: DataFrame, grid_path: str, cells_path: str, weather_path: str,
-                model_path: str, station: str, resolution: int = DEFAULT_RESOLUTION) -> DataFrame:
+                model_path: str, station: str, resolution: int | None = DEFAULT_RESOLUTION) -> DataFrame:
     """Single-cell requests: status, score and band per distinct cell id.
 
-    The status is 'invalid', 'unknown', 'empty' or 'found'; the first two have no score.
+    The status is 'invalid', 'unknown', 'empty' or 'found'; the first two have no score. With
+    ``resolution`` None the grid has ids of its own, and none of them is invalid but a null one.
     """
     model, metadata = learn.load_model(spark, model_path)
     grid = tables.require_table(spark, grid_path, "grid")
     cells = tables.require_table(spark, cells_path, "cell features")
     answers = keys.cell_lookup(asked, grid, cells)
     answers = answers if "station_id" in answers.columns else answers.withColumn("station_id", F.lit(station))
-    valid = geo.is_cell(F.col("cell_id"), resolution)
+    valid = F.col("cell_id").isNotNull() if resolution is None else geo.is_cell(F.col("cell_id"), resolution)
     answers = answers.withColumn("status", F.when(~valid, "invalid").otherwise(F.col("status")))
     latest = keys.latest_per_key(tables.require_table(spark, weather_path, "weather features"), ["station_id"], "timestamp")
     rows = serve.with_weather(answers.fillna({"station_id": station}), latest)
