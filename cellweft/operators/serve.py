@@ -47,14 +47,18 @@ def bbox_cells(requests: DataFrame, grid: DataFrame, bin_size: float = CELL_BIN_
     return near.filter(exact).select(*requests.columns, "cell_id", "geometry")
 
 
-def first_cells(selected: DataFrame, limit: str = "max_features", request: str = "request_id") -> DataFrame:
-    """The first ``limit`` cells of each request by id, with a truncated flag."""
+def first_cells(selected: DataFrame, limit: str = "max_features", request: str = "request_id",
+                maximum: int = MAX_MAP_FEATURES) -> DataFrame:
+    """The first ``limit`` cells of each request by id, with a truncated flag; a limit above ``maximum`` is an error.
+
+    Rank ``maximum + 1`` is enough to know whether a request is cut, so no more rows of a request are shuffled or held.
+    """
     group = Window.partitionBy(request)
-    ranked = selected.withColumns({
-        "_rank": F.row_number().over(group.orderBy("cell_id")),
-        "truncated": F.count("*").over(group) > F.col(limit),
-    })
-    return ranked.filter(F.col("_rank") <= F.col(limit)).drop("_rank")
+    told = f"a limit is above the maximum of {maximum}"
+    checked = selected.withColumn(limit, F.when(F.col(limit) > maximum, F.raise_error(F.lit(told)).cast("int")).otherwise(F.col(limit)))
+    ranked = checked.withColumn("_rank", F.row_number().over(group.orderBy("cell_id"))).filter(F.col("_rank") <= maximum + 1)
+    cut = ranked.withColumn("truncated", F.max("_rank").over(group) > F.col(limit))
+    return cut.filter(F.col("_rank") <= F.col(limit)).drop("_rank")
 
 
 def with_weather(cells: DataFrame, latest: DataFrame, station: str = "station_id") -> DataFrame:

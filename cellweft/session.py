@@ -24,6 +24,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # A first-n per key up to a few thousand is cut before its shuffle.
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     return spark
 
 
