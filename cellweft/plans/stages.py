@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.constants import DEFAULT_RESOLUTION, EXTENT, MAX_TRAINING_DAYS, PREDICTION_HORIZON_HOURS
+from cellweft.constants import DEFAULT_RESOLUTION, EXTENT, MAX_PAGES, MAX_TRAINING_DAYS, PREDICTION_HORIZON_HOURS
+from cellweft.errors import DataError
 from cellweft.functions import geo
 from cellweft.functions.display import risk_band, round_half_even
 from cellweft.functions.text import parse_variant_time
@@ -21,14 +22,23 @@ def _kept(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(tables.write_table(df, scratch_path(spark, label)))
 
 
+def _require_contract(audit: DataFrame, label: str) -> None:
+    """Stop on a broken rule; whether a table may be empty is left to the stage that reads it."""
+    quality.require_clean(audit.drop("row_count"), label)
+
+
 def build_events(spark: SparkSession, pages_path: str, out: str, start: str | None = None, end: str | None = None,
                  max_records: int | None = None, multi_line: bool = True,
-                 resolution: int = DEFAULT_RESOLUTION) -> str:
-    """Landed pages to stored events; a page with a problem stops the stage before it stores any.
+                 resolution: int = DEFAULT_RESOLUTION, base: str | None = None, max_pages: int = MAX_PAGES) -> str:
+    """Landed pages to stored events; a page with a problem, or a stuck page set, stops the stage before it stores any.
 
-    Dates and the record cap apply to all source records, before any of them is matched.
+    Dates and the record cap apply to all source records, before any of them is matched. With
+    ``base`` the events replace or join those stored there, by objectid; ``base`` itself stays.
     """
-    found, seen = pages.watch_pages(pages.read_pages(spark, pages_path, multi_line))
+    if base == out:
+        raise DataError("events are merged into a new folder: base and out must differ")
+    landed = pages.require_sound_pages(pages.read_pages(spark, pages_path, multi_line), max_pages)
+    found, seen = pages.watch_pages(landed)
     rows = pages.page_features(found).withColumns({
         "_created": parse_variant_time(F.col("createddate")),
         "_id": F.try_variant_get("objectid", "$", "bigint"),
@@ -39,17 +49,30 @@ def build_events(spark: SparkSession, pages_path: str, out: str, start: str | No
         rows = events.cap_records(rows, max_records, ("_created", "_id"))
     stored = _kept(spark, events.accepted_events(events.judge_features(rows), resolution), "events")
     pages.require_watched(seen)
+    _require_contract(quality.audit_events(stored), "events")
+    if base:
+        stored = keys.upsert(spark.read.parquet(base), stored, ["objectid"])
     return tables.write_table(stored, out, order=["createddate", "objectid"])
 
 
-def build_weather(spark: SparkSession, files: dict[str, Sequence[str]], out: str, start: str | None = None,
+def build_weather(spark: SparkSession, files: str | dict[str, Sequence[str]], out: str, start: str | None = None,
                   end: str | None = None, allow_partial: bool = False) -> str:
-    """Hourly files per station id to weather features, after the month and value checks."""
-    parts = [hourly.read_hourly(spark, path, station) for station, paths in files.items() for path in paths]
-    observed = hourly.combine_hourly(*parts)
+    """Hourly files to weather features, after the month and value checks.
+
+    ``files`` is a folder of ``station_id=`` folders, read as a whole, or paths per station id,
+    which arrive in their order. The parsed rows are written once for the checks and windows.
+    """
+    if isinstance(files, str):
+        parts = [hourly.read_hourly(spark, files)]
+    else:
+        parts = [hourly.read_hourly(spark, path, station) for station, paths in files.items() for path in paths]
+    observed = _kept(spark, hourly.combine_hourly(*parts), "observed")
     if start and end:
-        ranges = spark.createDataFrame([(s, start, end) for s in files], "station_id string, start_date string, end_date string")
-        dated = ranges.withColumns({c: F.to_date(c) for c in ("start_date", "end_date")})
+        if isinstance(files, str):
+            stations = observed.select("station_id").distinct()
+        else:
+            stations = spark.createDataFrame([(s,) for s in files], "station_id string")
+        dated = stations.withColumns({"start_date": F.to_date(F.lit(start)), "end_date": F.to_date(F.lit(end))})
         observed = hourly.require_complete(hourly.month_periods(dated), observed, allow_partial)
     clean = quality.check_observations(observed)
     return tables.write_table(windows.weather_features(clean), out, order=["station_id", "timestamp"])
@@ -59,7 +82,9 @@ def build_grid(spark: SparkSession, out: str, bbox: tuple[float, float, float, f
                resolution: int = DEFAULT_RESOLUTION) -> str:
     """Every cell that meets a box."""
     box = spark.createDataFrame([bbox], "west double, south double, east double, north double")
-    return tables.write_table(lattice.grid_fill(box, resolution=resolution), out, order=["cell_id"])
+    tables.write_table(lattice.grid_fill(box, resolution=resolution), out, order=["cell_id"])
+    _require_contract(quality.audit_grid(spark.read.parquet(out)), "grid")
+    return out
 
 
 def build_cells(spark: SparkSession, grid_path: str, water: DataFrame, roads: DataFrame, buildings: DataFrame,
@@ -75,7 +100,9 @@ def build_cells(spark: SparkSession, grid_path: str, water: DataFrame, roads: Da
         lines = [layers.line_density(df, kind, resolution) for df, kind in ((water, "water"), (roads, "road"))]
         placed = layers.points_in_cells(usable, resolution=resolution)
     cells = features.cell_features(grid, *lines, layers.building_features(placed))
-    return tables.write_table(cells, out, order=["cell_id"])
+    tables.write_table(cells, out, order=["cell_id"])
+    _require_contract(quality.audit_cells(spark.read.parquet(out)), "cell features")
+    return out
 
 
 def build_matrix(spark: SparkSession, cells_path: str, weather_path: str, out: str, station: str,
@@ -157,6 +184,6 @@ def build_predictions(spark: SparkSession, cells_path: str, weather_path: str, m
     latest = keys.latest_per_key(weather, ["station_id"], "timestamp")
     scored = learn.score_rows(model, metadata["feature_columns"], serve.with_weather(cells, latest))
     tables.write_table(learn.predictions(scored, metadata), out, order=["cell_id"])
-    quality.check_scores(spark.read.parquet(out))
+    _require_contract(quality.audit_predictions(spark.read.parquet(out)), "predictions")
     return out
 

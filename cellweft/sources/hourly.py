@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,22 +26,45 @@ def check_station_id(station_id: str) -> str:
     return trimmed
 
 
+def header_files(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
+    """Files grouped by their header line, when there are several headers; [] when all share one."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), "value",
+    ).filter("block = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    header = F.regexp_replace("header", r"^\x{FEFF}|\s+$", "")
+    kinds = first.withColumn("header", header)
+    if kinds.select("header").distinct().limit(2).count() < 2:
+        return []
+    groups = kinds.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [[unquote(file) for file in row["files"]] for row in groups]
+
+
 def read_hourly(spark: SparkSession, path: str | Sequence[str], station_id: str | None = None) -> DataFrame:
-    """Read CSV files that share one header (another one is an error); the station is ``station_id`` or a partition folder.
+    """Read CSV files, columns matched by name; the station is ``station_id`` or a ``station_id=`` folder.
 
-    Every field is read as text. Arrival order is kept in the ``_file``, ``_block`` and
-    ``_row`` columns for the keep-first step.
+    Files are read in one scan per distinct header line, so the order of columns and the
+    optional columns may differ between files. Every field is read as text. Arrival order is
+    kept in the ``_file``, ``_block`` and ``_row`` columns for the keep-first step.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
-    return normalize_hourly(
-        raw.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        ),
-        station_id,
+    whole: str | list[str] = path if isinstance(path, str) else list(path)
+    parts = [_read_one_header(spark, files, station_id) for files in header_files(spark, whole) or [whole]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_one_header(spark: SparkSession, files: str | list[str], station_id: str | None) -> DataFrame:
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").csv(files)
+    raw = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    if station_id is None and "station_id" not in raw.columns:
+        folder = F.regexp_extract("_file", r"/station_id=([^/]+)/", 1)
+        raw = raw.withColumn("station_id", F.nullif(folder, F.lit("")))
+    return normalize_hourly(raw, station_id)
 
 
 def normalize_hourly(raw: DataFrame, station_id: str | None = None) -> DataFrame:

@@ -125,3 +125,14 @@ def page_audit(pages: DataFrame, page_size: int, max_pages: int = MAX_PAGES) ->
         F.count_if(F.col("was_last")).alias("pages_after_last"),
         (F.count("*") > max_pages).alias("over_page_cap"),
     )
+
+
+def require_sound_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """The pages themselves, once no source repeats a page or has more than ``max_pages`` of them."""
+    audit = page_audit(pages, 1, max_pages).agg(
+        F.coalesce(F.sum("repeated_pages"), F.lit(0)).alias("repeated"), F.count_if("over_page_cap").alias("over")).first()
+    if audit["repeated"]:
+        raise DataError(f"page set is stuck: {audit['repeated']} page(s) repeat the one before")
+    if audit["over"]:
+        raise DataError(f"page set has more than {max_pages} pages")
+    return pages

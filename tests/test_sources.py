@@ -96,6 +96,19 @@ def test_hourly_file_rules(spark, tmp_path):
             hourly.check_station_id(bad)
 
 
+def test_files_with_other_headers_are_matched_by_name(spark, tmp_path):
+    for name, head, row in (("a b", "Temp (°C),Rel Hum (%),Precip. Amount (mm)", "11,51,0"), ("c", "Rel Hum (%),Temp (°C),Precip. Amount (mm),Wind Spd (km/h)", "52,12,1,9")):
+        folder = tmp_path / "station_id=049" / name
+        folder.mkdir(parents=True)
+        (folder / "x.csv").write_text(f"Date/Time (LST),{head}\r\n2022-05-01 0{len(name)}:00,{row}\r\n", encoding="utf-8")
+    rows = hourly.read_hourly(spark, [str(tmp_path / "station_id=049" / n / "x.csv") for n in ("a b", "c")]).orderBy("timestamp").collect()
+    assert [(r["station_id"], r["temperature_c"], r["relative_humidity"], r["wind_speed_kmh"]) for r in rows] == [
+        ("049", 12.0, 52.0, 9.0), ("049", 11.0, 51.0, None)]
+    (tmp_path / "bad.csv").write_text("Date/Time (LST),Temp (°C)\n2022-05-01 00:00,1\n", encoding="utf-8")
+    with pytest.raises(DataError, match="Rel Hum"):
+        hourly.read_hourly(spark, [str(tmp_path / "bad.csv"), str(tmp_path / "station_id=049" / "c")], "1")
+
+
 def test_first_file_wins_on_a_shared_hour(spark, tmp_path):
     parts = []
     for name, t in (("a", "1.0"), ("b", "2.0")):

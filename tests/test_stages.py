@@ -101,6 +101,15 @@ def test_incomplete_months_stop_the_weather_stage(spark, built):
     assert spark.read.parquet(path).count() == 24 * 31
 
 
+def test_a_folder_of_stations_is_read_as_a_whole(spark, built, tmp_path):
+    text = (built["root"] / "w.csv").read_text(encoding="utf-8")
+    for station in ("7", "8"):
+        (tmp_path / "in" / f"station_id={station}").mkdir(parents=True)
+        (tmp_path / "in" / f"station_id={station}" / "w.csv").write_text(text, encoding="utf-8")
+    path = stages.build_weather(spark, str(tmp_path / "in"), str(tmp_path / "out"), "2024-03-01", "2024-03-31")
+    assert {r["station_id"]: r["count"] for r in spark.read.parquet(path).groupBy("station_id").count().collect()} == {"7": 744, "8": 744}
+
+
 def test_event_stage_caps_before_matching(spark, tmp_path):
     def feature(i, kind):
         return {"attributes": {"objectid": i, "reqtype": kind, "createddate": 1688169600000 + i * 86_400_000}, "geometry": {"x": -75.7, "y": 45.42}}
@@ -116,6 +125,18 @@ def test_event_stage_caps_before_matching(spark, tmp_path):
     assert ids("a") == [2, 3]
     assert ids("b", max_records=2) == [2]
     assert ids("c", start="2023-07-04", end="2023-07-04") == [3]
+    (tmp_path / "more").mkdir()
+    later = {"features": [feature(3, "WATER BREAK"), feature(4, "MAIN BREAK")]}
+    (tmp_path / "more" / "page_1.json").write_text(json.dumps(later), encoding="utf-8")
+    out = stages.build_events(spark, str(tmp_path / "more"), str(tmp_path / "merged"), base=str(tmp_path / "a"))
+    assert {r["objectid"]: r["reqtype"] for r in spark.read.parquet(out).collect()} == {2: "MAIN BREAK", 3: "WATER BREAK", 4: "MAIN BREAK"}
+    with pytest.raises(DataError, match="must differ"):
+        stages.build_events(spark, str(tmp_path / "more"), out, base=out)
+    with pytest.raises(DataError, match="more than 0 pages"):
+        ids("f", max_pages=0)
+    (tmp_path / "in" / "page_2.json").write_text(json.dumps(body), encoding="utf-8")
+    with pytest.raises(DataError, match="stuck"):
+        ids("g")
     (tmp_path / "in" / "page_2.json").write_text('{"error": {"code": 500}}', encoding="utf-8")
     for name, more in (("d", {}), ("e", {"max_records": 2})):
         with pytest.raises(DataError, match="bad pages"):
