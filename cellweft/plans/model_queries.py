@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.constants import LABEL
+from cellweft.constants import ARTIFACT_SCHEMA_VERSION, LABEL
 from cellweft.functions import geo
+from cellweft.functions.display import is_probability
 from cellweft.operators import daily, evaluate, features, keys, learn, ranked, serve, windows
 from cellweft.operators.quality import audit_predictions, check_scores, require_clean
 from cellweft.plans import inputs
@@ -162,7 +163,7 @@ def model_version(spark, folder):
     return groups.withColumn("model_version", learn.model_version(_VERSION_COLUMNS, F.col("rows"), "synthetic"))
 
 
-# The classifier: rows only, since the learner has no SQL twin ------------------------------
+# The classifier: learned numbers have no SQL twin, so these queries report what must hold for any fit ---
 
 _TRAINED: dict[tuple[str, str], str] = {}
 
@@ -186,34 +187,69 @@ def trained(spark, folder) -> str:
     return _TRAINED[key]
 
 
-@query("train_classifier")
+_INPUTS = (
+    "building_count", "consecutive_dry_days", "consecutive_dry_hours", "heat_index_c", "heat_index_max_24h", "heat_index_max_48h",
+    "humidity_delta_24h", "humidity_min_24h", "is_dry_hour", "line_count_road", "line_count_water", "line_length_km_road",
+    "line_length_km_water", "median_year_built", "pct_pre_1980", "precip_mm", "rainfall_24h", "rainfall_48h", "rainfall_7d",
+    "relative_humidity", "temp_delta_24h", "temp_delta_48h", "temp_max_24h", "temp_max_48h", "temp_min_24h", "temperature_c",
+)
+_VERSION_SQL = "substring(sha256('{\"features\": [" + ", ".join(f'"{c}"' for c in _INPUTS) + """], "rows": '
+  || (SELECT count(*) FROM matrix) || ', "target_mode": "synthetic"}'), 1, 12)"""
+
+
+@query("train_classifier", """
+SELECT i::INT AS tree, CASE WHEN i = 0 THEN 1 ELSE 0.05 END::DOUBLE AS weight, true AS depth_within_4, true AS at_most_31_nodes
+FROM range(100) t(i)""")
 def train_classifier(spark, folder):
-    """The trees of the trained classifier: nodes, depth and weight of each."""
+    """The trees of the trained classifier: weight of each, and whether depth and nodes are within bounds."""
     model, _ = learn.load_model(spark, trained(spark, folder))
     parts = learn.classifier(model)
-    trees = [(i, t.numNodes, t.depth, float(w)) for i, (t, w) in enumerate(zip(parts.trees, parts.treeWeights, strict=True))]
-    return spark.createDataFrame(trees, "tree int, nodes int, depth int, weight double")
+    trees = [(i, float(w), t.depth <= 4, t.numNodes <= 31) for i, (t, w) in enumerate(zip(parts.trees, parts.treeWeights, strict=True))]
+    return spark.createDataFrame(trees, "tree int, weight double, depth_within_4 boolean, at_most_31_nodes boolean")
 
 
-@query("train_evaluate")
+@query("train_evaluate", with_views("matrix").rstrip() + ", " + _BOUNDS.replace("FROM obs", "FROM matrix") + """
+SELECT count(*) AS training_rows, count(*) FILTER (WHERE timestamp >= b + INTERVAL '48 hours') AS test_rows,
+  48 AS prediction_horizon_hours, true AS pr_auc_in_range, true AS f1_in_range, true AS threshold_in_range FROM matrix, ends""")
 def train_evaluate(spark, folder):
     metadata = spark.read.parquet(f"{trained(spark, folder)}/metadata")
-    return metadata.select("pr_auc", "f1_at_threshold", "decision_threshold", "test_rows", "training_rows", "prediction_horizon_hours")
+    told = {"pr_auc_in_range": "pr_auc", "f1_in_range": "f1_at_threshold", "threshold_in_range": "decision_threshold"}
+    return metadata.select("training_rows", "test_rows", "prediction_horizon_hours",
+                           *[is_probability(F.col(c)).alias(name) for name, c in told.items()])
 
 
-@query("top_features")
+@query("top_features", """
+SELECT 10 AS features, 10 AS distinct_features, 10 AS model_inputs, true AS none_greater_left, true AS shares_sum_to_one""")
 def top_features(spark, folder):
-    return learn.top_features(spark.read.parquet(f"{trained(spark, folder)}/importance"))
-
-
-@query("model_registry")
+    """The ten features named as most important, held against the importance of all."""
+    importance = spark.read.parquet(f"{trained(spark, folder)}/importance")
+    top = learn.top_features(importance).withColumn("shown", F.lit(True))
+    both = importance.join(top.select("feature", "shown"), "feature", "left")
+    shown, value = F.col("shown").isNotNull(), F.col("importance")
+    return both.agg(
+        F.count_if(shown).alias("features"),
+        F.count_distinct(F.when(shown, F.col("feature"))).alias("distinct_features"),
+        F.count_if(shown & F.col("feature").isin(*_INPUTS)).alias("model_inputs"),
+        (F.min(F.when(shown, value)) >= F.max(F.when(~shown, value))).alias("none_greater_left"),
+        (F.abs(F.sum(value) - 1) < 1e-6).alias("shares_sum_to_one"),
+    )
+
+
+@query("model_registry", with_views("matrix") + f"""
+SELECT {ARTIFACT_SCHEMA_VERSION} AS artifact_schema_version, 'synthetic' AS target_mode, 48 AS prediction_horizon_hours,
+  (SELECT count(*) FROM matrix) AS training_rows, '{",".join(_INPUTS)}' AS feature_columns, {_VERSION_SQL} AS model_version,
+  true AS threshold_in_range""")
 def model_registry(spark, folder):
     path = trained(spark, folder)
     learn.load_model(spark, path)
-    return spark.read.parquet(f"{path}/metadata").drop("trained_at_utc")
+    return spark.read.parquet(f"{path}/metadata").select(
+        "artifact_schema_version", "target_mode", "prediction_horizon_hours", "training_rows",
+        F.array_join("feature_columns", ",").alias("feature_columns"), "model_version",
+        is_probability(F.col("decision_threshold")).alias("threshold_in_range"))
 
 
-@query("batch_score")
+@query("batch_score", with_views("matrix") + f"""
+SELECT cell_id, true AS score_in_range, {_VERSION_SQL} AS model_version, 'synthetic' AS target_mode FROM stationed""")
 def batch_score(spark, folder):
     """Predictions of every cell under its station's latest weather, written and read back."""
     model, metadata = learn.load_model(spark, trained(spark, folder))
@@ -223,4 +259,4 @@ def batch_score(spark, folder):
     path = tables.write_table(learn.predictions(scored, metadata), scratch_path(spark, "predictions"), order=["cell_id"])
     stored = check_scores(spark.read.parquet(path))
     require_clean(audit_predictions(stored), "predictions")
-    return stored.drop("generated_at")
+    return stored.select("cell_id", is_probability(F.col("risk_score")).alias("score_in_range"), "model_version", "target_mode")

@@ -162,25 +162,42 @@ def missing_months(spark, folder):
 _STATION_NUMBERS = {name: str(49568 + i) for i, name in enumerate(inputs.STATIONS)}
 
 
-@query("csv_hourly", with_views("obs") + "SELECT timestamp, CASE station_id " + " ".join(
+_HOURLY_SQL = with_views("obs") + "SELECT timestamp, CASE station_id " + " ".join(
     f"WHEN '{name}' THEN '{number}'" for name, number in _STATION_NUMBERS.items()) + """ END AS station_id,
   'C-' || station_id AS climate_id, station_id AS station_name, temperature_c, NULL::DOUBLE AS dew_point_c,
-  relative_humidity, precip_mm, (temperature_c * 2)::DOUBLE AS wind_speed_kmh, NULL::DOUBLE AS pressure_kpa FROM obs""")
-def csv_hourly(spark, folder):
-    """Hourly files written from the observations, with marks for unknown rain and a bad time per hour."""
+  relative_humidity, precip_mm, {wind} AS wind_speed_kmh, NULL::DOUBLE AS pressure_kpa FROM obs"""
+
+
+def _landed_hours(spark, folder):
+    """Rows of hourly files from the observations, with marks for unknown rain and a bad time per hour."""
     number = F.element_at(F.create_map(*[F.lit(v) for kv in _STATION_NUMBERS.items() for v in kv]), F.col("station_id"))
     time = F.date_format("timestamp", "yyyy-MM-dd HH:mm")
-    observed = inputs.obs(spark, folder)
-    landed = observed.select(
-        number.alias("station_id"), F.explode(F.array(time, F.lit("no time"))).alias("Date/Time (LST)"),
+    return inputs.obs(spark, folder).select(
+        number.alias("station_id"), F.hour("timestamp").alias("hour"), F.explode(F.array(time, F.lit("no time"))).alias("Date/Time (LST)"),
         F.concat(F.lit("C-"), "station_id").alias("Climate ID"), F.col("station_id").alias("Station Name"),
         F.col("temperature_c").cast("string").alias("Temp (°C)"),
         F.col("relative_humidity").cast("string").alias("Rel Hum (%)"),
         F.coalesce(F.col("precip_mm").cast("string"), F.lit("M")).alias("Precip. Amount (mm)"),
         (F.col("temperature_c") * 2).cast("string").alias("Wind Spd (km/h)"),
     )
+
+
+@query("csv_hourly", _HOURLY_SQL.replace("{wind}", "(temperature_c * 2)::DOUBLE"))
+def csv_hourly(spark, folder):
+    path = scratch_path(spark, "hourly")
+    _landed_hours(spark, folder).drop("hour").write.option("header", True).partitionBy("station_id").csv(path)
+    return hourly.read_hourly(spark, path).drop("_file", "_block", "_row")
+
+
+@query("csv_mixed_headers", _HOURLY_SQL.replace("{wind}", "CASE WHEN hour(timestamp) % 2 = 0 THEN (temperature_c * 2)::DOUBLE END"))
+def csv_mixed_headers(spark, folder):
+    """Odd hours land in files whose columns stand in reverse order, without the wind column."""
     path = scratch_path(spark, "hourly")
-    landed.write.option("header", True).partitionBy("station_id").csv(path)
+    landed = _landed_hours(spark, folder)
+    columns = [f"`{c}`" for c in landed.columns if c != "hour"]
+    even, odd = (landed.filter(F.col("hour") % 2 == k) for k in (0, 1))
+    for rows in (even.select(*columns), odd.select(*reversed(columns)).drop("Wind Spd (km/h)")):
+        rows.write.mode("append").option("header", True).partitionBy("station_id").csv(path)
     return hourly.read_hourly(spark, path).drop("_file", "_block", "_row")
 
 
