@@ -7,37 +7,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweft.session import scratch_path
+
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys with very many rows, and the number of salts each should be split into.
+def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Keys crowded on either side, and the number of salts for the rows of each side; written once.
 
-    A key is hot above ``greatest(min_rows, rows / 10000)`` rows, so there are at most
-    10,000 hot keys whatever the size of ``df``: the table is safe to broadcast.
+    A key is hot above ``greatest(min_rows, rows of both sides / 10000)`` rows on one side, so there
+    are at most 10,000 hot keys whatever the size of the sides: the table is safe to broadcast.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    share = counts.agg((F.sum("_n") / MAX_HOT_KEYS).alias("share")).scalar()
+    spark = left.sparkSession
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_left"), F.lit(0).cast("bigint").alias("_right")).unionByName(
+        right.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("_left"), F.count("*").alias("_right")))
+    counts = counts.groupBy(*keys).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+    share = counts.agg((F.sum(F.col("_left") + F.col("_right")) / MAX_HOT_KEYS).alias("share")).scalar()
     limit = F.greatest(F.lit(float(min_rows)), F.coalesce(share, F.lit(0.0)))
-    hot = counts.withColumn("_limit", limit).filter(F.col("_n") > F.col("_limit"))
-    return hot.select(*keys, F.ceil(F.col("_n") / F.col("_limit")).cast("int").alias("_salts"))
+    crowded = counts.withColumn("_limit", limit).filter(F.greatest("_left", "_right") > F.col("_limit"))
+    salts = [F.greatest(F.ceil(F.col(f"_{side}") / F.col("_limit")), F.lit(1)).cast("int").alias(f"_{side}_salts")
+             for side in ("left", "right")]
+    path = scratch_path(spark, "hot-keys")
+    crowded.select(*keys, *salts).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], own: str, other: str) -> DataFrame:
+    """Rows of one side with a salt of their own, repeated once per salt of the other side."""
+    hashable = [f.name for f in df.schema.fields if f.dataType.typeName() not in {"variant", "map"}]
+    told = df.join(F.broadcast(hot), list(keys), "left")
+    own_salts, other_salts = (F.coalesce(F.col(f"_{side}_salts"), F.lit(1)) for side in (own, other))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), own_salts).cast("int")
+    repeated = told.withColumn(f"_{own}", salt).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), other_salts - 1)))
+    return repeated.drop("_left_salts", "_right_salts")
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                 min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Inner equi-join that splits the left rows of hot keys over several tasks.
+    """Inner equi-join that splits the rows of hot keys, on either side, over several tasks.
 
-    The right rows of a hot key are repeated once per salt; other keys are untouched.
+    A hot key becomes a small table of tasks: one per pair of a left and a right salt. Other
+    keys are untouched. Both sides are counted first, in a job of its own. Rows equal in all
+    columns share a salt; Spark's adaptive skew join is left to split those.
     """
     keys = list(keys)
-    hot = hot_keys(left, keys, min_rows)
-    hashable = [f.name for f in left.schema.fields if f.dataType.typeName() not in {"variant", "map"}]
-    spread = F.pmod(F.xxhash64(*hashable), F.coalesce(F.col("_salts"), F.lit(1)))
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    hot = hot_keys(left, right, keys, min_rows)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    sides = _salted(left, hot, keys, "left", "right"), _salted(right, hot, keys, "right", "left")
+    return sides[0].join(sides[1], [*keys, "_left", "_right"]).drop("_left", "_right")
 
 
 def _bins(low: Column, high: Column, size: float) -> Column:

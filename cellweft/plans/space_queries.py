@@ -68,16 +68,27 @@ def points_in_cells(spark, folder):
     return placed.groupBy("cell_id").agg(F.count("*").alias("points"), F.min("objectid").alias("first_id"))
 
 
-@query("points_in_polygons", with_views("grid", "boxes", "edges") + f"""
+_IN_POLYGONS = with_views("grid", "boxes", "edges") + f"""
 SELECT p.objectid, b.cell_id FROM {_ORDER_POINTS} p JOIN boxes b
   ON p.lon BETWEEN b.lon_min AND b.lon_max AND p.lat BETWEEN b.lat_min AND b.lat_max
 JOIN grid g ON g.cell_id = b.cell_id JOIN edges e ON e.cell_id = b.cell_id
-GROUP BY 1, 2 HAVING bool_and(e.nx*p.lon + e.ny*p.lat < e.d)""")
+GROUP BY 1, 2 HAVING bool_and(e.nx*p.lon + e.ny*p.lat < e.d)"""
+
+
+@query("points_in_polygons", _IN_POLYGONS)
 def points_in_polygons(spark, folder):
     points = inputs.points(spark, folder, "orders", "o_orderkey")
     return layers.points_in_polygons(points, grid(spark, folder)).select("objectid", "cell_id")
 
 
+@query("points_in_polygons_hot", _IN_POLYGONS)
+def points_in_polygons_hot(spark, folder):
+    """The same with bins of a tenth of a degree, crowded on both sides, and a small limit, so that bins are split."""
+    points = inputs.points(spark, folder, "orders", "o_orderkey")
+    placed = layers.points_in_polygons(points, grid(spark, folder), bin_size=0.1, min_rows=16)
+    return placed.select("objectid", "cell_id")
+
+
 @query("cell_boundary", with_views("grid", "corners", "centroids") + """
 SELECT cell_id, k, round(lon, 6) AS lon, round(lat, 6) AS lat, round(centroid_lon, 6) AS centroid_lon, round(centroid_lat, 6) AS centroid_lat
 FROM corners JOIN grid USING (cell_id) JOIN centroids USING (cell_id)

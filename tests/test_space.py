@@ -173,15 +173,15 @@ def test_salted_join_equals_plain_join(spark):
     left = spark.range(5000).select("id", F.when(F.col("id") % 5 < 4, 0).otherwise(F.col("id") % 50).alias("k"))
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     twice = right.union(right.filter("k = 0"))
-    hot = joins.hot_keys(left, ["k"], min_rows=100)
-    assert hot.filter("k = 0").first()["_salts"] == 40
+    hot = joins.hot_keys(left, twice, ["k"], min_rows=100)
+    assert hot.filter("k = 0").first()["_left_salts"] == 40
     got = joins.salted_join(left, twice, ["k"], min_rows=100)
     want = left.join(twice, "k")
     assert got.count() == want.count()
     assert got.select(*want.columns).exceptAll(want).isEmpty()
     # However small the floor, fewer than 10,000 keys can hold over a 10,000th of the rows.
     many = spark.range(30000).select((F.col("id") % 15000).alias("k"))
-    assert joins.hot_keys(many, ["k"], min_rows=0).count() < joins.MAX_HOT_KEYS
+    assert joins.hot_keys(many, many, ["k"], min_rows=0).count() < joins.MAX_HOT_KEYS
 
 
 def test_box_join_gives_each_pair_once(spark):
@@ -196,3 +196,14 @@ def test_box_join_gives_each_pair_once(spark):
     got = [(r["a"], r["b"]) for r in joins.box_join(left, right, ("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), 0.3).collect()]
     want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_salted_join_splits_keys_crowded_on_the_right(spark):
+    left = spark.range(60).select((F.col("id") % 6).alias("k"), F.col("id").alias("a"))
+    right = spark.range(3000).select(F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 9).alias("k"), F.col("id").alias("b"))
+    hot = {r["k"]: (r["_left_salts"], r["_right_salts"]) for r in joins.hot_keys(left, right, ["k"], min_rows=500).collect()}
+    assert hot == {1: (1, 4)}
+    got = joins.salted_join(left, right, ["k"], min_rows=500)
+    want = left.join(right, "k")
+    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
+    assert sorted(got.columns) == ["a", "b", "k"]
