@@ -68,6 +68,49 @@ def test_bands_reject_the_odd_one_only(spark):
     assert P.rate_documents(df.limit(0)).count() == 0 and P.keep_good(df.limit(0)).count() == 0
 
 
+def spoken(rng, letters, n, first=0):
+    """Texts of 60 words over some letters."""
+    return [(first + i, " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(60))) for i in range(n)]
+
+
+def test_languages_do_not_share_a_model(spark):
+    rng = np.random.default_rng(6)
+    german = ["der", "die", "hund", "katze", "haus", "und", "schläft", "unter", "grün", "alt", "baum", "läuft"]
+    spanish = ["el", "la", "perro", "gato", "casa", "y", "duerme", "bajo", "verde", "viejo", "árbol", "corre"]
+    rows = [(i, " ".join(rng.choice(german, 120)) + f" {i}", "de", 1) for i in range(200)]
+    rows += [(500 + i, " ".join(rng.choice(spanish, 120)) + f" {i}", "es", 1) for i in range(200)]
+    rows += [(900, " ".join(rng.choice(spanish, 120)), "de", 1), (901, " ".join(rng.choice(german, 120)), "es", 1)]
+    got = {r["id"]: r["kept"] for r in P.rate_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[900] and not got[901]  # "de" and "es" once fell into one model
+    assert all(kept for i, kept in got.items() if i < 900)
+
+
+def test_many_languages_in_rounds_equal_one_model_each(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    names = [None, "", *[f"l{k}" for k in range(12)]]
+    rows = [(100 * k + i, t, lang, 1) for k, lang in enumerate(names) for i, t in spoken(rng, "abcdefghij"[k % 5:k % 5 + 6], 3)]
+    rows += [(9000, None, "l1", 1), (9001, "", "no model", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(P, "ROUND_GRAMS", P.GRAMS + P.MODEL_COST + 3 * (P.MODEL_COST + 400))
+    models = P.train(df)
+    assert P.rounds_of(models).select("round").distinct().count() > 2
+    got = {r["id"]: r["loss"] for r in P.rate_documents(df).collect()}
+    assert len(got) == len(rows) and got[9000] is None and got[9001] is None
+    for lang in names:
+        own = [(i, t) for i, t, name, _ in rows if name == lang and t]
+        seen, n = np.unique(np.concatenate([P.grams_of(P.code_points(t)) for _, t in own]), return_counts=True)
+        table = P.log_table(P.build_model(seen, n))
+        for i, t in own:
+            assert got[i] == pytest.approx(P.total_loss(t, table) / 60, rel=1e-6)
+
+
+def test_lookup_equals_the_dense_table():
+    seen, n = np.unique(P.grams_of(P.code_points("the cat sat on the mat " * 5)), return_counts=True)
+    orders = P.build_model(seen, n)
+    grams = P.grams_of(P.code_points("the dog sat é on a mat"))
+    assert (P.log_lookup(orders, grams) == P.log_table(orders)[grams]).all()
+
+
 def test_tree_paths_become_rules():
     text = """RandomForest
   If (feature 0 <= 0.5)
