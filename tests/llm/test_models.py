@@ -85,6 +85,25 @@ def test_languages_do_not_share_a_model(spark):
     assert all(kept for i, kept in got.items() if i < 900)
 
 
+def test_bands_of_unspaced_scripts(spark):
+    rng = np.random.default_rng(8)
+    signs = [chr(0x4e00 + k) for k in range(900)]
+    clause = lambda: "".join(rng.choice(signs, rng.integers(15, 60)))
+    rows = [(i, " ".join(clause() for _ in range(80)), "zh", 1) for i in range(200)]
+    rows += [(900, " ".join(clause() * 12 for _ in range(80)), "zh", 1)]
+    got = {r["id"]: r for r in P.rate_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert min(r["loss"] for r in got.values()) > 81
+    assert all(got[i]["kept"] for i in range(200)) and not got[900]["kept"] and not got[900]["base_failed"]
+
+
+def test_bins_cover_all_losses(spark):
+    losses = [0.0, 0.019, 1.0, 79.99, 80.0, 80.03, 123.4, 5e3, 1e9]
+    bins = P.bin_of(F.col("loss"))
+    rows = spark.createDataFrame([(x,) for x in losses], "loss double").select("loss", bins.alias("bin"), P.start_of(bins).alias("start")).collect()
+    assert all(r["start"] <= r["loss"] * (1 + 1e-12) and r["loss"] - r["start"] <= max(P.BIN, r["loss"] / P.BINS) * (1 + 1e-9) for r in rows)
+    assert [r["bin"] for r in rows] == sorted(r["bin"] for r in rows)
+
+
 def test_many_languages_in_rounds_equal_one_model_each(spark, monkeypatch):
     rng = np.random.default_rng(7)
     names = [None, "", *[f"l{k}" for k in range(12)]]
