@@ -9,9 +9,11 @@ longest first into the fullest sequence that takes them. Then the local search w
 on underfull sequences: it moves a piece, exchanges one piece for a longer one, or one
 for two whose sum is longer, whenever the fuller of the two sequences gets fuller, which
 raises the sum of squared fills, until sequences run empty or no exchange is
-left. Sequences that stay under ``full`` of their length hand their pieces to the next
-level, where ``fan`` blocks meet, until one block is left. Levels see short leftovers
-only, so no task holds more than its block.
+left. Sequences that stay under ``full`` of their length are dealt whole to the blocks of the
+next level by a hash of their number, as many blocks as their pieces fill, so every level's
+blocks hold about ``block_rows`` pieces whatever their lengths. A block never makes more sequences of them
+than it was given. Levels end with the one that has a single block, or that no longer
+lowers the number of sequences; its sequences stay as they are.
 
 Defined results: a null text is an empty one, one separator long. Repeated rows are
 packed each. Ids may be null; pieces then share one block hash and are still whole.
@@ -224,7 +226,7 @@ def local_search(bins: list[list[int]], lengths: list[int], length: int = LENGTH
             if best is None:
                 continue
             gain, inward, out = best
-            other = place[inward[0]][1]
+            other_rank, other = place[inward[0]]
             if out is None or len(inward) == 2 or fill[other] - gain >= 0:
                 for i in inward:
                     bins[other].remove(i)
@@ -233,7 +235,7 @@ def local_search(bins: list[list[int]], lengths: list[int], length: int = LENGTH
                 if out is not None:
                     bins[k].remove(out)
                     bins[other].append(out)
-                    place[out] = (order.index(other), other)
+                    place[out] = (other_rank, other)
                 fill[k] += gain
                 fill[other] -= gain
                 changed = True
@@ -250,11 +252,15 @@ def pack_blocks(pieces: DataFrame, level: int, length: int, full: float, last: b
         pdf = pdf.sort_values(keys, ascending=[False] + [True] * 4, kind="stable").reset_index(drop=True)
         lengths = pdf["length"].tolist()
         bins = local_search(best_fit(lengths, length), lengths, length)
+        if level:
+            given = list(pdf.groupby("sequence_id").indices.values())
+            if len(bins) > len(given):
+                bins = local_search([members.tolist() for members in given], lengths, length)
         sequence, offset, waits = (np.zeros(len(pdf), t) for t in (np.int64, np.int64, bool))
         for number, members in enumerate(bins):
             at = 0
             for i in members:
-                sequence[i], offset[i] = (level << 56) | (int(key[0]) << 24) | number, at
+                sequence[i], offset[i] = (level << 48) | (int(key[0]) << 24) | number, at
                 at += lengths[i]
             if not last and at < full * length:
                 waits[members] = True
@@ -264,21 +270,25 @@ def pack_blocks(pieces: DataFrame, level: int, length: int, full: float, last: b
 
 
 def pack_pieces(pieces: DataFrame, length: int = LENGTH, full: float = 0.999, block_rows: int = 20_000,
-                fan: int = 32, seed: int = 11) -> DataFrame:
+                seed: int = 11) -> DataFrame:
     """The given pieces with ``sequence_id`` and ``offset``."""
     most = max(1, math.ceil(pieces.count() / block_rows))
     place = F.pmod(F.xxhash64(F.lit(seed), "id", "piece", "ids_crc32"), F.lit(most))
     waiting = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"),
                                   "open": F.lit(False), "block": place})
-    done, level = None, 0
+    done, level, given = None, 0, math.inf
+    first = F.col("offset") == 0  # one piece of every sequence
     while True:
         out = written(pack_blocks(waiting, level, length, full, most == 1), "packed")
-        settled = out.filter(~F.col("open"))
+        rows, made, left = out.agg(F.count_if("open"), F.count_if(first), F.count_if(first & F.col("open"))).first()
+        over = not rows or made >= given
+        settled = out if over else out.filter(~F.col("open"))
         done = settled if done is None else done.unionByName(settled)
-        if most == 1:
+        if over:
             return done.drop("open", "block")
-        waiting = out.filter("open").withColumns({"block": F.floor(F.col("block") / fan), "open": F.lit(False)})
-        most, level = math.ceil(most / fan), level + 1
+        most, level, given = math.ceil(rows / block_rows), level + 1, left
+        place = F.pmod(F.xxhash64(F.lit(seed + level), "sequence_id"), F.lit(most))
+        waiting = out.filter("open").withColumns({"block": place, "open": F.lit(False)})
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", length: int = LENGTH,

@@ -151,6 +151,29 @@ def test_packing_is_whole(spark, block_rows):
     assert len(sequences) <= math.ceil(sum(w[3] for w in want) / 2048) + 3
 
 
+@pytest.mark.parametrize("low, high", [(1030, 2000), (200, 1900)])
+def test_no_level_holds_more_than_its_blocks(spark, monkeypatch, low, high):
+    seen, inner = [], packing.pack_blocks
+
+    def watch(pieces, *rest):
+        seen.append(pieces.groupBy("block").count().agg(F.max("count")).first()[0])
+        return inner(pieces, *rest)
+
+    monkeypatch.setattr(packing, "pack_blocks", watch)
+    lengths = np.random.default_rng(9).integers(low, high, 1000).tolist()
+    pieces = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)],
+                                   "id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack_pieces(pieces, block_rows=50).collect()
+    assert len(seen) > 1 and max(seen) < 2 * 50  # leftovers of all blocks once met in one
+    assert sorted((r["id"], r["length"]) for r in got) == list(enumerate(lengths))
+    sequences = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == sequences.get(r["sequence_id"], 0)
+        sequences[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(sequences.values()) <= 2048
+    assert len(sequences) == 1000 if low > 1024 else len(sequences) < 640
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
 
