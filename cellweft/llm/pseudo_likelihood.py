@@ -7,8 +7,8 @@ place; it predicts the first digit, and with a vector for that digit added, the
 word costs 128 outputs and its probabilities add up to 1 over all slots.
 
 Training is numpy inside the tasks: each task goes over all documents of its partition, from
-the parameters that all share, in steps of ``BATCH`` words (Adagrad). Every ``stride``-th word of
-each document is a training example, starting at a place given by its text. The
+the parameters that all share, in steps of ``BATCH`` words (Adagrad). Every word of every
+document is a training example (a ``stride`` above 1 takes every so many words only). The
 parameters of all tasks are averaged, weighed by their words, in a second Spark stage that adds up
 slice by slice; what is gathered grows with the number of partitions.
 Only the averaged parameters (``SIZE`` numbers, whatever the corpus) reach the driver.
@@ -126,7 +126,7 @@ def gradients(model, windows, words) -> np.ndarray:
     return flat
 
 
-def train(texts: DataFrame, stride: int = 8, rounds: int = 1, seed: int = 5) -> np.ndarray:
+def train(texts: DataFrame, stride: int = 1, rounds: int = 1, seed: int = 5) -> np.ndarray:
     """Averaged parameters after ``rounds`` passes over all rows (text)."""
     context = texts.sparkSession.sparkContext
     flat = start(seed)
@@ -178,7 +178,7 @@ def train(texts: DataFrame, stride: int = 8, rounds: int = 1, seed: int = 5) ->
     return flat
 
 
-def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stride: int = 8, rounds: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stride: int = 1, rounds: int = 1) -> DataFrame:
     """(id, n_words, score, mean_score): sum and mean of the log-probabilities of all words."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

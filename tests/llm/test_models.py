@@ -255,6 +255,20 @@ def test_pseudo_likelihood_prefers_the_trained_order(spark):
     assert L.score_documents(df.limit(0)).count() == 0
 
 
+def test_every_word_trains(spark):
+    for text in ("lone", "red green", "black white grey", "a b c d e"):
+        rows = spark.createDataFrame([(text,)], "text string")
+        assert not np.array_equal(L.train(rows), L.start(5))  # with every 8th word, short texts gave no example
+
+
+def test_own_parameters_prefer_the_trained_order(spark):
+    cycle = " ".join(itertools.islice(itertools.cycle(["red", "green", "blue", "black", "white", "grey"]), 240))
+    jumbled = " ".join(np.random.default_rng(5).permutation(cycle.split()))
+    df = spark.createDataFrame([(i, cycle, "en", 1) for i in range(3000)] + [(9000, jumbled, "en", 1)], DOCS)
+    got = {r["id"]: r["mean_score"] for r in L.score_documents(df.coalesce(4)).filter("id % 3000 = 0").collect()}
+    assert got[0] > got[9000] + 0.5
+
+
 CHAT = [
     ("a", 0, "user", "How do I sort?\nAnd also filter?"), ("a", 1, "bot", "Use orderBy.\n\nIt sorts."),
     ("a", 2, "user", "unrelated"), ("a", 3, "user", "Ann wrote:\n> Use  ORDERBY.\n\nthanks"),
