@@ -31,6 +31,8 @@ from cellweft.llm.common import by_groups, fields, tune, written
 
 LEAF = 512
 SLACK = 1e-9
+#: Distances are roots of differences, so what rounds by SLACK in a square rounds by its root near 0.
+REACH_SLACK = math.sqrt(SLACK)
 
 
 def usable(vector: Column) -> Column:
@@ -130,7 +132,7 @@ class Search:
 
         def go(side, which):
             if which.any():
-                near = self.factor * bounds[side][which] <= self.reach(active[which]) + SLACK * self.scale
+                near = self.factor * bounds[side][which] <= self.reach(active[which]) + REACH_SLACK * self.scale
                 self.visit(children[side], active[which][near])
 
         go(0, inner)

@@ -210,6 +210,21 @@ def test_trees_equal_brute_force(spark, monkeypatch, leaf):
     assert V.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_ties_of_equal_unit_vectors_go_to_the_smaller_ids():
+    rng = np.random.default_rng(10)
+    for _ in range(20):
+        vector = rng.normal(size=64)
+        vector /= np.linalg.norm(vector)
+        points = np.tile(vector, (1500, 1))
+        longest = math.sqrt(inner(vector, vector))
+        extra = np.sqrt(np.maximum(longest**2 - (points**2).sum(1), 0))
+        order, nodes = V.build_tree(np.column_stack([points, extra]))
+        ids = rng.permutation(1500)
+        search = V.Search(points, extra[order], np.arange(1500)[order], ids[order], nodes, points[:1], np.array([-5]), longest, 20, 1.0)
+        search.visit(0, np.arange(1))
+        assert search.ids[search.who[0]].tolist() == list(range(20))
+
+
 def test_check_sql_of_the_search(spark):
     import duckdb
 
