@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cellweft.llm import (hyperminhash, packing, perplexity, pivotal, pseudo_likelihood, quote_links, rule_ensemble,
-                          secret_scan, url_model, vantage)
+from cellweft.llm import (hyperminhash, packing, periodic_runs, perplexity, pivotal, pseudo_likelihood, quote_links,
+                          rule_ensemble, secret_scan, url_model, vantage)
 from cellweft.llm.common import table
 from cellweft.plans.registry import query
 
@@ -83,3 +83,12 @@ def op9_pseudo_likelihood(spark, folder):
 @query("op10_swap_packing")
 def op10_swap_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER_FILE)).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, folder):
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, folder, "documents")))
+    return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length",
+                        "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(periodic_runs.run_text().cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
