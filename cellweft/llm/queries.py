@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from cellweft.llm import (hyperminhash, packing, periodic_runs, perplexity, pivotal, pseudo_likelihood, quote_links,
-                          rule_ensemble, secret_scan, url_model, vantage)
+                          rule_ensemble, secret_scan, url_model, vantage, whitening)
 from cellweft.llm.common import table
 from cellweft.plans.registry import query
 
@@ -85,6 +85,15 @@ def op10_swap_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER_FILE)).withColumnRenamed("id", "doc_id")
 
 
+@query("op12_cholesky_whitening")
+def op12_cholesky_whitening(spark, folder):
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    rows = rows.select("id", "n", "deviation", "identity_error", parts)
+    return rows.select(F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), "n", "deviation",
+                       "part.whitened", "part.explained", "identity_error")
+
+
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark, folder):
     found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, folder, "documents")))
