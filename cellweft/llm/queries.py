@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cellweft.llm import (hyperminhash, packing, periodic_runs, perplexity, pivotal, pseudo_likelihood, quote_links,
+from cellweft.llm import (hyperminhash, licence_scan, packing, periodic_runs, perplexity, pivotal, pseudo_likelihood, quote_links,
                           rule_ensemble, secret_scan, url_model, vantage, whitening)
 from cellweft.llm.common import table
 from cellweft.plans.registry import query
@@ -85,6 +85,16 @@ def op10_swap_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER_FILE)).withColumnRenamed("id", "doc_id")
 
 
+@query("op11_rare_token_licences")
+def op11_rare_token_licences(spark, folder):
+    found = licence_scan.scan_licences(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"),
+                        F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"),
+                        licence_scan.labels_of("places").alias("base_labels"),
+                        licence_scan.labels_of("places", "matches").alias("labels"),
+                        F.coalesce(F.array_max("matches.share"), F.lit(0.0)).alias("score"))
+
+
 @query("op12_cholesky_whitening")
 def op12_cholesky_whitening(spark, folder):
     rows = whitening.whiten(table(spark, folder, "embeddings"))
