@@ -11,10 +11,10 @@ from __future__ import annotations
 import json
 import math
 import string
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.llm.common import tune, written
@@ -106,40 +106,50 @@ def inverse_frequencies(words: DataFrame, vocabulary: Sequence[str]) -> dict[str
     return {w: math.log((1 + many.get(None, 0)) / (1 + many.get(w, 0))) + 1 for w in vocabulary}
 
 
-def _small_table(spark: SparkSession, rows: Sequence[tuple], **kinds: str) -> DataFrame:
-    """Rows of a fixed table as one constant of the plan."""
+def _constant(rows: Sequence[tuple], **kinds: str) -> Column:
+    """Rows of a fixed table as one constant array of structs."""
     text = json.dumps([dict(zip(kinds, row)) for row in rows])
-    kind = ", ".join(f"{name}: {kind}" for name, kind in kinds.items())
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+    return F.from_json(F.lit(text), "array<struct<" + ", ".join(f"{name}: {kind}" for name, kind in kinds.items()) + ">>")
 
 
-def template_index(spark: SparkSession, templates: Sequence[Template], weights: dict[str, float],
-                   rare: int = RARE) -> tuple[DataFrame, DataFrame, set[str]]:
-    """(postings, totals, words to look up); a few rows per template.
+@dataclass(frozen=True)
+class Index:
+    """The templates as constants of the plan; a few rows per template.
 
-    A posting says that ``word`` stands at ``place`` of template ``t``: as a rare word (its ``bit`` of ``weight``), or as the
-    head of a mandatory phrase (its ``phrase_bit``) that must follow there in whole.
+    ``rare``: (word, t, place, bit) of every place of a template's rare words; ``heads``: (phrase, t, place, bit) of its mandatory
+    phrases; ``totals``: (t, label, words, phrases, held, shares), the shares one per bit; ``words`` by falling weight.
     """
-    postings, totals = [], []
+
+    rare: Column
+    heads: Column
+    totals: Column
+    words: list[str]
+
+
+def template_index(templates: Sequence[Template], weights: dict[str, float], rare: int = RARE) -> Index:
+    postings, heads, totals, listed = [], [], [], set()
     for t, template in enumerate(templates):
         words = _plain_words(template.text)
-        listed: list[tuple[int, str]] = []
+        places: list[tuple[int, str]] = []
         for w in sorted(set(words), key=lambda w: (-weights[w], w))[:rare]:
-            places = [(i, w) for i, x in enumerate(words) if x == w]
-            if len(listed) + len(places) <= MOST_PLACES:
-                listed += places
-        sizes = [weights[w] for _, w in listed]
-        totals.append((t, template.label, len(words), 2 ** len(template.mandatory) - 1, [s / sum(sizes) for s in sizes]))
-        postings += [(w, t, i, 1 << k, 0, "") for k, (i, w) in enumerate(listed)]
+            own = [(i, w) for i, x in enumerate(words) if x == w]
+            if len(places) + len(own) > MOST_PLACES:
+                raise ValueError(f"the rare words of {template.label!r} stand at more than {MOST_PLACES} places")
+            places += own
+        total = sum(weights[w] for _, w in places)
+        totals.append((t, template.label, len(words), list(template.mandatory), [w for _, w in places], [weights[w] / total for _, w in places]))
+        postings += [(w, t, i, 1 << k) for k, (i, w) in enumerate(places)]
+        listed |= {w for _, w in places}
         for k, phrase in enumerate(template.mandatory):
             parts = phrase.split()
-            places = [i for i in range(len(words)) if words[i:i + len(parts)] == parts]
-            if not places:
+            own = [i for i in range(len(words)) if words[i:i + len(parts)] == parts]
+            if not own:
                 raise ValueError(f"the template of {template.label!r} does not hold its phrase {phrase!r}")
-            postings += [(parts[0], t, i, 0, 1 << k, phrase + " ") for i in places]
-    index = _small_table(spark, postings, word="string", t="int", place="int", bit="bigint", phrase_bit="bigint", phrase="string")
-    per_template = _small_table(spark, totals, t="int", label="string", words="int", phrases="bigint", shares="array<double>")
-    return index, per_template, {p[0] for p in postings}
+            heads += [(phrase, t, i, 1 << k) for i in own]
+    return Index(_constant(postings, word="string", t="int", place="int", bit="bigint"),
+                 _constant(heads, phrase="string", t="int", place="int", bit="bigint"),
+                 _constant(totals, t="int", label="string", words="int", phrases="array<string>", held="array<string>", shares="array<double>"),
+                 sorted(listed, key=lambda w: (-weights[w], w)))
 
 
 def scan_licences(documents: DataFrame, id: str = "doc_id", text: str = "text", templates: Sequence[Template] = TEMPLATES,
@@ -148,51 +158,72 @@ def scan_licences(documents: DataFrame, id: str = "doc_id", text: str = "text",
 
     ``matches`` are the templates found: ``start`` is the word where the template begins (before 0 if its beginning is
     missing), ``share`` the part of its rare words' weight that stands where it should. Hits whose beginnings differ
-    by less than ``slack`` / 2 words always meet, those by ``slack`` or more never do. Whole texts are read, and every hit
-    counts: nothing is cut off by number. A null or empty text has no words, places or matches. Rows of one id and one text are judged
-    alike and all returned; a null id is kept; other columns are left out, whatever their names. An empty table gives an empty one.
-    The texts are read twice (word frequencies, then a written table of hits); hits shuffle as one bit sum per (text,
-    template, beginning), so a long text or a frequent word is no hot task.
+    by at most ``slack`` / 2 words always meet, those by ``slack`` or more never do. A template is looked for where the text holds
+    ``share`` of its rare words' weight and all its mandatory phrases at any place, which every match needs. Whole texts are read, and
+    every hit counts: nothing is cut off by number. A null or empty text has no words, places or matches. Rows of one id and one text
+    are judged alike and all returned; a null id is kept; other columns are left out, whatever their names. An empty table gives
+    an empty one. The texts are read twice (word frequencies, then a written table of hits); hits shuffle as one bit sum
+    per (text, template, beginning), so a long text or a frequent word is no hot task.
     """
     spark = tune(documents.sparkSession)
     source = documents.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     words = source.select("id", F.xxhash64("text").alias("mark"), words_of(F.col("text")).alias("words"))
     vocabulary = sorted({w for t in templates for w in _plain_words(t.text)})
-    weights = inverse_frequencies(words, vocabulary)
-    index, totals, looked_up = template_index(spark, templates, weights, rare)
-    parts = {label: phrase.split() for label, phrase in phrases.items()}
-    heads = sorted(looked_up | {p[0] for p in parts.values()})
-    longest = max([len(m.split()) for t in templates for m in t.mandatory] + [len(p) for p in parts.values()])
-
-    size = F.size("words")
-    here = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("words", i).isin(heads))
-    hits = F.transform(F.when(size > 0, here).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
-        i.alias("at"), F.get("words", i).alias("word"),
-        F.concat(F.array_join(F.slice("words", i + 1, longest), " "), F.lit(" ")).alias("follow")))
-    seen = written(words.select("id", "mark", size.cast("bigint").alias("n_words"), hits.alias("hits")), "licence-hits")
-
-    found = seen.select("id", "mark", F.explode("hits").alias("hit")).select("id", "mark", "hit.*")
-    found = found.join(F.broadcast(index), "word").filter("phrase = '' OR startswith(follow, phrase)")
-    found = found.withColumn("start", F.col("at") - F.col("place"))
-    # Two grids of width slack, half a width apart: beginnings that differ by less than half meet in one cell of either.
+    index = template_index(templates, inverse_frequencies(words, vocabulary), rare)
+    sought = sorted({*phrases.values(), *(m for t in templates for m in t.mandatory)})
+    heads, longest = sorted({p.split()[0] for p in sought}), max(len(p.split()) for p in sought)
+
+    def places(test: Callable[[Column], Column]) -> Column:
+        """Numbers of the words that pass a test."""
+        every = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: test(F.get("words", i)))
+        return F.when(F.size("words") > 0, every).otherwise(F.array().cast("array<int>"))
+
+    follow = lambda i: F.concat(F.array_join(F.slice("words", i + 1, longest), " "), F.lit(" "))
+    seen = words.withColumn("held", F.array_intersect(F.lit(index.words), "words"))
+    seen = seen.withColumn("ahead", F.transform(places(lambda w: w.isin(heads)), lambda i: F.struct(i.alias("at"), follow(i).alias("text"))))
+    seen = seen.withColumn("standing", F.flatten(F.transform("ahead", lambda a: F.transform(
+        F.filter(F.lit(sought), lambda p: a["text"].startswith(F.concat(p, F.lit(" ")))),
+        lambda p: F.struct(a["at"].alias("at"), p.alias("phrase"))))))
+    weight = lambda t: F.aggregate(F.zip_with(t["held"], t["shares"], lambda w, x: F.when(
+        F.array_contains("held", w), x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    likely = F.filter(index.totals, lambda t: (F.size(F.array_except(t["phrases"], F.col("standing.phrase"))) == 0)
+                      & (weight(t) >= share - 1e-9))
+    seen = seen.withColumn("likely", likely)
+    look = F.array_distinct(F.flatten("likely.held"))
+    seen = seen.withColumn("look", look).withColumn("hits", F.when(F.size("likely") > 0, F.transform(
+        places(lambda w: F.array_contains("look", w)), lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word")))))
+    seen = written(seen.select("id", "mark", F.size("words").cast("bigint").alias("n_words"), "standing",
+                               F.col("likely.t").alias("likely"), "hits"), "licence-hits")
+
+    def small(constant: Column) -> DataFrame:
+        return F.broadcast(spark.range(1).select(F.inline(constant)))
+
+    none = F.lit(0).cast("bigint")
+    rare_hits = seen.select("id", "mark", "likely", F.explode("hits").alias("hit")).select("id", "mark", "likely", "hit.*")
+    rare_hits = rare_hits.join(small(index.rare), "word").withColumns({"bits": F.col("bit"), "phrase_bits": none})
+    phrase_hits = seen.filter(F.size("likely") > 0).select("id", "mark", "likely", F.explode("standing").alias("hit")).select("id", "mark", "likely", "hit.*")
+    phrase_hits = phrase_hits.join(small(index.heads), "phrase").withColumns({"bits": none, "phrase_bits": F.col("bit")})
+    columns = ("id", "mark", "likely", "t", (F.col("at") - F.col("place")).alias("start"), "bits", "phrase_bits")
+    found = rare_hits.select(*columns).unionByName(phrase_hits.select(*columns)).filter(F.array_contains("likely", F.col("t")))
+    # Two grids of width slack, half a width apart: beginnings that differ by no more than half meet in one cell of either.
     found = found.withColumn("grid", F.explode(F.array(F.lit(0), F.lit(1))))
     cell = F.floor((F.col("start") + F.col("grid") * (slack // 2)) / slack)
     found = found.groupBy("id", "mark", "t", "grid", cell.alias("cell")).agg(
-        F.bit_or("bit").alias("bits"), F.bit_or("phrase_bit").alias("phrase_bits"),
-        F.min(F.when(F.col("phrase_bit") > 0, F.col("start"))).alias("start"))
+        F.bit_or("bits").alias("bits"), F.bit_or("phrase_bits").alias("phrase_bits"),
+        F.min(F.when(F.col("phrase_bits") > 0, F.col("start"))).alias("start"))
     held = F.aggregate("shares", F.struct(F.lit(0.0).alias("sum"), F.lit(1).cast("bigint").alias("bit")), lambda s, x: F.struct(
         (s["sum"] + F.when(F.col("bits").bitwiseAND(s["bit"]) != 0, x).otherwise(0.0)).alias("sum"),
-        (s["bit"] * 2).alias("bit")), lambda s: F.least(s["sum"], F.lit(1.0)))
-    found = found.join(F.broadcast(totals), "t").withColumn("share", held)
-    found = found.filter((F.col("phrase_bits") == F.col("phrases")) & (F.col("share") >= share))
+        F.shiftleft(s["bit"], 1).alias("bit")), lambda s: F.least(s["sum"], F.lit(1.0)))
+    found = found.join(small(index.totals), "t").withColumn("share", held)
+    found = found.filter((F.col("phrase_bits") == F.expr("shiftleft(1L, size(phrases)) - 1")) & (F.col("share") >= share))
     found = found.groupBy("id", "mark", "label", "start").agg(F.max("words").alias("words"), F.max("share").alias("share"))
     matched = found.groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.struct("label", "start", "words", "share"))).alias("matches"))
 
     def stands(label: str, phrase: str) -> Column:
-        held = F.filter("hits", lambda h: h["follow"].startswith(f"{phrase} "))
-        return F.transform(held, lambda h: F.struct(F.lit(label).alias("label"), h["at"].cast("bigint").alias("start")))
+        own = F.filter("standing", lambda h: h["phrase"] == phrase)
+        return F.transform(own, lambda h: F.struct(F.lit(label).alias("label"), h["at"].cast("bigint").alias("start")))
 
-    base = seen.select("id", "mark", "n_words", F.sort_array(F.concat(*[stands(k, ' '.join(p)) for k, p in parts.items()])).alias("places"))
+    base = seen.select("id", "mark", "n_words", F.sort_array(F.concat(*[stands(k, p) for k, p in phrases.items()])).alias("places"))
     joined = base.alias("b").join(matched.alias("m"), F.col("b.id").eqNullSafe(F.col("m.id")) & (F.col("b.mark") == F.col("m.mark")), "left")
     return joined.select("b.id", "n_words", "places", F.coalesce("matches", F.array().cast(matched.schema["matches"].dataType)).alias("matches"))
 
