@@ -48,13 +48,13 @@ def check_matrix_inputs(cells: DataFrame, days: DataFrame, station: str = "stati
 def feature_matrix(cells: DataFrame, days: DataFrame, station: str = "station_id") -> DataFrame:
     """Every cell with every day of its station; clashing weather names get ``_weather``.
 
-    An equi-join on the station. Each station has at most 92 days, so the join multiplies
-    cells by a bounded number. A station with very many cells is split over tasks; the day
-    table is broadcast only if Spark finds it small.
+    An equi-join on the station. A station has one row a day, so only cells can crowd one: they are counted,
+    which reads them twice (pass a written table), and a station with very many is split over tasks. The
+    day table is broadcast only if Spark finds it small.
     """
     clashes = (set(cells.columns) & set(days.columns)) - {station}
     weather = days.select(*[F.col(c).alias(f"{c}_weather") if c in clashes else F.col(c) for c in days.columns])
-    return salted_join(cells, weather, [station])
+    return salted_join(cells, weather, [station], count=("left",))
 
 
 def rule_score(df: DataFrame, water_median: float) -> Column:

@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cellweft.session import scratch_path
 
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 1_000_000
+MAX_LEVEL = 24
 
 
-def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def hot_keys(left: DataFrame | None, right: DataFrame | None, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Keys crowded on either side, and the number of salts for the rows of each side; written once.
 
-    A key is hot above ``greatest(min_rows, rows of both sides / 10000)`` rows on one side, so there
-    are at most 10,000 hot keys whatever the size of the sides: the table is safe to broadcast.
+    A key is hot above ``greatest(min_rows, rows counted / 10000)`` rows on one side, so there are at most
+    10,000 hot keys whatever the size of the sides: the table is safe to broadcast. A side that is None is not counted.
     """
-    spark = left.sparkSession
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_left"), F.lit(0).cast("bigint").alias("_right")).unionByName(
-        right.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("_left"), F.count("*").alias("_right")))
-    counts = counts.groupBy(*keys).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
-    share = counts.agg((F.sum(F.col("_left") + F.col("_right")) / MAX_HOT_KEYS).alias("share")).scalar()
-    limit = F.greatest(F.lit(float(min_rows)), F.coalesce(share, F.lit(0.0)))
-    crowded = counts.withColumn("_limit", limit).filter(F.greatest("_left", "_right") > F.col("_limit"))
-    salts = [F.greatest(F.ceil(F.col(f"_{side}") / F.col("_limit")), F.lit(1)).cast("int").alias(f"_{side}_salts")
-             for side in ("left", "right")]
+    spark = (left if left is not None else right).sparkSession
+    sides = {"_left": left, "_right": right}
+    parts = [df.groupBy(*keys).agg(*[(F.count("*") if name == side else F.lit(0).cast("bigint")).alias(name) for name in sides])
+             for side, df in sides.items() if df is not None]
+    counts = parts[0]
+    if len(parts) > 1:
+        counts = counts.unionByName(parts[1]).groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sides])
+    seen = Observation()
     path = scratch_path(spark, "hot-keys")
-    crowded.select(*keys, *salts).write.parquet(path)
-    return spark.read.parquet(path)
+    counts.observe(seen, F.sum(F.col("_left") + F.col("_right")).alias("rows")).filter(
+        F.greatest("_left", "_right") > min_rows).write.parquet(path)
+    limit = max(float(min_rows), (seen.get["rows"] or 0) / MAX_HOT_KEYS)
+    crowded = spark.read.parquet(path).filter(F.greatest("_left", "_right") > limit)
+    salts = [F.greatest(F.ceil(F.col(name) / F.lit(limit)), F.lit(1)).cast("int").alias(f"{name}_salts") for name in sides]
+    return crowded.select(*keys, *salts)
 
 
 def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], own: str, other: str) -> DataFrame:
@@ -43,43 +48,71 @@ def _salted(df: DataFrame, hot: DataFrame, keys: Sequence[str], own: str, other:
     return repeated.drop("_left_salts", "_right_salts")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS,
+                count: Sequence[str] = ("left", "right")) -> DataFrame:
     """Inner equi-join that splits the rows of hot keys, on either side, over several tasks.
 
-    A hot key becomes a small table of tasks: one per pair of a left and a right salt. Other
-    keys are untouched. Both sides are counted first, in a job of its own. Rows equal in all
-    columns share a salt; Spark's adaptive skew join is left to split those.
+    A hot key becomes a small table of tasks: one per pair of a left and a right salt. Other keys are untouched. The sides
+    named in ``count`` are counted first, in a job of its own: name those whose keys can crowd, and pass them
+    as written tables, since they are read twice. A side that is not named is left to Spark's adaptive skew join, which also
+    splits rows that share a salt.
     """
     keys = list(keys)
-    hot = hot_keys(left, right, keys, min_rows)
+    hot = hot_keys(left if "left" in count else None, right if "right" in count else None, keys, min_rows)
     if hot.isEmpty():
         return left.join(right, keys)
     sides = _salted(left, hot, keys, "left", "right"), _salted(right, hot, keys, "right", "left")
     return sides[0].join(sides[1], [*keys, "_left", "_right"]).drop("_left", "_right")
 
 
-def _bins(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def _level(box: Sequence[str], bin_size: float) -> Column:
+    """Size class of a box: the least k >= 0 with its sides no longer than ``bin_size`` * 2**k."""
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    longest = F.greatest(x1 - x0, y1 - y0) / bin_size
+    return F.when(longest > 1, F.least(F.ceil(F.log2(longest)), F.lit(MAX_LEVEL))).otherwise(0).cast("int")
+
+
+def _spread(df: DataFrame, box: Sequence[str], bin_size: float, own: Column | str, others: Sequence[int]) -> DataFrame:
+    """Rows once per bin they touch, on their own level and on the coarser ones of ``others``; at most four bins a level."""
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    rows = df.withColumn("_own", F.col(own) if isinstance(own, str) else own)
+    coarser = F.filter(F.lit(sorted(others)).cast("array<int>"), lambda k: k > F.col("_own"))
+    rows = rows.withColumn("_level", F.explode(F.concat(F.array("_own"), coarser)))
+    width = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("_level"))
+    rows = rows.withColumn("_bx", F.explode(F.sequence(F.floor(x0 / width), F.floor(x1 / width))))
+    return rows.withColumn("_by", F.explode(F.sequence(F.floor(y0 / width), F.floor(y1 / width))))
 
 
 def box_join(left: DataFrame, right: DataFrame, left_box: Sequence[str], right_box: Sequence[str],
-             bin_size: float, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+             bin_size: float, min_rows: int = MIN_HOT_ROWS, left_span: float | None = None) -> DataFrame:
     """Pairs whose boxes (x_min, y_min, x_max, y_max) meet, each pair exactly once.
 
-    Boxes are spread over the square bins they touch and joined on the bin. A pair that
-    shares several bins is kept only in the bin of the lower-left corner of the overlap,
-    so no distinct step is needed. Choose ``bin_size`` near the size of the usual box.
+    Every box has a level: level k has square bins of ``bin_size`` * 2**k, no smaller than the box, so a box touches four
+    bins at most. A pair meets on the coarser one of its two levels: each side is also spread over the levels
+    above its own that the other side has. A pair that shares several bins is kept only in the bin of the lower-left
+    corner of the overlap, so no distinct step is needed.
+
+    The right side is written once; its levels and crowded bins are read from that copy. ``left_span`` bounds the sides
+    of the left boxes (0 for points); without it one pass over the left boxes finds their levels. Bins crowded on
+    the left alone are left to Spark's adaptive skew join.
     """
-    spread = []
-    for df, (x0, y0, x1, y1) in ((left, left_box), (right, right_box)):
-        binned = df.withColumn("_bx", F.explode(_bins(F.col(x0), F.col(x1), bin_size)))
-        spread.append(binned.withColumn("_by", F.explode(_bins(F.col(y0), F.col(y1), bin_size))))
+    spark = right.sparkSession
+    path = scratch_path(spark, "box-join")
+    right.withColumn("_right_level", _level(right_box, bin_size)).write.parquet(path)
+    kept = spark.read.parquet(path)
+    right_levels = [r[0] for r in kept.select("_right_level").distinct().collect()]
+    if left_span is None:
+        left_levels = [r[0] for r in left.select(_level(left_box, bin_size)).distinct().collect()]
+    else:
+        left_levels = range(max(math.ceil(math.log2(max(left_span / bin_size, 1))) + 1, 1))
+    # A side that rounding makes longer than ``left_span`` stays on the last level.
+    left_own = F.least(_level(left_box, bin_size), F.lit(max(left_levels, default=0)))
+    spread = (_spread(left, left_box, bin_size, left_own, right_levels).withColumnRenamed("_own", "_left_own"),
+              _spread(kept, right_box, bin_size, "_right_level", left_levels).withColumnRenamed("_own", "_right_own"))
     lx0, ly0, lx1, ly1 = (F.col(c) for c in left_box)
     rx0, ry0, rx1, ry1 = (F.col(c) for c in right_box)
-    meets = (lx0 <= rx1) & (rx0 <= lx1) & (ly0 <= ry1) & (ry0 <= ly1)
-    once = (F.floor(F.greatest(lx0, rx0) / bin_size) == F.col("_bx")) & (
-        F.floor(F.greatest(ly0, ry0) / bin_size) == F.col("_by")
-    )
-    joined = salted_join(spread[0], spread[1], ["_bx", "_by"], min_rows)
-    return joined.filter(meets & once).drop("_bx", "_by")
+    meets = (lx0 <= rx1) & (rx0 <= lx1) & (ly0 <= ry1) & (ry0 <= ly1) & (F.col("_level") == F.greatest("_left_own", "_right_own"))
+    width = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("_level"))
+    once = (F.floor(F.greatest(lx0, rx0) / width) == F.col("_bx")) & (F.floor(F.greatest(ly0, ry0) / width) == F.col("_by"))
+    joined = salted_join(spread[0], spread[1], ["_level", "_bx", "_by"], min_rows, count=("right",))
+    return joined.filter(meets & once).drop("_level", "_bx", "_by", "_left_own", "_right_own", "_right_level")

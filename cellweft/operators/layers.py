@@ -1,8 +1,8 @@
 """Point and line layers on cells: overlay and aggregation.
 
 On our own lattice the cell of a point or of a line piece is arithmetic, so nothing is
-joined before the aggregate. On a polygon table (any convex rings) the overlay is a box
-join on bins followed by an exact test.
+joined before the aggregate. On a polygon table the overlay is a box join on bins followed
+by an exact test.
 """
 
 from __future__ import annotations
@@ -15,50 +15,19 @@ from cellweft.functions import geo
 from cellweft.functions.text import to_number
 from cellweft.operators.joins import MIN_HOT_ROWS, box_join
 from cellweft.operators.lattice import POINT_BIN_DEGREES, with_cell
+from cellweft.operators.rings import (
+    holds_point,
+    outward_sides,
+    ring_edges,
+    ring_problem,
+    share_inside,
+    share_inside_convex,
+    usable_rings,
+)
 
 LINE_KINDS = ("water", "road")
 
 
-# Rings ----------------------------------------------------------------------------------
-
-
-def ring_problem(ring: str = "geometry") -> Column:
-    """Why a ring is no closed convex one: 'points' (under four), 'open', 'area' (none) or 'concave'; else null.
-
-    Turns are compared with a billionth of the area, so rounding does not make a straight run concave.
-    """
-    at = lambda i, c: f"get({ring}, {i}).{c}"
-    after = f"IF(i + 1 < size({ring}), i + 1, 1)"
-    steps = f"sequence(1, greatest(size({ring}) - 1, 1))"
-    turns = f"""transform({steps}, i -> ({at('i', 'lon')} - {at('i - 1', 'lon')}) * ({at(after, 'lat')} - {at('i', 'lat')})
-      - ({at('i', 'lat')} - {at('i - 1', 'lat')}) * ({at(after, 'lon')} - {at('i', 'lon')}))"""
-    area = f"""aggregate(transform({steps}, i -> ({at('i - 1', 'lon')} - {at('0', 'lon')}) * ({at('i', 'lat')} - {at('0', 'lat')})
-      - ({at('i', 'lon')} - {at('0', 'lon')}) * ({at('i - 1', 'lat')} - {at('0', 'lat')})), 0D, (s, x) -> s + x)"""
-    return F.expr(f"""CASE WHEN {ring} IS NULL OR size({ring}) < 4 THEN 'points'
-      WHEN get({ring}, 0) <> get({ring}, size({ring}) - 1) THEN 'open'
-      WHEN coalesce({area}, 0D) = 0 THEN 'area'
-      WHEN array_min({turns}) < -1e-9 * abs({area}) AND array_max({turns}) > 1e-9 * abs({area}) THEN 'concave' END""")
-
-
-def ring_report(polygons: DataFrame, ring: str = "geometry") -> DataFrame:
-    """(reason, polygons): how many rings each reason rejects."""
-    told = polygons.select(ring_problem(ring).alias("reason")).filter("reason IS NOT NULL")
-    return told.groupBy("reason").agg(F.count("*").alias("polygons"))
-
-
-def usable_rings(polygons: DataFrame, convex: bool = True, ring: str = "geometry") -> DataFrame:
-    """Polygons with an area; rings without one hold nothing (``ring_report`` counts them).
-
-    Where an operator needs convex rings, a concave one is an error instead of a wrong answer.
-    """
-    problem = ring_problem(ring)
-    bad = problem.isin("points", "open", "area")
-    if convex:
-        stop = F.raise_error(F.lit("this operator takes convex rings; see ring_report")).cast("boolean")
-        return polygons.filter(F.when(problem == "concave", stop).otherwise(~F.coalesce(bad, F.lit(False))))
-    return polygons.filter(~F.coalesce(bad, F.lit(False)))
-
-
 # Points ---------------------------------------------------------------------------------
 
 
@@ -68,26 +37,14 @@ def points_in_cells(points: DataFrame, lon: str = "lon", lat: str = "lat",
     return with_cell(points, lon, lat, resolution).filter(F.col("cell_id").isNotNull())
 
 
-def ring_holds_point(ring: str, lon: str, lat: str) -> Column:
-    """True strictly inside a closed ring (crossing count); the boundary is outside."""
-    edges = f"""transform(sequence(1, size({ring}) - 1), i -> struct({ring}[i - 1].lon AS ax, {ring}[i - 1].lat AS ay,
-      {ring}[i].lon AS bx, {ring}[i].lat AS by))"""
-    crossings = f"""size(filter({edges}, e -> CASE WHEN (e.ay > {lat}) <> (e.by > {lat})
-      THEN {lon} < e.ax + ({lat} - e.ay) * (e.bx - e.ax) / (e.by - e.ay) ELSE false END))"""
-    touches = f"""exists({edges}, e -> (e.bx - e.ax) * ({lat} - e.ay) = (e.by - e.ay) * ({lon} - e.ax)
-      AND {lon} BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx)
-      AND {lat} BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by))"""
-    return F.expr(f"{crossings} % 2 = 1 AND NOT {touches}")
-
-
 def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat",
                        bin_size: float = POINT_BIN_DEGREES, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Points joined to the polygons (cell_id, geometry and box) that strictly hold them."""
-    sides = usable_rings(polygons, convex=False).select("cell_id", F.col("geometry").alias("_ring"),
-                            "lon_min", "lat_min", "lon_max", "lat_max")
+    """Points joined to the polygons (cell_id, geometry and box; rings of any shape) that strictly hold them."""
+    sides = usable_rings(polygons).select("cell_id", ring_edges("geometry").alias("_edges"),
+                                          "lon_min", "lat_min", "lon_max", "lat_max")
     near = box_join(points, sides, (lon, lat, lon, lat),
-                    ("lon_min", "lat_min", "lon_max", "lat_max"), bin_size, min_rows)
-    inside = near.filter(ring_holds_point("_ring", lon, lat))
+                    ("lon_min", "lat_min", "lon_max", "lat_max"), bin_size, min_rows, left_span=0.0)
+    inside = near.filter(holds_point("_edges", lon, lat))
     return inside.select(*points.columns, "cell_id")
 
 
@@ -202,46 +159,32 @@ def line_density(lines: DataFrame, kind: str = "water", resolution: int = DEFAUL
 
 
 def metric_polygons(polygons: DataFrame) -> DataFrame:
-    """Polygon rings in metres (``_ring`` of x and y) with their metric boxes."""
+    """Polygons in metres: their ``_edges`` and metric boxes, and ``_sides`` where the ring is convex (else null)."""
     x, y = geo.metric_text("p.lon", "p.lat")
     ring = F.expr(f"transform(geometry, p -> struct({x} AS x, {y} AS y))")
-    rows = polygons.select("cell_id", ring.alias("_ring"))
-    return rows.withColumns({
+    rows = polygons.select("cell_id", ring.alias("_ring"), ring_problem().isNull().alias("_convex"))
+    rows = rows.withColumns({
         "x_min": F.array_min(F.col("_ring.x")), "y_min": F.array_min(F.col("_ring.y")),
         "x_max": F.array_max(F.col("_ring.x")), "y_max": F.array_max(F.col("_ring.y")),
+        "_edges": ring_edges("_ring", "x", "y"),
     })
-
-
-def ring_share(ring: str) -> Column:
-    """Share of the segment p + t*v, 0 <= t <= 1, inside a closed convex metric ring.
-
-    Each edge gives the room to its line and the rate at which the segment uses it up, both
-    counted positive towards the outside as seen from the ring's middle.
-    """
-    middle = f"aggregate({ring}, 0D, (s, c) -> s + c.%s) / size({ring})"
-    sides = f"""transform(sequence(1, size({ring}) - 1), i -> struct({ring}[i - 1].x AS ax, {ring}[i - 1].y AS ay,
-      {ring}[i].y - {ring}[i - 1].y AS nx, {ring}[i - 1].x - {ring}[i].x AS ny, {middle % 'x'} AS mx, {middle % 'y'} AS my))"""
-    signed = f"""transform({sides}, g -> struct(g.nx AS nx, g.ny AS ny, g.ax AS ax, g.ay AS ay,
-      CASE WHEN g.nx * (g.mx - g.ax) + g.ny * (g.my - g.ay) > 0 THEN -1D ELSE 1D END AS sign))"""
-    rooms = f"""transform({signed}, g -> struct(g.sign * (g.nx * (g.ax - px) + g.ny * (g.ay - py)) AS room,
-      g.sign * (g.nx * vx + g.ny * vy) AS rate))"""
-    return F.expr(f"""aggregate({rooms}, named_struct('low', 0D, 'high', 1D), (s, g) -> named_struct(
-        'low', CASE WHEN g.rate < 0 THEN greatest(s.low, g.room / g.rate) WHEN g.rate = 0 AND g.room < 0 THEN 2D ELSE s.low END,
-        'high', CASE WHEN g.rate > 0 THEN least(s.high, g.room / g.rate) ELSE s.high END),
-      s -> greatest(0D, s.high - s.low))""")
+    return rows.withColumn("_sides", F.when(F.col("_convex"), outward_sides("_edges"))).drop("_ring", "_convex")
 
 
 def line_density_on_polygons(lines: DataFrame, polygons: DataFrame, kind: str = "water",
                              bin_m: float = 1_000.0, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Like ``line_density`` for a table of convex polygons (cell_id, geometry)."""
+    """Like ``line_density`` for a table of polygons (cell_id, geometry), rings of any simple shape.
+
+    Corners are projected and joined by straight metric edges. Rings without an area hold nothing.
+    """
     pieces = line_pieces(lines, bin_m).withColumns({
         "_x0": F.least(F.col("px"), F.col("px") + F.col("vx")), "_y0": F.least(F.col("py"), F.col("py") + F.col("vy")),
         "_x1": F.greatest(F.col("px"), F.col("px") + F.col("vx")), "_y1": F.greatest(F.col("py"), F.col("py") + F.col("vy")),
     })
     near = box_join(pieces, metric_polygons(usable_rings(polygons)), ("_x0", "_y0", "_x1", "_y1"),
-                    ("x_min", "y_min", "x_max", "y_max"), bin_m, min_rows)
-    share = ring_share("_ring")
+                    ("x_min", "y_min", "x_max", "y_max"), bin_m, min_rows, left_span=bin_m)
+    share = F.when(F.col("_sides").isNotNull(), share_inside_convex("_sides")).otherwise(share_inside("_edges"))
     metres = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
-    clipped = near.select("cell_id", "objectid", (share * metres / 1000).alias("km")).filter(F.col("km") > 0)
+    # Generated one by one, so that the filter on the length does not repeat the clip.
+    clipped = near.select("cell_id", "objectid", F.explode(F.array(share * metres / 1000)).alias("km")).filter(F.col("km") > 0)
     return _per_cell(clipped, ["cell_id"], kind)
-

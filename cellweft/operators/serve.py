@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweft.constants import AGGREGATE_FEATURE_COLUMNS, HIGH_RISK, MAX_MAP_FEATURES
+from cellweft.constants import AGGREGATE_FEATURE_COLUMNS, HIGH_RISK, MAX_BBOX_SPAN, MAX_MAP_FEATURES
 from cellweft.functions.display import bbox_problem, risk_band, round_half_even
 from cellweft.functions.weather import heat_index_c
 from cellweft.operators.joins import MIN_HOT_ROWS, box_join
-from cellweft.operators.lattice import CELL_BIN_DEGREES, ring_meets_box
+from cellweft.operators.lattice import CELL_BIN_DEGREES
+from cellweft.operators.rings import meets_box, ring_edges, usable_rings
 
 BOX = ("west", "south", "east", "north")
 
@@ -35,16 +36,16 @@ def scenario_problem(temperature: str = "sim_temperature_c", humidity: str = "si
 
 def bbox_cells(requests: DataFrame, grid: DataFrame, bin_size: float = CELL_BIN_DEGREES,
                min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Accepted requests with every grid cell whose ring meets their box.
+    """Accepted requests with every grid cell whose ring, of any shape, meets their box.
 
     Refused requests go first: that bounds the span of a box, and with it the number of
     bins a request is spread over and the number of cells it can get.
     """
     accepted = requests.filter(bbox_problem(*[F.col(c) for c in BOX]).isNull())
-    cells = grid.select("cell_id", "geometry", "lon_min", "lat_min", "lon_max", "lat_max")
-    near = box_join(accepted, cells, BOX, ("lon_min", "lat_min", "lon_max", "lat_max"), bin_size, min_rows)
-    exact = ring_meets_box("geometry", BOX)
-    return near.filter(exact).select(*requests.columns, "cell_id", "geometry")
+    cells = usable_rings(grid).select("cell_id", "geometry", ring_edges("geometry").alias("_edges"),
+                                      "lon_min", "lat_min", "lon_max", "lat_max")
+    near = box_join(accepted, cells, BOX, ("lon_min", "lat_min", "lon_max", "lat_max"), bin_size, min_rows, left_span=MAX_BBOX_SPAN)
+    return near.filter(meets_box("_edges", BOX)).select(*requests.columns, "cell_id", "geometry")
 
 
 def first_cells(selected: DataFrame, limit: str = "max_features", request: str = "request_id",

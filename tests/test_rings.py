@@ -1,10 +1,13 @@
 """Rings that can't be used: counted by reason, left out, or refused."""
 
+import math
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cellweft.operators import layers
+from cellweft.operators import layers, rings as ring_tests
 
 RING = "cell_id string, geometry array<struct<lon:double,lat:double>>"
 SQUARE = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
@@ -23,10 +26,10 @@ def test_reasons(spark):
              "empty": [], "null": None, "open": SQUARE[:-1], "flat": [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (0.0, 0.0)],
              "notched": NOTCHED}
     rows = polygons(spark, rings)
-    found = {r[0]: r[1] for r in rows.select("cell_id", layers.ring_problem()).collect()}
+    found = {r[0]: r[1] for r in rows.select("cell_id", ring_tests.ring_problem()).collect()}
     assert found == {"square": None, "wise": None, "straight": None, "one": "points", "empty": "points", "null": "points",
                      "open": "open", "flat": "area", "notched": "concave"}
-    assert {r.reason: r.polygons for r in layers.ring_report(rows).collect()} == {
+    assert {r.reason: r.polygons for r in ring_tests.ring_report(rows).collect()} == {
         "points": 3, "open": 1, "area": 1, "concave": 1}
 
 
@@ -37,10 +40,63 @@ def test_points_skip_rings_without_area_and_take_concave_ones(spark):
     assert sorted(map(tuple, found)) == [(1, "notched"), (1, "square")]
 
 
-def test_lines_refuse_concave_rings(spark):
-    lines = spark.createDataFrame([(1, [(0.001, 0.001), (0.002, 0.001)])], "objectid int, geometry array<struct<lon:double,lat:double>>")
-    with pytest.raises(PySparkException, match="convex"):
-        layers.line_density_on_polygons(lines, polygons(spark, {"notched": NOTCHED}), bin_m=200_000.0).collect()
+U_SHAPE = [(-75.75, 45.40), (-75.69, 45.40), (-75.69, 45.44), (-75.71, 45.44), (-75.71, 45.42), (-75.73, 45.42), (-75.73, 45.44),
+           (-75.75, 45.44), (-75.75, 45.40)]
+
+
+def test_lines_are_cut_by_concave_rings(spark):
+    """A line through both arms of a U counts in the arms, not in the gap; two arms of 0.02 degrees of 1.56 km."""
+    lines = spark.createDataFrame([(1, [(-75.80, 45.43), (-75.60, 45.43)]), (2, [(-75.72, 45.43), (-75.72, 45.50)])],
+                                  "objectid int, geometry array<struct<lon:double,lat:double>>")
+    for ring in (U_SHAPE, U_SHAPE[::-1]):
+        found = layers.line_density_on_polygons(lines, polygons(spark, {"u": ring})).collect()
+        assert [(r["cell_id"], r["line_count_water"]) for r in found] == [("u", 1)]
+        assert found[0]["line_length_km_water"] == pytest.approx(3.12, abs=0.06)
+
+
+def plain_holds(ring, x, y):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+            odd = not odd
+    return odd
+
+
+def star(rng, corners):
+    """A simple ring around the origin: random reach at increasing angles, mostly concave."""
+    angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
+    ring = [(r * math.cos(a), r * math.sin(a)) for a in angles for r in [rng.uniform(0.2, 3)]]
+    return [*ring, ring[0]]
+
+
+def test_point_inside_and_share_of_random_concave_rings(spark):
+    rng = random.Random(4)
+    shapes = {f"s{i}": star(rng, rng.randint(7, 20)) for i in range(60)}
+    shapes |= {"flat": [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (0.0, 0.0)], "open": SQUARE[:-1], "null": None, "u": U_SHAPE, "notched": NOTCHED}
+    rows = polygons(spark, shapes)
+    found = {r.cell_id: (r.lon, r.lat) for r in ring_tests.inner_point(rows).collect()}
+    for name, ring in shapes.items():
+        if name in ("flat", "open", "null"):
+            assert found[name] == (None, None)
+        else:
+            assert plain_holds(ring, *found[name]), name
+    shares = rows.filter("cell_id LIKE 's%'").withColumn("_edges", ring_tests.ring_edges("geometry")).withColumns(
+        {"px": F.lit(-2.0), "py": F.lit(0.3), "vx": F.lit(4.0), "vy": F.lit(-0.7)})
+    for r in shares.select("cell_id", ring_tests.share_inside("_edges").alias("share")).collect():
+        steps = 4000
+        held = sum(plain_holds(shapes[r.cell_id], -2 + 4 * (i + 0.5) / steps, 0.3 - 0.7 * (i + 0.5) / steps) for i in range(steps))
+        assert r.share == pytest.approx(held / steps, abs=0.003)
+
+
+def test_box_meets_concave_ring(spark):
+    """Boxes in the gap of a U meet nothing; those that touch an arm, lie in one or hold the ring do."""
+    boxes = {"gap": (1.5, 2.5, 2.5, 3.0), "arm": (0.2, 2.0, 0.5, 2.5), "around": (-9.0, -9.0, 9.0, 9.0), "touch": (-1.0, -1.0, 0.0, 0.0),
+             "apart": (5.0, 5.0, 6.0, 6.0), "across": (-1.0, 2.0, 5.0, 2.1)}
+    rows = spark.createDataFrame([(k, *v) for k, v in boxes.items()], "name string, west double, south double, east double, north double")
+    ring = polygons(spark, {"u": [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (3.0, 4.0), (3.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0), (0.0, 0.0)]})
+    both = rows.crossJoin(ring.select(ring_tests.ring_edges("geometry").alias("_edges")))
+    met = {r["name"] for r in both.filter(ring_tests.meets_box("_edges", ("west", "south", "east", "north"))).collect()}
+    assert met == {"arm", "around", "touch", "across"}
 
 
 def test_centre_of_a_ring_without_area_is_null(spark):

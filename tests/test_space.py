@@ -198,6 +198,30 @@ def test_box_join_gives_each_pair_once(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_box_join_of_very_different_sizes(spark):
+    """Boxes from a point to a thousand bins: each pair once, and at most four rows a box on its own level."""
+    def boxes(n, seed):
+        g = np.random.default_rng(seed)
+        size = 10 ** g.uniform(-3, 2, n) * g.integers(0, 2, n)
+        x, y = g.uniform(-30, 30, n), g.uniform(-30, 30, n)
+        return [(i, float(a), float(b), float(a + s), float(b + s / 3)) for i, (a, b, s) in enumerate(zip(x, y, size, strict=True))]
+
+    a, b = boxes(200, 3), boxes(200, 4)
+    left = spark.createDataFrame(a, "a bigint, x0 double, y0 double, x1 double, y1 double")
+    right = spark.createDataFrame(b, "b bigint, u0 double, v0 double, u1 double, v1 double")
+    want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
+    for span, rows in ((None, 1_000_000), (100.0, 5)):
+        joined = joins.box_join(left, right, ("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), 0.1, rows, left_span=span)
+        got = [(r["a"], r["b"]) for r in joined.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sorted(joined.columns) == sorted(left.columns + right.columns)
+    spread = joins._spread(right, ("u0", "v0", "u1", "v1"), 0.1, joins._level(("u0", "v0", "u1", "v1"), 0.1), [])
+    assert spread.groupBy("b").count().agg(F.max("count")).first()[0] <= 4
+    wide = spark.createDataFrame([(0.0, 0.0, 10.0, 10.0)], "u0 double, v0 double, u1 double, v1 double")
+    box = ("u0", "v0", "u1", "v1")
+    assert joins._spread(wide, box, 0.0125, joins._level(box, 0.0125), []).count() <= 4
+
+
 def test_salted_join_splits_keys_crowded_on_the_right(spark):
     left = spark.range(60).select((F.col("id") % 6).alias("k"), F.col("id").alias("a"))
     right = spark.range(3000).select(F.when(F.col("id") % 3 < 2, 1).otherwise(F.col("id") % 9).alias("k"), F.col("id").alias("b"))
