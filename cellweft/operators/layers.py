@@ -175,7 +175,8 @@ def line_density_on_polygons(lines: DataFrame, polygons: DataFrame, kind: str =
                              bin_m: float = 1_000.0, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Like ``line_density`` for a table of polygons (cell_id, geometry), rings of any simple shape.
 
-    Corners are projected and joined by straight metric edges. Rings without an area hold nothing.
+    Corners are projected and joined by straight metric edges. Rings without an area hold nothing. A stretch along the
+    boundary counts for convex rings; along a concave one rounding decides.
     """
     pieces = line_pieces(lines, bin_m).withColumns({
         "_x0": F.least(F.col("px"), F.col("px") + F.col("vx")), "_y0": F.least(F.col("py"), F.col("py") + F.col("vy")),

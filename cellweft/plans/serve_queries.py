@@ -60,6 +60,15 @@ def bbox_cells(spark, folder):
     return serve.bbox_cells(inputs.requests(spark, folder), grid(spark, folder)).select("request_id", "cell_id")
 
 
+@query("bbox_cells_concave", with_views("accepted", "u_places") + """
+SELECT request_id, cell_id FROM accepted JOIN u_places ON west <= x + w AND east >= x AND south <= y + h AND north >= y
+  AND (south <= y + h / 3 OR west <= x + w / 6 OR east >= x + w * 4 / 6)""")
+def bbox_cells_concave(spark, folder):
+    """A box within the gap of a U does not meet it."""
+    found = serve.bbox_cells(inputs.requests(spark, folder), inputs.u_shapes(spark, folder))
+    return found.select("request_id", "cell_id")
+
+
 @query("bbox_topn", with_views("met", "grid").rstrip() + ",\n" + _SHOWN.split(",\nscored_cells")[0] + """
 SELECT request_id, cell_id, truncated FROM shown""")
 def bbox_topn(spark, folder):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions import geo
 from cellweft.functions.display import clamp_bbox
-from cellweft.operators import features, lattice, layers
+from cellweft.operators import features, lattice, layers, rings
 from cellweft.operators.serve import request_problem
 from cellweft.plans import inputs
 from cellweft.plans.inputs import EDGE, cells_sql, points_sql, project_sql, sql_lat, sql_lon, with_views
@@ -102,9 +102,10 @@ def cell_boundary(spark, folder):
 
 
 @query("cell_neighbors", with_views("grid", "universe") + f"""
-SELECT a.cell_id, b.cell_id AS neighbor_id FROM grid g JOIN universe a USING (cell_id) JOIN universe b
-  ON abs(a.q - b.q) <= 1 AND abs(a.r - b.r) <= 1
- AND sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) < 2 * {EDGE!r}::DOUBLE""")
+SELECT a.cell_id, b.cell_id AS neighbor_id FROM (SELECT *, unnest([-1, 0, 1]) AS dr FROM (
+  SELECT *, unnest([-1, 0, 1]) AS dq FROM grid JOIN universe USING (cell_id))) a
+JOIN universe b ON b.q = a.q + dq AND b.r = a.r + dr
+WHERE sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) < 2 * {EDGE!r}::DOUBLE""")
 def cell_neighbors(spark, folder):
     return lattice.cell_neighbors(grid(spark, folder))
 
@@ -170,6 +171,34 @@ def line_density_polygons(spark, folder):
     return rounded(cells, "line_length_km_water")
 
 
+_U_VALUES = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(inputs.U_CORNERS))
+_U_METRIC = project_sql(f"""(SELECT cell_id, i, x + w * fx / 6 AS lon, y + h * fy / 3 AS lat FROM u_places, (VALUES {_U_VALUES}) AS c(i, fx, fy))""")
+
+
+# Corners run counter-clockwise, so an edge that the line crosses from its right to its left is where the line enters.
+@query("line_density_concave", with_views("u_places").rstrip() + f""",
+u_corners AS ({_U_METRIC}),
+u_edges AS (SELECT a.cell_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM u_corners a JOIN u_corners b
+  ON a.cell_id = b.cell_id AND b.i = (a.i + 1) % 8),
+sides AS (SELECT e.*, l.*, vx*(y0 - py) - vy*(x0 - px) AS sa, vx*(y1 - py) - vy*(x1 - px) AS sb,
+  ((x0 - px)*(y1 - y0) - (y0 - py)*(x1 - x0)) AS num, vx*(y1 - y0) - vy*(x1 - x0) AS den FROM u_edges e, ({inputs.legs_sql()}) l),
+shares AS (SELECT cell_id, objectid, i, any_value(sqrt(vx*vx + vy*vy)) / 1000 * sum(CASE WHEN (x1 - x0)*vy - (y1 - y0)*vx < 0 THEN 1 ELSE -1 END
+  * least(1, greatest(0, num / den))) AS km FROM sides WHERE (sa > 0) <> (sb > 0) GROUP BY 1, 2, 3)
+SELECT cell_id, round(sum(km), 6) AS line_length_km_water, count(DISTINCT objectid) AS line_count_water FROM shares WHERE km > 0 GROUP BY 1""")
+def line_density_concave(spark, folder):
+    cells = layers.line_density_on_polygons(inputs.lines(spark, folder), inputs.u_shapes(spark, folder), "water")
+    return rounded(cells, "line_length_km_water")
+
+
+@query("inner_point", with_views("u_places") + """
+SELECT cell_id, round(CASE WHEN k % 2 = 1 THEN x + h / 6 ELSE x + w * 5 / 6 END, 6) AS lon,
+  round(CASE WHEN k % 2 = 1 THEN y + w * 5 / 12 ELSE y + h * 2 / 3 END, 6) AS lat FROM u_places""")
+def inner_point(spark, folder):
+    """A U is widest in its right arm; a C, cut at half its height, in its spine."""
+    found = rings.inner_point(inputs.u_shapes(spark, folder, turned=True))
+    return rounded(found.select("cell_id", "lon", "lat"), "lon", "lat")
+
+
 @query("building_features", with_views("vintage") + """
 SELECT cell_id, building_count, median_year_built, round(pct_pre_1980, 6) AS pct_pre_1980 FROM vintage""")
 def building_features(spark, folder):
