@@ -23,7 +23,7 @@ def stationed(spark, folder) -> DataFrame:
     """Cells with the station whose weather they get, written once and read back."""
     _, q, r = geo.cell_parts(F.col("cell_id"))
     cells = cell_table(spark, folder).withColumn("station_id", inputs.station_of(q, r))
-    return spark.read.parquet(tables.write_table(cells, scratch_path(spark, "cells"), order=["cell_id"]))
+    return spark.read.parquet(tables.write_table(cells, scratch_path(spark, "cells")))
 
 
 def days(spark, folder) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweft.operators import ranked
+from cellweft.operators import features, ranked
 from cellweft.operators.events import cap_records
 
 
@@ -38,6 +38,39 @@ def test_nth_values(spark):
     assert ranked.nth_values(counts, "v", [1, 2, 4, 5, 6]) == [1.0, 5.0, 5.0, 9.0, 9.0]
 
 
+@pytest.mark.parametrize("ranges", [None, 1, 3, 16])
+def test_places_are_the_same_on_any_number_of_ranges(spark, ranges):
+    data = np.random.default_rng(2).integers(0, 300, 5000)
+    counts = ranked.value_counts(spark.createDataFrame([(int(v),) for v in data], "v int"), "v")
+    want = np.sort(data)
+    found = ranked.places(counts, "v", [1, 17, 2500, 5000], ranges)
+    assert {k: v for k, (v, _) in found.items()} == {k: want[k - 1] for k in (1, 17, 2500, 5000)}
+    assert all(before == (data < v).sum() for v, before in found.values())
+
+
+def test_ranges_grow_with_the_data(spark, monkeypatch):
+    monkeypatch.setattr(ranked, "RANGE_ROWS", 100)
+    counts = ranked.value_counts(spark.range(1000).withColumn("v", F.col("id") * 1.0), "v")
+    ranged = ranked._ranged(counts, "v", False, None)
+    assert ranged.select("_range").distinct().count() == 10
+    tops = [r[0] for r in ranged.groupBy("_range").agg(F.max("v")).orderBy("_range").select("max(v)").collect()]
+    assert tops == sorted(tops, reverse=True)
+    assert ranked.exact_median(spark.range(1000), "id") == 499.5
+
+
+def test_rule_label_runs_few_jobs(spark):
+    """Finding the median of the water column and labelling a matrix take fewer than twenty jobs."""
+    cells = spark.range(500).select(F.col("id").cast("string").alias("cell_id"), F.lit("s").alias("station_id"),
+                                    (F.col("id") * 7 % 311 / 10.0).alias("line_length_km_water"))
+    days = spark.range(40).select(F.lit("s").alias("station_id"), F.col("id").alias("timestamp"), F.lit(30.0).alias("heat_index_c"))
+    spark.sparkContext.setJobGroup("rule-label", "jobs of one query")
+    labelled = features.with_label(features.feature_matrix(cells, days), "synthetic", cells, days)
+    assert labelled.count() == 20_000
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rule-label")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 20
+
+
 def test_first_n_with_a_crowded_time(spark):
     """Most rows share one time; the cut then falls on the second order column."""
     df = spark.range(3000).select(
