@@ -240,12 +240,13 @@ def test_check_sql_of_the_search(spark):
 def test_gradients_match_differences():
     rng = np.random.default_rng(4)
     flat = L.start(1).astype(np.float64)
-    windows, words = rng.integers(0, L.SLOTS, (50, 4)), rng.integers(1, L.SLOTS, 50)
+    windows, words = rng.integers(0, L.SLOTS, (4, 50)), rng.integers(1, L.SLOTS, 50)
     g = L.gradients(L.unpack(flat), windows, words)
     loss = lambda x: -L.log_probs(L.unpack(x), windows, words).mean()
     model = L.unpack(np.arange(L.SIZE))
-    picks = [int(model["hidden"][3]), int(model["first"][2, 5]), int(model["second"][1, 7]), int(model["digit"][int(words[0] // 64), 2]),
-             int(model["window"][1, windows[0, 1], 4]), int(model["first_bias"][int(words[0] // 64)])]
+    high = int(words[0]) // 256
+    picks = [int(model["hidden"][3]), int(model["out"][0, 2, 5]), int(model["out"][2, 1, 7]), int(model["digit"][0, 2, high]),
+             int(model["digit"][1, 3, int(words[0]) // 16 % 16]), int(model["window"][1, windows[1, 0], 4]), int(model["bias"][0, high])]
     for k in picks:
         up, down = flat.copy(), flat.copy()
         up[k] += 1e-5
@@ -256,7 +257,7 @@ def test_gradients_match_differences():
 def test_probabilities_add_up_to_one():
     model = L.unpack(L.start(2))
     every = np.arange(L.SLOTS)
-    assert np.exp(L.log_probs(model, np.tile([3, 9, 27, 81], (L.SLOTS, 1)), every)).sum() == pytest.approx(1.0, abs=1e-4)
+    assert np.exp(L.log_probs(model, np.tile([[3], [9], [27], [81]], (1, L.SLOTS)), every)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
 def test_pseudo_likelihood_prefers_the_trained_order(spark):
@@ -270,6 +271,33 @@ def test_pseudo_likelihood_prefers_the_trained_order(spark):
     assert L.score_documents(df.limit(0)).count() == 0
 
 
+def test_scores_equal_plain_sums(spark):
+    """A fixed model, word by word in plain Python: the score is the sum of the log-probabilities of all words."""
+    import math
+
+    import xxhash
+    texts = ["a b c a b", "lone", "", None, "x y z " * 70, "é ü"]
+    model = {k: v.astype(float) for k, v in L.unpack(L.start(7)).items()}
+
+    def log_soft(x, k):
+        return x[k] - math.log(sum(math.exp(v) for v in x))
+
+    wanted = []
+    for text in texts:
+        slots = [xxhash.xxh64_intdigest(w.encode()) % (L.SLOTS - 1) + 1 for w in (text or "").split()]
+        padded, total = [0, 0, *slots, 0, 0], 0.0
+        for i, s in enumerate(slots):
+            layer = np.tanh(sum(model["window"][k][padded[i + 2 + p]] for k, p in enumerate(L.PLACES)) + model["hidden"])
+            for k, digit in enumerate((s // 256, s // 16 % 16, s % 16)):
+                total += log_soft(layer @ model["out"][k] + model["bias"][k], digit)
+                if k < 2:
+                    layer = np.tanh(layer + model["digit"][k][:, digit])
+        wanted.append(total)
+    windows, words, row = L.examples(texts)
+    got = np.bincount(row, L.log_probs(L.unpack(L.start(7)), windows, words), minlength=len(texts))
+    assert got == pytest.approx(wanted, rel=1e-4)
+
+
 def test_every_word_trains(spark):
     for text in ("lone", "red green", "black white grey", "a b c d e"):
         rows = spark.createDataFrame([(text,)], "text string")
