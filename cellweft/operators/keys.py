@@ -55,6 +55,36 @@ def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence
     return kept.unionByName(new.select(*base.columns))
 
 
+def key_changes(changes: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """(old_key, new_key) of keys the parent holds, once the change leaves every parent key filled and single.
+
+    ``changes`` has ``old_key`` and ``new_key``; an old key that repeats, a null, or two rows that end on one key is an error.
+    Keys may be swapped or passed on in a chain: all change at once.
+    """
+    if not changes.filter("old_key IS NULL OR new_key IS NULL").isEmpty():
+        raise DataError("key changes have null keys")
+    require_unique(changes, ["old_key"], "key changes")
+    moved = parent.select(F.col(key).alias("old_key")).join(changes, "old_key", "left")
+    require_unique(moved.select(F.coalesce("new_key", "old_key").alias(key)), [key], "keys after the change")
+    return moved.filter("new_key IS NOT NULL")
+
+
+def change_keys(df: DataFrame, applied: DataFrame, key: str) -> DataFrame:
+    """Rows under their new keys, in a parent or in a table that refers to it; other rows, nulls too, stay.
+
+    One left join with a table that has each old key once, so a key that owns many rows can be split by Spark.
+    """
+    told = applied.select(F.col("old_key").alias(key), F.col("new_key").alias("_new_key"))
+    return df.join(told, key, "left").withColumn(key, F.coalesce("_new_key", key)).select(*df.columns)
+
+
+def cascade_update(parent: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]],
+                   changes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Change keys of a parent and of all tables that refer to it (name: (table, column)), which stay free of orphans."""
+    applied = key_changes(changes, parent, key)
+    return change_keys(parent, applied, key), {name: change_keys(df, applied, column) for name, (df, column) in children.items()}
+
+
 def one_to_one_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join that refuses duplicate keys on either side."""
     require_unique(left, keys, "left side")

@@ -7,16 +7,20 @@ by an exact test.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.constants import DEFAULT_RESOLUTION, VINTAGE_YEAR, YEAR_BUILT_RANGE
+from cellweft.errors import DataError
 from cellweft.functions import geo
 from cellweft.functions.text import to_number
 from cellweft.operators.joins import MIN_HOT_ROWS, box_join
 from cellweft.operators.lattice import POINT_BIN_DEGREES, with_cell
 from cellweft.operators.rings import (
     holds_point,
+    inner_point,
     outward_sides,
     ring_edges,
     ring_problem,
@@ -48,6 +52,25 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, lon: str = "lon",
     return inside.select(*points.columns, "cell_id")
 
 
+def require_layer(layer: DataFrame, label: str, columns: Sequence[str] = ("objectid", "geometry")) -> DataFrame:
+    """The layer itself, once it has the columns; an empty layer is fine and gives every cell its default."""
+    missing = sorted(set(columns) - set(layer.columns))
+    if missing:
+        raise DataError(f"{label} are missing columns: {', '.join(missing)}")
+    return layer
+
+
+def building_points(buildings: DataFrame) -> DataFrame:
+    """Buildings with one point each: their ``lon`` and ``lat``, or for a ring in ``geometry`` a point surely inside it.
+
+    A ring without an area has no point and drops out.
+    """
+    if {"lon", "lat"} <= set(buildings.columns):
+        return require_layer(buildings, "buildings", ("objectid", "year_built"))
+    placed = inner_point(require_layer(buildings, "buildings", ("objectid", "year_built", "geometry")))
+    return placed.filter(F.col("lon").isNotNull())
+
+
 def building_rows(buildings: DataFrame) -> DataFrame:
     """Buildings with a usable year: numeric and inside the accepted range."""
     year = to_number(F.col("year_built").cast("string"))

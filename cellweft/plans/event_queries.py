@@ -239,6 +239,42 @@ def upsert(spark, folder):
     return spark.read.parquet(tables.upsert_table(spark, stored, new, ["k"]))
 
 
+_UPSERT_SQL = """
+SELECT coalesce(n.k, b.k) AS k, CASE WHEN n.k IS NULL THEN b.name ELSE n.name END AS name,
+  CASE WHEN n.k IS NULL THEN b.amount ELSE n.amount END AS amount
+FROM (SELECT c_custkey AS k, c_name AS name, c_acctbal AS amount FROM customer) b
+FULL JOIN (SELECT s_suppkey + 700 AS k, s_name AS name, s_acctbal AS amount FROM supplier) n USING (k)"""
+
+
+@query("upsert_ranges", _UPSERT_SQL)
+def upsert_ranges(spark, folder):
+    """Customers in folders of 250 keys; suppliers touch a few of them, and the others keep their files."""
+    base = inputs.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
+    new = inputs.table(spark, folder, "supplier").select(
+        (F.col("s_suppkey") + 700).alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("amount"))
+    stored = tables.write_keyed(base, scratch_path(spark, "keyed"), "k div 250")
+    tables.merge_keyed(spark, stored, new, ["k"], "k div 250")
+    return spark.read.parquet(stored).select("k", "name", "amount")
+
+
+@query("fk_cascade", """
+WITH moved AS (SELECT s_suppkey AS old_key, CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey + 100000 WHEN s_suppkey % 7 = 1 THEN s_suppkey + 1
+  WHEN s_suppkey % 7 = 2 AND s_suppkey > 1 THEN s_suppkey - 1 ELSE s_suppkey END AS new_key, s_name FROM supplier)
+SELECT new_key AS s_suppkey, any_value(s_name) AS s_name, count(l_orderkey) AS lines
+FROM moved LEFT JOIN lineitem ON l_suppkey = old_key GROUP BY 1""")
+def fk_cascade(spark, folder):
+    """Every seventh supplier gets a far key and two neighbours swap theirs; the line items follow."""
+    suppliers = inputs.table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    lines = inputs.table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    k = F.col("s_suppkey")
+    new_key = F.when(k % 7 == 0, k + 100000).when(k % 7 == 1, k + 1).when((k % 7 == 2) & (k > 1), k - 1)
+    changes = suppliers.select(k.alias("old_key"), new_key.alias("new_key")).filter("new_key IS NOT NULL")
+    parent, children = keys.cascade_update(suppliers, "s_suppkey", {"lines": (lines, "l_suppkey")}, changes)
+    counts = children["lines"].groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("l_orderkey").alias("lines"))
+    return parent.join(counts, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
 @query("one_to_one", """
 SELECT c_custkey, c_name, orders, spent FROM customer LEFT JOIN
   (SELECT o_custkey AS c_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1) USING (c_custkey)""")

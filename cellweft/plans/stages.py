@@ -89,9 +89,14 @@ def build_grid(spark: SparkSession, out: str, bbox: tuple[float, float, float, f
 
 def build_cells(spark: SparkSession, grid_path: str, water: DataFrame, roads: DataFrame, buildings: DataFrame,
                 out: str, resolution: int | None = DEFAULT_RESOLUTION) -> str:
-    """Layers on the grid. With ``resolution`` None the grid is any table of convex polygons."""
+    """Layers on the grid. With ``resolution`` None the grid is any table of polygons.
+
+    Lines need ``objectid`` and ``geometry``; buildings ``objectid``, ``year_built`` and a point or a ring. What lacks
+    them stops the stage before anything is read; an empty layer leaves the defaults, an empty grid is an error.
+    """
+    water, roads = layers.require_layer(water, "water lines"), layers.require_layer(roads, "road lines")
+    usable = layers.building_rows(layers.building_points(tables.nan_to_null(buildings)))
     grid = tables.require_table(spark, grid_path, "grid", ["cell_id", "centroid_lat", "centroid_lon", "geometry"])
-    usable = layers.building_rows(buildings)
     if resolution is None:
         lines = [layers.line_density_on_polygons(df, grid, kind) for df, kind in ((water, "water"), (roads, "road"))]
         # Two aggregates read the placed points, and the join that places them is costly.
@@ -108,9 +113,9 @@ def build_cells(spark: SparkSession, grid_path: str, water: DataFrame, roads: Da
 def build_matrix(spark: SparkSession, cells_path: str, weather_path: str, out: str, station: str,
                  mode: str = "synthetic", max_days: int | None = MAX_TRAINING_DAYS) -> str:
     """Cells crossed with the newest ``max_days`` days of their station (None: all), labelled."""
-    cells = tables.require_table(spark, cells_path, "cell features")
+    cells = tables.nan_to_null(tables.require_table(spark, cells_path, "cell features"))
     cells = cells if "station_id" in cells.columns else cells.withColumn("station_id", F.lit(station))
-    weather = tables.require_table(spark, weather_path, "weather features", ["station_id", "timestamp"])
+    weather = tables.nan_to_null(tables.require_table(spark, weather_path, "weather features", ["station_id", "timestamp"]))
     days = _kept(spark, daily.newest_days(daily.daily_last(weather), max_days), "days")
     features.check_matrix_inputs(cells, days)
     matrix = features.feature_matrix(cells, days)
@@ -136,10 +141,10 @@ def score_requests(spark: SparkSession, requests: DataFrame, grid_path: str, cel
     # Both the scores and the metadata start from the cells shown.
     found = serve.bbox_cells(accepted, tables.require_table(spark, grid_path, "grid"))
     shown = _kept(spark, serve.first_cells(found), "shown")
-    cells = tables.require_table(spark, cells_path, "cell features")
+    cells = tables.nan_to_null(tables.require_table(spark, cells_path, "cell features"))
     cells = cells if "station_id" in cells.columns else cells.withColumn("station_id", F.lit(station))
     keys.require_unique(cells, ["cell_id"], "cell features")
-    weather = tables.require_table(spark, weather_path, "weather features")
+    weather = tables.nan_to_null(tables.require_table(spark, weather_path, "weather features"))
     latest = keys.latest_per_key(weather, ["station_id"], "timestamp")
     rows = serve.with_weather(shown.join(cells, "cell_id", "left").fillna({"station_id": station}), latest)
     changed = serve.apply_scenario(rows)
@@ -159,12 +164,12 @@ def score_cells(spark: SparkSession, asked: DataFrame, grid_path: str, cells_pat
     """
     model, metadata = learn.load_model(spark, model_path)
     grid = tables.require_table(spark, grid_path, "grid")
-    cells = tables.require_table(spark, cells_path, "cell features")
+    cells = tables.nan_to_null(tables.require_table(spark, cells_path, "cell features"))
     answers = keys.cell_lookup(asked, grid, cells)
     answers = answers if "station_id" in answers.columns else answers.withColumn("station_id", F.lit(station))
     valid = F.col("cell_id").isNotNull() if resolution is None else geo.is_cell(F.col("cell_id"), resolution)
     answers = answers.withColumn("status", F.when(~valid, "invalid").otherwise(F.col("status")))
-    latest = keys.latest_per_key(tables.require_table(spark, weather_path, "weather features"), ["station_id"], "timestamp")
+    latest = keys.latest_per_key(tables.nan_to_null(tables.require_table(spark, weather_path, "weather features")), ["station_id"], "timestamp")
     rows = serve.with_weather(answers.fillna({"station_id": station}), latest)
     scored = learn.score_rows(model, metadata["feature_columns"], rows)
     known = F.col("status").isin("empty", "found")
@@ -178,9 +183,9 @@ def build_predictions(spark: SparkSession, cells_path: str, weather_path: str, m
                       station: str) -> str:
     """Score every cell under the latest weather of its station and store the predictions."""
     model, metadata = learn.load_model(spark, model_path)
-    cells = tables.require_table(spark, cells_path, "cell features")
+    cells = tables.nan_to_null(tables.require_table(spark, cells_path, "cell features"))
     cells = cells if "station_id" in cells.columns else cells.withColumn("station_id", F.lit(station))
-    weather = tables.require_table(spark, weather_path, "weather features")
+    weather = tables.nan_to_null(tables.require_table(spark, weather_path, "weather features"))
     latest = keys.latest_per_key(weather, ["station_id"], "timestamp")
     scored = learn.score_rows(model, metadata["feature_columns"], serve.with_weather(cells, latest))
     tables.write_table(learn.predictions(scored, metadata), out, order=["cell_id"])

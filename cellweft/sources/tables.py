@@ -58,3 +58,34 @@ def upsert_table(spark: SparkSession, base_path: str, new: DataFrame, keys: Sequ
     """
     merged = upsert(spark.read.parquet(base_path), new, keys, order)
     return write_table(merged, out_path or scratch_path(spark, "upsert"))
+
+
+PART = "key_part"
+
+
+def write_keyed(df: DataFrame, path: str, part: str) -> str:
+    """Write a table in folders by ``part``, a SQL expression over key columns, so that later merges touch few of them."""
+    return write_table(df.withColumn(PART, F.expr(part)).repartition(PART), path, partition_by=[PART])
+
+
+def merge_keyed(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], part: str, order: Sequence[str] = ()) -> int:
+    """Upsert ``new`` into a table of ``write_keyed``; only folders that hold a key of ``new`` are read and rewritten.
+
+    ``part`` must be the expression the table was written with, over key columns alone: a key then always lies in one
+    folder. The merged folders are written aside first, then swapped in by one dynamic partition overwrite, so a
+    lost executor or a failed job leaves the table as it was. A null part is an error. Returns the number of folders.
+    """
+    unknown = [c for c in new.columns if c == PART]
+    if unknown:
+        raise DataError(f"new rows must not have a column {PART}")
+    placed = new.withColumn(PART, F.expr(part))
+    # One row per folder of the table; the scan skips all other folders.
+    touched = placed.select(PART).distinct()
+    held = spark.read.parquet(path)
+    base = held.join(touched, PART, "left_semi").select(*held.columns)
+    stop = F.raise_error(F.lit("a key has no part")).cast(placed.schema[PART].dataType)
+    placed = placed.withColumn(PART, F.coalesce(PART, stop))
+    merged = write_table(upsert(base, placed, keys, order), scratch_path(spark, "merge"))
+    rows = spark.read.parquet(merged)
+    rows.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    return rows.select(PART).distinct().count()

@@ -53,6 +53,37 @@ def test_every_cell_has_a_row_on_lattice_and_rings(spark, built):
     assert cells.filter("line_length_km_water > 0").count() > 5
 
 
+def test_layers_without_their_columns_are_refused(spark, built):
+    out = str(built["root"] / "refused")
+    lines = spark.createDataFrame([(1, [{"lon": BOX[0], "lat": 45.41}, {"lon": BOX[2], "lat": 45.41}])],
+                                  "objectid bigint, geometry array<struct<lon:double,lat:double>>")
+    houses = spark.createDataFrame([(1, 1950, -75.70, 45.42)], "objectid bigint, year_built int, lon double, lat double")
+    bad = [((lines.drop("objectid"), lines, houses), "water lines.*objectid"), ((lines, lines.drop("geometry"), houses), "road lines.*geometry"),
+           ((lines, lines, houses.drop("year_built")), "buildings.*year_built"), ((lines, lines, houses.drop("lon")), "buildings.*geometry")]
+    for layer, match in bad:
+        with pytest.raises(DataError, match=match):
+            stages.build_cells(spark, built["grid"], *layer, out)
+    empty = str(built["root"] / "no-cells")
+    spark.read.parquet(built["grid"]).limit(0).write.parquet(empty)
+    with pytest.raises(DataError, match="grid"):
+        stages.build_cells(spark, empty, lines, lines, houses, out)
+
+
+def test_empty_layers_leave_defaults_and_rings_count_once(spark, built):
+    """Empty layers are fine; a concave building counts in the cell that holds a point inside it."""
+    schema = "objectid bigint, geometry array<struct<lon:double,lat:double>>"
+    none = spark.createDataFrame([], schema)
+    x, y, d = -75.69, 45.42, 0.0004
+    ring = [(x, y), (x + 3 * d, y), (x + 3 * d, y + 3 * d), (x + 2 * d, y + 3 * d), (x + 2 * d, y + d), (x + d, y + d), (x + d, y + 3 * d),
+            (x, y + 3 * d), (x, y)]
+    houses = spark.createDataFrame([(1, 1950.0, ring), (2, float("nan"), ring), (3, 1990.0, ring[:2])],
+                                   "objectid bigint, year_built double, geometry array<struct<lon:double,lat:double>>")
+    cells = spark.read.parquet(stages.build_cells(spark, built["grid"], none, none, houses, str(built["root"] / "rings-only")))
+    assert cells.count() == spark.read.parquet(built["grid"]).count()
+    assert [tuple(r) for r in cells.filter("building_count > 0").select("building_count", "median_year_built").collect()] == [(1, 1950.0)]
+    assert cells.filter("line_count_water + line_count_road > 0 OR line_length_km_water > 0").isEmpty()
+
+
 def test_matrix_and_model(spark, built):
     matrix = spark.read.parquet(built["matrix"])
     assert matrix.count() == spark.read.parquet(built["cells"]).count() * 31
