@@ -118,5 +118,6 @@ def inner_point(df: DataFrame, ring: str = "geometry") -> DataFrame:
     # Widest first; of equal widths the western one.
     stretches = "transform(filter(sequence(0, size(_met) - 1), i -> i % 2 = 0), i -> struct(_met[i + 1] - _met[i] AS w, -_met[i] AS a))"
     rows = rows.withColumn("_widest", F.expr(f"CASE WHEN size(_met) > 1 THEN array_max({stretches}) END"))
-    return rows.withColumns({"lon": F.expr("_widest.w / 2 - _widest.a"), "lat": F.when(F.col("_widest").isNotNull(), F.col("_level"))}
-                            ).drop("_ok", "_edges", "_middle", "_level", "_met", "_widest")
+    point = F.struct(F.expr("_widest.w / 2 - _widest.a").alias("lon"), F.when(F.col("_widest").isNotNull(), F.col("_level")).alias("lat"))
+    # A generator, so that later tests on the point are not pushed below (and copied into) the steps above.
+    return rows.select(*[c for c in df.columns if c not in ("lon", "lat")], F.inline(F.array(point)))
