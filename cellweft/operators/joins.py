@@ -100,19 +100,23 @@ def box_join(left: DataFrame, right: DataFrame, left_box: Sequence[str], right_b
     path = scratch_path(spark, "box-join")
     right.withColumn("_right_level", _level(right_box, bin_size)).write.parquet(path)
     kept = spark.read.parquet(path)
-    right_levels = [r[0] for r in kept.select("_right_level").distinct().collect()]
     if left_span is None:
         left_levels = [r[0] for r in left.select(_level(left_box, bin_size)).distinct().collect()]
     else:
         left_levels = range(max(math.ceil(math.log2(max(left_span / bin_size, 1))) + 1, 1))
+    bins = ["_level", "_bx", "_by"]
+    binned = _spread(kept, right_box, bin_size, "_right_level", left_levels).withColumnRenamed("_own", "_right_own")
+    # One look at the copy tells the levels of the right boxes and how crowded its fullest bin is.
+    per_bin = binned.groupBy(*bins).agg(F.count("*").alias("n"), F.collect_set("_right_own").alias("own"))
+    right_levels, fullest = per_bin.agg(F.array_distinct(F.flatten(F.collect_set("own"))), F.max("n")).first()
     # A side that rounding makes longer than ``left_span`` stays on the last level.
     left_own = F.least(_level(left_box, bin_size), F.lit(max(left_levels, default=0)))
-    spread = (_spread(left, left_box, bin_size, left_own, right_levels).withColumnRenamed("_own", "_left_own"),
-              _spread(kept, right_box, bin_size, "_right_level", left_levels).withColumnRenamed("_own", "_right_own"))
+    spread = _spread(left, left_box, bin_size, left_own, right_levels or []).withColumnRenamed("_own", "_left_own")
     lx0, ly0, lx1, ly1 = (F.col(c) for c in left_box)
     rx0, ry0, rx1, ry1 = (F.col(c) for c in right_box)
     meets = (lx0 <= rx1) & (rx0 <= lx1) & (ly0 <= ry1) & (ry0 <= ly1) & (F.col("_level") == F.greatest("_left_own", "_right_own"))
     width = F.lit(bin_size) * F.pow(F.lit(2.0), F.col("_level"))
     once = (F.floor(F.greatest(lx0, rx0) / width) == F.col("_bx")) & (F.floor(F.greatest(ly0, ry0) / width) == F.col("_by"))
-    joined = salted_join(spread[0], spread[1], ["_level", "_bx", "_by"], min_rows, count=("right",))
+    crowded = (fullest or 0) > min_rows
+    joined = salted_join(spread, binned, bins, min_rows, count=("right",)) if crowded else spread.join(binned, bins)
     return joined.filter(meets & once).drop("_level", "_bx", "_by", "_left_own", "_right_own", "_right_level")
