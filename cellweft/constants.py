@@ -110,6 +110,7 @@ MIN_TRAINING_DAYS = 10
 TRAIN_FRACTION = 0.60
 VALIDATION_FRACTION = 0.20
 ARTIFACT_SCHEMA_VERSION = 1
+SOURCE_MODES = ("mock", "hybrid", "live")
 TARGET_MODES = ("synthetic", "observed")
 
 # Display bands (fixed values).

@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweft.constants import AGGREGATE_FEATURE_COLUMNS, HIGH_RISK, MAX_BBOX_SPAN, MAX_MAP_FEATURES
+from cellweft.constants import (
+    AGGREGATE_FEATURE_COLUMNS,
+    HIGH_RISK,
+    MAX_BBOX_SPAN,
+    MAX_MAP_FEATURES,
+    PREDICTION_HORIZON_HOURS,
+    SOURCE_MODES,
+)
 from cellweft.functions.display import bbox_problem, risk_band, round_half_even
 from cellweft.functions.weather import heat_index_c
 from cellweft.operators.joins import MIN_HOT_ROWS, box_join
@@ -179,8 +186,10 @@ def at_least(scored: DataFrame, minimum: float, score: str = "risk_score") -> Da
     return scored.filter(round_half_even(F.col(score), 4) >= minimum) if minimum > 0 else scored
 
 
-def weather_summary(latest: DataFrame) -> DataFrame:
-    """Rounded latest indicators per station."""
+def weather_summary(latest: DataFrame, source_mode: str = "live") -> DataFrame:
+    """Rounded latest indicators per station, with where the data come from ('mock' data are synthetic) and how far a score looks ahead."""
+    if source_mode not in SOURCE_MODES:
+        raise ValueError(f"source_mode must be one of: {', '.join(SOURCE_MODES)}")
     places = {"temperature_c": 1, "relative_humidity": 1, "heat_index_c": 1,
               "consecutive_dry_days": 2, "rainfall_48h": 2}
     name = F.coalesce(F.col("station_name"), F.lit("Unknown station")) if "station_name" in latest.columns else F.lit("Unknown station")
@@ -189,4 +198,7 @@ def weather_summary(latest: DataFrame) -> DataFrame:
         *[round_half_even(F.col(c), p).alias(c) for c, p in places.items()],
         name.alias("station_name"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("observed_at"),
+        F.lit(source_mode).alias("data_source_mode"),
+        F.lit(source_mode == "mock").alias("is_synthetic"),
+        F.lit(PREDICTION_HORIZON_HOURS).alias("forecast_horizon_hours"),
     )

@@ -248,6 +248,17 @@ def model_registry(spark, folder):
         is_probability(F.col("decision_threshold")).alias("threshold_in_range"))
 
 
+@query("metrics_answer", with_views("matrix") + f"""
+SELECT (SELECT count(*) FROM matrix) AS training_rows, {_VERSION_SQL} AS model_version, 'synthetic' AS target_mode, 10 AS features,
+  true AS in_falling_order, 'hexagon resolution 8' AS spatial_resolution, 48 AS prediction_horizon_hours, true AS has_warning""")
+def metrics_answer(spark, folder):
+    told = learn.metrics_answer(spark, trained(spark, folder))
+    values = F.col("features.importance")
+    return told.select("metrics.training_rows", "metrics.model_version", "metrics.target_mode", F.size("features").alias("features"),
+                       (F.sort_array(values, asc=False) == values).alias("in_falling_order"), "spatial_resolution",
+                       "prediction_horizon_hours", F.col("target_warning").isNotNull().alias("has_warning"))
+
+
 @query("batch_score", with_views("matrix") + f"""
 SELECT cell_id, true AS score_in_range, {_VERSION_SQL} AS model_version, 'synthetic' AS target_mode FROM stationed""")
 def batch_score(spark, folder):

@@ -105,11 +105,11 @@ def latest_row(spark, folder):
 SELECT station_id, round_even(temperature_c, 1) AS temperature_c, round_even(relative_humidity, 1) AS relative_humidity,
   round_even(heat_index_c, 1) AS heat_index_c, round_even(consecutive_dry_days, 2) AS consecutive_dry_days,
   round_even(rainfall_48h, 2) AS rainfall_48h, 'Unknown station' AS station_name,
-  strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS observed_at
+  strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS observed_at, 'mock' AS data_source_mode, true AS is_synthetic, 48 AS forecast_horizon_hours
 FROM weather QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1""")
 def weather_summary(spark, folder):
     weather = windows.weather_features(inputs.obs(spark, folder))
-    return serve.weather_summary(keys.latest_per_key(weather, ["station_id"], "timestamp"))
+    return serve.weather_summary(keys.latest_per_key(weather, ["station_id"], "timestamp"), "mock")
 
 
 @query("first_per_key", """

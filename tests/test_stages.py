@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweft.errors import DataError
 from cellweft.functions.display import is_probability
-from cellweft.operators import quality, serve
+from cellweft.operators import learn, quality, serve
 from cellweft.plans import stages
 
 BOX = (-75.72, 45.40, -75.66, 45.44)
@@ -53,6 +53,19 @@ def test_every_cell_has_a_row_on_lattice_and_rings(spark, built):
     assert cells.filter("line_length_km_water > 0").count() > 5
 
 
+def test_metrics_answer_with_and_without_a_model(spark, built):
+    told = learn.metrics_answer(spark, built["model"]).collect()
+    assert len(told) == 1 and told[0]["metrics"]["training_rows"] == spark.read.parquet(built["matrix"]).count()
+    shares = [f["importance"] for f in told[0]["features"]]
+    assert 0 < len(shares) <= 10 and shares == sorted(shares, reverse=True)
+    assert (told[0]["spatial_resolution"], told[0]["prediction_horizon_hours"]) == ("hexagon resolution 8", 48)
+    assert told[0]["target_warning"]
+    gone = learn.metrics_answer(spark, str(built["root"] / "no-model"))
+    assert gone.schema.simpleString() == learn.metrics_answer(spark, built["model"]).schema.simpleString()
+    row = gone.first()
+    assert (row["metrics"], row["features"], row["target_warning"]) == (None, [], None)
+
+
 def test_layers_without_their_columns_are_refused(spark, built):
     out = str(built["root"] / "refused")
     lines = spark.createDataFrame([(1, [{"lon": BOX[0], "lat": 45.41}, {"lon": BOX[2], "lat": 45.41}])],
