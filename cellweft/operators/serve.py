@@ -14,7 +14,7 @@ from cellweft.constants import (
     PREDICTION_HORIZON_HOURS,
     SOURCE_MODES,
 )
-from cellweft.functions.display import bbox_problem, risk_band, round_half_even
+from cellweft.functions.display import bbox_problem, risk_band, round_binary, round_half_even
 from cellweft.functions.weather import heat_index_c
 from cellweft.operators.joins import MIN_HOT_ROWS, box_join
 from cellweft.operators.lattice import CELL_BIN_DEGREES
@@ -195,7 +195,7 @@ def weather_summary(latest: DataFrame, source_mode: str = "live") -> DataFrame:
     name = F.coalesce(F.col("station_name"), F.lit("Unknown station")) if "station_name" in latest.columns else F.lit("Unknown station")
     return latest.select(
         "station_id",
-        *[round_half_even(F.col(c), p).alias(c) for c, p in places.items()],
+        *[round_binary(F.col(c), p).alias(c) for c, p in places.items()],
         name.alias("station_name"),
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("observed_at"),
         F.lit(source_mode).alias("data_source_mode"),

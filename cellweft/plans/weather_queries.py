@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweft.constants import HOURLY_NUMERIC
-from cellweft.functions.display import round_half_even
+from cellweft.functions.display import round_binary, round_half_even
 from cellweft.functions.text import to_number
 from cellweft.functions.weather import heat_index_c
 from cellweft.operators import daily, keys, quality, serve, windows
@@ -213,12 +213,14 @@ def coerce_numeric(spark, folder):
 
 @query("display_round", with_views("obs") + """
 SELECT station_id, timestamp, round_even(temperature_c / 7, 1) AS one, round_even(relative_humidity / 7, 2) AS two,
-  round_even(temperature_c / relative_humidity, 4) AS four FROM obs""")
+  round_even(temperature_c / relative_humidity, 4) AS four,
+  printf('%.2f', (temperature_c * 100 + relative_humidity * 10 + 5) / 1000)::DOUBLE AS tied FROM obs""")
 def display_round(spark, folder):
+    """Plain values, and values that read as ties (x.xx5) but mostly are none in binary."""
     t, h = F.col("temperature_c"), F.col("relative_humidity")
     return inputs.obs(spark, folder).select(
         "station_id", "timestamp", round_half_even(t / 7, 1).alias("one"), round_half_even(h / 7, 2).alias("two"),
-        round_half_even(t / h, 4).alias("four"),
+        round_half_even(t / h, 4).alias("four"), round_binary((t * 100 + h * 10 + 5) / 1000, 2).alias("tied"),
     )
 
 
