@@ -4,32 +4,38 @@ Texts become token ids (a byte-level BPE file, ids as that file's tokenizer give
 one separator id each. A document longer than a sequence is cut into whole
 sequences, of which only the first piece may be shorter.
 
-Pieces are dealt to blocks by a hash of their document. Within a block they are placed
+Pieces are dealt to blocks by a hash of their document; equal rows are numbered and go to one
+block after the other, so copies of one row spread over all blocks. Within a block they are placed
 longest first into the fullest sequence that takes them. Then the local search works
 on underfull sequences: it moves a piece, exchanges one piece for a longer one, or one
 for two whose sum is longer, whenever the fuller of the two sequences gets fuller, which
 raises the sum of squared fills, until sequences run empty or no exchange is
-left. Sequences that stay under ``full`` of their length are dealt whole to the blocks of the
+left: all pieces and all pairs of a sequence are on offer, without a cap. Sequences that stay under ``full`` of their length are dealt whole to the blocks of the
 next level by a hash of their number, as many blocks as their pieces fill, so every level's
 blocks hold about ``block_rows`` pieces whatever their lengths. A block never makes more sequences of them
-than it was given. Levels end with the one that has a single block, or that no longer
-lowers the number of sequences; its sequences stay as they are.
+than it was given. Levels end with the one that has a single block, or with the second in a row that does not
+lower the number of sequences; its sequences stay as they are.
 
 Defined results: a null text is an empty one, one separator long. Repeated rows are
-packed each. Ids may be null; pieces then share one block hash and are still whole.
+packed each, and so are rows without an id. A tokenizer file that splits texts by another rule than
+PATTERN is refused.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
 from array import array
+from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cellweft.errors import DataError
 from cellweft.llm.common import tune, written
 
 LENGTH = 2048
@@ -38,6 +44,8 @@ SPECIAL = "<|endoftext|>"
 #: Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_SIZE = 120_000
+#: Levels in a row that may lower nothing before dealing again ends.
+IDLE_LEVELS = 1
 _SPACE_RUN = re.compile(r"\s ")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -65,7 +73,11 @@ class Encoder(dict):
 
         self.path, self.tokenizer = path, None
         symbols = byte_symbols()
-        ranks = {bytes(symbols[c] for c in token): i for token, i in self.load().get_vocab(False).items()
+        loaded = self.load()
+        splits = json.loads(loaded.pre_tokenizer.__getstate__()) if loaded.pre_tokenizer else {}
+        if loaded.normalizer is not None or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex", True):
+            raise DataError("the tokenizer file splits texts by another rule")
+        ranks = {bytes(symbols[c] for c in token): i for token, i in loaded.get_vocab(False).items()
                  if token != SPECIAL}
         self.merger = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -153,94 +165,161 @@ def best_fit(lengths: list[int], length: int = LENGTH) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], length: int = LENGTH, passes: int = 4) -> list[list[int]]:
-    """Moves and exchanges between underfull sequences that raise the sum of squared fills.
+class Emptier:
+    """What the sequences not yet served in a pass hold: pieces by length, pairs of pieces of one sequence by sum.
 
-    The fuller sequence of a pair is the one that gains. Each pass offers every underfull
-    sequence, fullest first, the pieces of emptier ones, indexed by length.
+    Every piece and every pair is listed; entries that have become wrong are dropped when they are met.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(passes):
-        order = sorted((k for k in range(len(bins)) if 0 < fill[k] < length), key=lambda k: (-fill[k], k))
-        held: list[list[int]] = [[] for _ in range(length + 1)]
-        place = {}
-        present = 0
-        for rank, k in enumerate(order):
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: list[int], length: int):
+        self.bins, self.fill, self.lengths, self.length = bins, fill, lengths, length
+        self.owner = {i: k for k, members in enumerate(bins) for i in members}
+        self.waiting = {k for k in range(len(bins)) if 0 < fill[k] < length}
+        self.order = [(-fill[k], k) for k in self.waiting]
+        heapify(self.order)
+        self.pieces: list[list[tuple[int, int, int]]] = [[] for _ in range(length + 1)]
+        self.count = [0] * (length + 1)
+        self.present = 0  # bit n is set if a piece of length n waits
+        self.sums = {}
+        self.holders: list[list[int]] = [[] for _ in range(length + 1)]
+        self.paired = 0  # bit s is set if a sequence may hold a pair with sum s
+        for k in sorted(self.waiting):
             for i in bins[k]:
-                held[lengths[i]].append(i)
-                place[i] = (rank, k)
-                present |= 1 << lengths[i]
-        changed = False
+                self.list_piece(i, k)
+            self.list_pairs(k)
+
+    def list_piece(self, i: int, k: int) -> None:
+        n = self.lengths[i]
+        self.owner[i] = k
+        heappush(self.pieces[n], (self.fill[k], k, i))
+        self.count[n] += 1
+        self.present |= 1 << n
+
+    def drop_piece(self, i: int) -> None:
+        n = self.lengths[i]
+        self.count[n] -= 1
+        if not self.count[n]:
+            self.present &= ~(1 << n)
+
+    def list_pairs(self, k: int) -> None:
+        seen = Counter(self.lengths[i] for i in self.bins[k])
+        single = sum(1 << n for n in seen)
+        sums = 0
+        for n, times in seen.items():
+            sums |= (single if times > 1 else single & ~(1 << n)) << n
+        sums &= (1 << (self.length + 1)) - 1
+        added = sums & ~self.sums.get(k, 0)
+        self.sums[k] = sums
+        self.paired |= added
+        while added:
+            low = added & -added
+            self.holders[low.bit_length() - 1].append(k)
+            added ^= low
+
+    def fullest(self) -> int | None:
+        """Take the fullest waiting sequence out; its pieces are no longer on offer."""
+        while self.order:
+            negative, k = heappop(self.order)
+            if k in self.waiting and self.fill[k] == -negative:
+                self.waiting.discard(k)
+                for i in self.bins[k]:
+                    self.drop_piece(i)
+                return k
+        return None
+
+    def longest_piece(self, limit: int) -> int:
+        """Greatest length up to ``limit`` on offer; 0 without one."""
+        return (self.present & ((1 << (limit + 1)) - 1)).bit_length() - 1 if limit > 0 and self.present else 0
+
+    def longest_pair(self, limit: int, above: int) -> int:
+        """Greatest sum of a pair in (above, limit]; 0 without one."""
+        while True:
+            s = (self.paired & ((1 << (limit + 1)) - 1)).bit_length() - 1
+            if s <= above:
+                return 0
+            known = self.holders[s]
+            while known and not (known[-1] in self.waiting and self.sums[known[-1]] >> s & 1):
+                known.pop()
+            if known:
+                return s
+            self.paired &= ~(1 << s)
+
+    def take_piece(self, n: int) -> list[int]:
+        """A waiting piece of length ``n``, of an emptiest sequence as listed."""
+        while True:
+            _, k, i = self.pieces[n][0]
+            if self.owner[i] == k and k in self.waiting:
+                return [i]
+            heappop(self.pieces[n])
+
+    def take_pair(self, s: int) -> list[int]:
+        k = self.holders[s][-1]
+        met: dict[int, int] = {}
+        for i in self.bins[k]:
+            other = met.get(s - self.lengths[i])
+            if other is not None:
+                return [other, i]
+            met.setdefault(self.lengths[i], i)
+        raise AssertionError("a listed pair is not there")
+
+    def exchange(self, k: int, inward: list[int], out: int | None) -> None:
+        """Bring pieces of one waiting sequence into ``k``, and ``out`` back in their place."""
+        other = self.owner[inward[0]]
+        for i in inward:
+            self.drop_piece(i)
+            self.bins[other].remove(i)
+            self.bins[k].append(i)
+            self.owner[i] = k
+        gain = sum(self.lengths[i] for i in inward) - (self.lengths[out] if out is not None else 0)
+        self.fill[k] += gain
+        self.fill[other] -= gain
+        if out is not None:
+            self.bins[k].remove(out)
+            self.bins[other].append(out)
+            self.list_piece(out, other)
+        if self.bins[other]:
+            heappush(self.order, (-self.fill[other], other))
+        else:
+            self.waiting.discard(other)
+        self.list_pairs(other)
 
-        def take(n: int, rank: int) -> int | None:
-            """A piece of length n in an emptier sequence than that at ``rank``, the emptiest first."""
-            found = [i for i in held[n][-8:] if place[i][0] > rank and i in bins[place[i][1]]]
-            return max(found, key=lambda i: (place[i][0], i)) if found else None
-
-        def longest(limit: int, above: int):
-            """Lengths that occur, in (above, limit], longest first."""
-            bits = present & ((1 << (limit + 1)) - 1)
-            bits >>= above + 1
-            while bits:
-                top = bits.bit_length() - 1
-                yield top + above + 1
-                bits &= ~(1 << top)
-
-        for rank, k in enumerate(order):
-            room = length - fill[k]
-            if not fill[k] or not room:
-                continue
-            best = None  # (gain, pieces in, piece out)
-            for tries, n in enumerate(longest(room, 0)):
-                i = take(n, rank)
-                if i is not None:
-                    best = (n, [i], None)
-                    break
-                if tries > 32:
-                    break
-            for out in sorted(set(bins[k]), key=lambda i: lengths[i]):
-                if best and best[0] == room:
-                    break
-                for tries, n in enumerate(longest(min(length, lengths[out] + room), lengths[out])):
-                    gain = n - lengths[out]
-                    if tries > 32 or (best and gain <= best[0]):
-                        break
-                    i = take(n, rank)
-                    if i is not None:
-                        best = (gain, [i], out)
-                        break
-                aim = lengths[out] + room
-                for tries, n in enumerate(longest(aim - 1, aim // 2 - 1)):
-                    if tries > 16 or (best and best[0] == room):
-                        break
-                    i = take(n, rank)
-                    if i is None:
-                        continue
-                    for inner, m in enumerate(longest(aim - n, 0)):
-                        if inner > 8 or n + m - lengths[out] <= max(0, best[0] if best else 0):
-                            break
-                        j = take(m, rank)
-                        if j is not None and j != i and place[j][1] == place[i][1]:
-                            best = (n + m - lengths[out], [i, j], out)
-                            break
-            if best is None:
-                continue
-            gain, inward, out = best
-            other_rank, other = place[inward[0]]
-            if out is None or len(inward) == 2 or fill[other] - gain >= 0:
-                for i in inward:
-                    bins[other].remove(i)
-                    bins[k].append(i)
-                    place[i] = (rank, k)
-                if out is not None:
-                    bins[k].remove(out)
-                    bins[other].append(out)
-                    place[out] = (other_rank, other)
-                fill[k] += gain
-                fill[other] -= gain
-                changed = True
-        if not changed:
+
+def best_exchange(k: int, offers: Emptier) -> tuple[list[int], int | None] | None:
+    """The move, one-for-one or two-for-one exchange by which sequence ``k`` gains most."""
+    room = offers.length - offers.fill[k]
+    gain, kind, out = offers.longest_piece(room), "piece", None
+    wanted = gain
+    for n, i in sorted({offers.lengths[i]: i for i in offers.bins[k]}.items()):
+        if gain == room:
             break
+        longest = offers.longest_piece(n + room)
+        if longest - n > gain:
+            gain, kind, out, wanted = longest - n, "piece", i, longest
+        pair = offers.longest_pair(n + room, n + gain)
+        if pair:
+            gain, kind, out, wanted = pair - n, "pair", i, pair
+    if gain <= 0:
+        return None
+    return (offers.take_piece(wanted) if kind == "piece" else offers.take_pair(wanted)), out
+
+
+def local_search(bins: list[list[int]], lengths: list[int], length: int = LENGTH) -> list[list[int]]:
+    """Moves and exchanges between underfull sequences until none is left that makes the fuller one fuller.
+
+    A pass serves sequences fullest first. Each takes the best of all moves, one-for-one and two-for-one
+    exchanges with all emptier sequences, again and again, until it is full or nothing fits. Every step
+    raises the sum of squared fills, a whole number with a bound, so passes end; they do with one that changes nothing.
+    """
+    bins = [list(b) for b in bins]
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    changed = True
+    while changed:
+        changed = False
+        offers = Emptier(bins, fill, lengths, length)
+        while (k := offers.fullest()) is not None:
+            while (found := best_exchange(k, offers)) is not None:
+                offers.exchange(k, *found)
+                changed = True
     return [b for b in bins if b]
 
 
@@ -248,8 +327,8 @@ def pack_blocks(pieces: DataFrame, level: int, length: int, full: float, last: b
     """Pack every block; ``open`` marks pieces of sequences that go on to the next level."""
 
     def run(key, pdf):
-        keys = ["length", "id", "piece", "start", "ids_crc32"]
-        pdf = pdf.sort_values(keys, ascending=[False] + [True] * 4, kind="stable").reset_index(drop=True)
+        keys = ["length", "id", "piece", "start", "ids_crc32", "copy"]
+        pdf = pdf.sort_values(keys, ascending=[False] + [True] * 5, kind="stable").reset_index(drop=True)
         lengths = pdf["length"].tolist()
         bins = local_search(best_fit(lengths, length), lengths, length)
         if level:
@@ -269,23 +348,34 @@ def pack_blocks(pieces: DataFrame, level: int, length: int, full: float, last: b
     return pieces.groupBy("block").applyInPandas(run, pieces.schema)
 
 
+def number_copies(pieces: DataFrame, step: int) -> DataFrame:
+    """The same rows with ``copy``, which numbers equal rows from 0; a task makes ``step`` copies of a row at a time."""
+    counted = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("n"))
+    single = counted.filter("n = 1").select(*pieces.columns, F.lit(0).cast("long").alias("copy"))
+    starts = counted.filter("n > 1").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    dealt = starts.repartition(*pieces.columns, "copy")
+    ends = F.least(F.col("copy") + step, F.col("n")) - 1
+    return single.unionByName(dealt.select(*pieces.columns, F.explode(F.sequence("copy", ends)).alias("copy")))
+
+
 def pack_pieces(pieces: DataFrame, length: int = LENGTH, full: float = 0.999, block_rows: int = 20_000,
                 seed: int = 11) -> DataFrame:
     """The given pieces with ``sequence_id`` and ``offset``."""
     most = max(1, math.ceil(pieces.count() / block_rows))
-    place = F.pmod(F.xxhash64(F.lit(seed), "id", "piece", "ids_crc32"), F.lit(most))
-    waiting = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"),
+    place = F.pmod(F.pmod(F.xxhash64(F.lit(seed), "id", "piece", "ids_crc32"), F.lit(most)) + F.col("copy"), F.lit(most))
+    waiting = number_copies(pieces, block_rows).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"),
                                   "open": F.lit(False), "block": place})
-    done, level, given = None, 0, math.inf
+    done, level, given, idle = None, 0, math.inf, 0
     first = F.col("offset") == 0  # one piece of every sequence
     while True:
         out = written(pack_blocks(waiting, level, length, full, most == 1), "packed")
         rows, made, left = out.agg(F.count_if("open"), F.count_if(first), F.count_if(first & F.col("open"))).first()
-        over = not rows or made >= given
+        idle = idle + 1 if made >= given else 0
+        over = not rows or most == 1 or idle > IDLE_LEVELS
         settled = out if over else out.filter(~F.col("open"))
         done = settled if done is None else done.unionByName(settled)
         if over:
-            return done.drop("open", "block")
+            return done.drop("open", "block", "copy")
         most, level, given = math.ceil(rows / block_rows), level + 1, left
         place = F.pmod(F.xxhash64(F.lit(seed + level), "sequence_id"), F.lit(most))
         waiting = out.filter("open").withColumns({"block": place, "open": F.lit(False)})

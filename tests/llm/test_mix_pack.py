@@ -1,12 +1,15 @@
 import math
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Whitespace
 
+from cellweft.errors import DataError
 from cellweft.llm import packing, pivotal
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -189,3 +192,54 @@ def test_local_search_empties_sequences():
         found = packing.local_search(start, lengths, 100)
         assert sorted(i for b in found for i in b) == list(range(80))
         assert all(sum(lengths[i] for i in b) <= 100 for b in found) and len(found) < 80
+
+
+def improving_step(bins, lengths, cap):
+    """Plain search over all pairs: a move or exchange that makes the fuller sequence fuller, or None."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    order = sorted(range(len(bins)), key=lambda k: (-fill[k], k))
+    for at, k in enumerate(order):
+        for o in order[at + 1:]:
+            for inward in [*combinations(bins[o], 1), *combinations(bins[o], 2)]:
+                for out in [*([None] if len(inward) == 1 else []), *bins[k]]:
+                    gain = sum(lengths[i] for i in inward) - (0 if out is None else lengths[out])
+                    if 0 < gain <= cap - fill[k]:
+                        return k, o, inward, out
+    return None
+
+
+def test_local_search_leaves_no_exchange():
+    rng = np.random.default_rng(4)
+    for turn in range(150):
+        cap = int(rng.choice([20, 60, 100]))
+        lengths = rng.integers(1, cap // (1 + turn % 2) + 1, rng.integers(0, 40)).tolist()
+        start = packing.best_fit(lengths, cap) if turn % 3 else [[i] for i in range(len(lengths))]
+        found = packing.local_search(start, lengths, cap)
+        assert sorted(i for b in found for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= cap for b in found) and len(found) <= len(start)
+        assert improving_step(found, lengths, cap) is None
+
+
+def test_rows_of_one_id_spread_over_blocks(spark, monkeypatch):
+    seen, inner = [], packing.pack_blocks
+
+    def watch(pieces, *rest):
+        seen.append(pieces.groupBy("block").count().agg(F.max("count")).first()[0])
+        return inner(pieces, *rest)
+
+    monkeypatch.setattr(packing, "pack_blocks", watch)
+    pieces = spark.range(60_000).select(F.lit(None).cast("long").alias("id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                                        F.lit(300).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    got = packing.pack_pieces(pieces, block_rows=5_000)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    filled = got.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n"), F.max("n"), F.count("*")).first()
+    assert tuple(filled)[:2] == (60_000 * 300, 1_800) and max(seen) < 10_000
+    assert 10_000 <= filled[2] <= 10_012  # twelve blocks, at most one sequence more in each
+
+
+def test_other_splitting_rules_are_refused(tmp_path):
+    loaded = Tokenizer.from_file(FILE)
+    loaded.pre_tokenizer = Whitespace()
+    loaded.save(str(tmp_path / "other.json"))
+    with pytest.raises(DataError):
+        packing.Encoder(str(tmp_path / "other.json"))
