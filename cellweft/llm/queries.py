@@ -23,7 +23,7 @@ def op2_secret_scan(spark, folder):
     found = secret_scan.scan_secrets(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
                         F.sha2(secret_scan.span_text("base").cast("binary"), 256).alias("base_sha256"),
-                        secret_scan.span_text("spans").alias("spans"), "n_live", "n_example")
+                        secret_scan.span_text("spans").alias("spans"), "n_live", "n_example", "n_shared")
 
 
 @query("op3_rule_ensemble")

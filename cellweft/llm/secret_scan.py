@@ -1,13 +1,17 @@
 """Secret scan: base patterns, and how many owners share each candidate.
 
 Every candidate value is hashed (SHA-256, first 16 bytes). Over the whole corpus the hash is
-counted by distinct repositories and distinct owners. A value that ``shared_from``
-or more owners hold is a widely copied example; one that fewer hold and that looks
-random is live. Beside the base spans, candidates of the wider ``loose`` pattern
+counted by distinct repositories and distinct owners, which gives its ``spread``:
+
+- ``wide``: ``shared_from`` or more owners and as many repositories. A widely copied example.
+- ``shared``: as many owners, but fewer repositories. A credential that the people of few repositories share.
+- ``owner``: fewer owners, in however many repositories. A credential of its owner.
+
+A value that looks random and is not ``wide`` is live. Beside the base spans, candidates of the wider ``loose`` pattern
 become spans of kind ``owned`` if their value is live and they overlap no base span.
 
-Counting is a ladder: (hash, owner, repository), then (hash, owner), then hash.
-Each step adds up within its tasks first, so a value that sits in a third of all rows
+Counting takes two steps: distinct (hash, owner) and (hash, repository) rows, then hashes.
+Each adds up within its tasks first, so a value that sits in a third of all rows
 is a handful of partial rows. The way back joins rows to unique hashes, a join whose
 large partitions Spark splits.
 
@@ -94,26 +98,34 @@ def find_candidates(docs: DataFrame, text_col: str, owner_col: str, repo_col: st
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(key, owners, repos): distinct owners and repositories of every candidate value."""
+    """(key, owners, repos): distinct owners and distinct repositories of every candidate value."""
     single = found.select("owner", "repo", F.explode("found.key").alias("key"))
-    by_repo = single.groupBy("key", "owner", "repo").agg(F.count("*").alias("n"))
-    by_owner = by_repo.groupBy("key", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("key").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("name")) for side in ("owner", "repo")])
+    apart = single.select("key", F.explode(sides).alias("by")).select("key", "by.*").distinct()
+    return apart.groupBy("key").agg(F.count_if(F.col("side") == "owner").alias("owners"), F.count_if(F.col("side") == "repo").alias("repos"))
+
+
+SPAN = "struct<start:int,end:int,kind:string,live:boolean,spread:string,owners:bigint,repos:bigint>"
 
 
 def judge_spans(found: DataFrame, shared_from: int = 3) -> DataFrame:
-    """(row, spans) from (row, owner, repo, found): candidates with owners, repositories and ``live``."""
+    """(row, spans) from (row, owner, repo, found): candidates with owners, repositories, ``spread`` and ``live``."""
     single = found.select("row", F.explode("found").alias("c")).select("row", "c.*")
     told = single.join(ownership(found), "key", "left")
-    live = F.col("random") & (F.col("owners") < shared_from)
-    span = F.struct("start", "end", "kind", live.alias("live"), "owners", "repos")
+    many = F.col("owners") >= shared_from
+    spread = F.when(many & (F.col("repos") >= shared_from), "wide").when(many, "shared").otherwise("owner")
+    live = F.col("random") & (spread != "wide")
+    span = F.struct("start", "end", "kind", live.alias("live"), spread.alias("spread"), "owners", "repos")
     kept = told.filter((F.col("kind") != "owned") | live)
     return kept.groupBy("row").agg(F.collect_list(span).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, shared_from: int = 3, id_col="doc_id", text_col="text", owner_col="source",
                  repo_col="doc_id") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, n_live, n_example, base, spans), one row per document.
+    """(id, n_assign, n_access, n_hex, n_live, n_example, n_shared, base, spans), one row per document.
+
+    ``n_live`` counts live spans, ``n_example`` those of widely copied values, ``n_shared`` those of values that
+    many owners hold in few repositories.
 
     ``base`` and ``spans`` are arrays ordered by start and kind as listed, ``owned`` last.
     """
@@ -125,16 +137,17 @@ def scan_secrets(docs: DataFrame, shared_from: int = 3, id_col="doc_id", text_co
     both = found.select("row", "id").join(judged, "row", "left")
     rank = F.create_map(*[F.lit(x) for pair in zip((*KINDS, "owned"), range(4)) for x in pair])
     spans = F.array_sort(F.transform(
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,kind:string,live:boolean,owners:bigint,repos:bigint>>")),
+        F.coalesce("spans", F.array().cast(f"array<{SPAN}>")),
         lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"),
-                           s["kind"].alias("kind"), s["live"].alias("live"), s["owners"].alias("owners"),
-                           s["repos"].alias("repos"))))
+                           s["kind"].alias("kind"), s["live"].alias("live"), s["spread"].alias("spread"),
+                           s["owners"].alias("owners"), s["repos"].alias("repos"))))
     both = both.select("id", spans.alias("spans"))
     base = F.filter("spans", lambda s: s["rank"] < 3)
     return both.select(
         "id", *[F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("spans", lambda s: s["owners"] >= shared_from)).cast("long").alias("n_example"),
+        *[F.size(F.filter("spans", _of_spread(spread))).cast("long").alias(name)
+          for name, spread in (("n_example", "wide"), ("n_shared", "shared"))],
         base.alias("base"), "spans")
 
 
@@ -142,6 +155,10 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def _of_spread(spread: str):
+    return lambda s: s["spread"] == spread
+
+
 def mask(text: str, spans, mark: str = "[secret]") -> str:
     """The text with every (start, end) replaced; overlapping spans are one."""
     out, at = [], 0
@@ -154,9 +171,9 @@ def mask(text: str, spans, mark: str = "[secret]") -> str:
 
 def mask_secrets(docs: DataFrame, shared_from: int = 3, text_col="text", owner_col="source", repo_col="doc_id",
                  size_col: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns, with every span masked whose value fewer than ``shared_from`` owners hold.
+    """The same rows and columns, with every span masked whose value is not widely copied.
 
-    Widely copied examples stay. ``size_col``, if there, is set to the new length in code points.
+    Values that ``shared_from`` owners and as many repositories hold stay. ``size_col``, if there, is set to the new length in code points.
     Only rows with a candidate are joined; the others never leave their partition.
     """
     tune(docs.sparkSession)
@@ -166,7 +183,7 @@ def mask_secrets(docs: DataFrame, shared_from: int = 3, text_col="text", owner_c
     found = written(find_candidates(rows, inner[text_col], inner[owner_col], inner[repo_col]), "secrets")
     dirty = found.filter(F.size("found") > 0)
     bare = judge_spans(found.select("row", "owner", "repo", "found"), shared_from)
-    hidden = F.transform(F.filter("spans", lambda s: s["owners"] < shared_from),
+    hidden = F.transform(F.filter("spans", lambda s: s["spread"] != "wide"),
                          lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     told = dirty.select("row", *inner.values()).join(bare.select("row", hidden.alias("hidden")), "row", "left").drop("row")
     text = inner[text_col]

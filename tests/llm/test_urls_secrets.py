@@ -158,3 +158,23 @@ def test_masking_hides_what_few_own(spark):
     assert got[6] == TEXTS[5][1] and got[9] == "" and got[10] is None
     assert {r["doc_id"]: r["n_chars"] for r in rows}[1] == len(got[1])
     assert secret_scan.mask("abcdef", [(1, 3), (2, 4)]) == "a[secret]ef"
+
+
+def test_owners_and_repositories_both_decide(spark):
+    """Against plain counting: one owner's value in many repositories, one repository's value of many owners, and an example."""
+    values = {"own": "Zq8Lw3Xv7Tn2Rb5Yk9Hd4Mf6", "team": "Pj2Vc9Sx4Ga7Wn1Kt6Qe8Bu3", "wide": "Hy5Rd1Mz8Lf3Ov6Cw2Ni9Xa4", "both": "Tb7Ek4Uq1Js9Pg6Dx3Vh8Zc2"}
+    at = {"own": [("a", r) for r in range(5)], "team": [(o, 1) for o in "abcd"], "wide": [(o, k) for k, o in enumerate("abc")],
+          "both": [("a", 1), ("b", 1), (None, 2), ("c", None), ("a", 1)]}
+    rows = [(k, f"key {values[name]} here", owner, repo, name)
+            for k, (name, owner, repo) in enumerate((n, o, r) for n, places in at.items() for o, r in places)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo int, name string")
+    found = {r["id"]: r for r in scan_secrets(df, repo_col="repo").collect()}
+    for k, _, _, _, name in rows:
+        owners, repos = (len(set(side)) for side in zip(*at[name]))
+        want = "wide" if owners >= 3 and repos >= 3 else "shared" if owners >= 3 else "owner"
+        spans = found[k]["spans"]
+        assert [(s["spread"], s["owners"], s["repos"], s["live"]) for s in spans] == ([] if want == "wide" else [(want, owners, repos, True)])
+        assert found[k]["n_shared"] == (want == "shared") and found[k]["n_live"] == (want != "wide")
+    texts = {r["doc_id"]: r["text"] for r in mask_secrets(df, repo_col="repo").collect()}
+    assert {k for k, t in texts.items() if "[secret]" in t} == {r[0] for r in rows if r[4] in ("own", "team")}
+    assert mask_secrets(df.limit(0), repo_col="repo").count() == 0
