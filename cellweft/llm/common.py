@@ -56,6 +56,16 @@ def fields(**kinds: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in kinds.items()])
 
 
+def number_copies(rows: DataFrame, step: int) -> DataFrame:
+    """The same rows with ``copy``, which numbers equal rows from 0; a task makes ``step`` copies of a row at a time."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    single = counted.filter("n = 1").select(*rows.columns, F.lit(0).cast("long").alias("copy"))
+    starts = counted.filter("n > 1").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    dealt = starts.repartition(*rows.columns, "copy")
+    ends = F.least(F.col("copy") + step, F.col("n")) - 1
+    return single.unionByName(dealt.select(*rows.columns, F.explode(F.sequence("copy", ends)).alias("copy")))
+
+
 def by_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict], list], schema: T.StructType,
               order: list[str] | None = None) -> DataFrame:
     """Rows that ``fn(key, columns)`` returns for every group; many small groups share one task and batch.

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cellweft.errors import DataError
-from cellweft.llm.common import tune, written
+from cellweft.llm.common import number_copies, tune, written
 
 LENGTH = 2048
 SEPARATOR = b"\x00\x00\x00\x00"
@@ -348,16 +348,6 @@ def pack_blocks(pieces: DataFrame, level: int, length: int, full: float, last: b
     return pieces.groupBy("block").applyInPandas(run, pieces.schema)
 
 
-def number_copies(pieces: DataFrame, step: int) -> DataFrame:
-    """The same rows with ``copy``, which numbers equal rows from 0; a task makes ``step`` copies of a row at a time."""
-    counted = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("n"))
-    single = counted.filter("n = 1").select(*pieces.columns, F.lit(0).cast("long").alias("copy"))
-    starts = counted.filter("n > 1").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
-    dealt = starts.repartition(*pieces.columns, "copy")
-    ends = F.least(F.col("copy") + step, F.col("n")) - 1
-    return single.unionByName(dealt.select(*pieces.columns, F.explode(F.sequence("copy", ends)).alias("copy")))
-
-
 def pack_pieces(pieces: DataFrame, length: int = LENGTH, full: float = 0.999, block_rows: int = 20_000,
                 seed: int = 11) -> DataFrame:
     """The given pieces with ``sequence_id`` and ``offset``."""

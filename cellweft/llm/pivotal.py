@@ -9,8 +9,8 @@ fractions 0 or 1 and keeps the source's sum of words exactly. What is left open
 a block of documents goes up a tree of blocks to one open document per source, whose
 fraction is drawn last, so a source misses its target by less than one document.
 
-Blocks are made by a hash of the id and hold about ``block_rows`` rows whatever the
-size of a source; the tree has a fan-in of ``fan``. Draws depend on ids and the seed
+Blocks are made by a hash of the id, and equal rows are numbered and go to one block after the other, so
+they hold about ``block_rows`` rows whatever the size of a source or the rows of one id; the tree has a fan-in of ``fan``. Draws depend on ids and the seed
 only, so reruns agree.
 
 Defined results: null or empty text has size 0 and takes 0. Rows that agree in id, source
@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cellweft.llm.common import small_side, tune, written
+from cellweft.llm.common import number_copies, small_side, tune, written
 
 #: The weights, the share of all words, the limit per source.
 WEIGHTS = (3, 1, 2)
@@ -125,18 +125,18 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
                 block_rows: int = 20_000, fan: int = 256) -> DataFrame:
     """(id, source, size, source_size, target, taken, copies), one row per document."""
     tune(docs.sparkSession)
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                               word_count(F.col(text_col)).alias("size")), "sizes")
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = written(sizes, "sizes")
     targets = small_side(source_targets(rows.select("source", "size")), "targets")
     largest = targets.agg(F.max("n")).first()[0] or 0
-    told = rows.join(targets,
-                     rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    rows = number_copies(rows, block_rows)
+    told = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     times = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(LIMIT))).otherwise(0.0)
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.lit(1))
     told = told.withColumn("times", times)
     told = told.select("id", "source", "size", "source_size", "target", F.floor("times").cast("double").alias("whole"),
                        F.when(F.col("size") > 0, F.col("times") - F.floor("times")).otherwise(0.0).alias("share"),
-                       F.pmod(F.xxhash64(F.lit(seed), "id"), blocks).alias("block"), F.lit(False).alias("open"))
+                       F.pmod(F.pmod(F.xxhash64(F.lit(seed), "id"), blocks) + F.col("copy"), blocks).alias("block"), F.lit(False).alias("open"))
     levels = 1
     most = max(1, math.ceil(largest / block_rows))
     while most > 1:

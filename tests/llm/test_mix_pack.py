@@ -70,6 +70,21 @@ def test_mix_of_nothing(spark):
     assert [r["taken"] for r in mixed_rows(spark, [(1, None, None), (2, " ", "a")])] == [0, 0]
 
 
+def test_rows_of_one_id_mix_in_blocks(spark, monkeypatch):
+    seen, inner = [], pivotal.round_blocks
+
+    def watch(rows, *rest):
+        seen.append(rows.groupBy("source", "block").count().agg(F.max("count")).first()[0] or 0)
+        return inner(rows, *rest)
+
+    monkeypatch.setattr(pivotal, "round_blocks", watch)
+    df = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"),
+                                    F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("source"))
+    got = pivotal.mix_sources(df, block_rows=4_000).groupBy("source").agg(F.count("*"), F.sum("taken"), F.max("target")).collect()
+    assert max(seen) < 8_000 and len(got) == 2
+    assert all(n == 30_000 and abs(taken - target) <= 3 for _, n, taken, target in got)
+
+
 def test_rounding_keeps_the_sum_and_is_fair():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 100, 60).astype(float)
