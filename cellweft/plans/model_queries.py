@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweft.constants import ARTIFACT_SCHEMA_VERSION, LABEL
 from cellweft.functions import geo
 from cellweft.functions.display import is_probability
-from cellweft.operators import daily, evaluate, features, keys, learn, ranked, serve, windows
+from cellweft.operators import daily, evaluate, features, keys, leafwise, learn, ranked, serve, windows
 from cellweft.operators.quality import audit_predictions, check_scores, require_clean
 from cellweft.plans import inputs
 from cellweft.plans.inputs import DAY_COLUMNS, with_views
@@ -271,3 +271,49 @@ def batch_score(spark, folder):
     stored = check_scores(spark.read.parquet(path))
     require_clean(audit_predictions(stored), "predictions")
     return stored.select("cell_id", is_probability(F.col("risk_score")).alias("score_in_range"), "model_version", "target_mode")
+
+
+@query("leafwise_tree", """
+WITH rows AS (
+  SELECT (l_extendedprice > 40000)::INT AS y, l_quantity::DOUBLE AS quantity, l_linenumber::DOUBLE AS line,
+    CASE WHEN l_tax > 0 THEN l_discount::DOUBLE END AS discount FROM lineitem),
+weights AS (SELECT count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1) AS w FROM rows),
+sums AS (SELECT quantity, line, discount, CASE WHEN y = 1 THEN -w / 2 ELSE 0.5 END AS g, CASE WHEN y = 1 THEN w ELSE 1 END / 4 AS h
+  FROM rows, weights),
+inputs AS (
+  SELECT 'quantity' AS feature, quantity AS v, g, h FROM sums UNION ALL SELECT 'line', line, g, h FROM sums
+  UNION ALL SELECT 'discount', discount, g, h FROM sums),
+bins AS (SELECT feature, v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM inputs GROUP BY feature, v),
+upto AS (
+  SELECT feature, v, lead(v) OVER f AS next, sum(g) OVER f AS lg, sum(h) OVER f AS lh, sum(n) OVER f AS ln
+  FROM bins WHERE v IS NOT NULL WINDOW f AS (PARTITION BY feature ORDER BY v)),
+lost AS (SELECT feature, coalesce(sum(g) FILTER (WHERE v IS NULL), 0) AS mg, coalesce(sum(h) FILTER (WHERE v IS NULL), 0) AS mh,
+  coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS mn, sum(g) AS tg, sum(h) AS th, sum(n) AS tn FROM bins GROUP BY feature),
+cuts AS (
+  SELECT feature, v, next, lg + s * mg AS g, lh + s * mh AS h, ln + s * mn AS n, tg, th, tn
+  FROM upto JOIN lost USING (feature), (VALUES (0), (1)) sides(s)),
+best AS (
+  SELECT feature, coalesce(v + (next - v) / 2, 'Infinity'::DOUBLE) AS threshold, n, tn - n AS rest,
+    g * g / h + (tg - g) * (tg - g) / (th - h) - tg * tg / th AS gain
+  FROM cuts WHERE n >= 5 AND tn - n >= 5)
+SELECT feature AS root_input, round(threshold, 6) AS root_threshold, n::BIGINT AS left_rows, rest::BIGINT AS right_rows, round(gain, 3) AS root_gain,
+  true AS leaves_within_15, true AS depth_within_5, true AS leaves_hold_all_rows
+FROM best ORDER BY gain DESC LIMIT 1""")
+def leafwise_tree(spark, folder):
+    """One tree grown best leaf first over all line items: its first split, exactly, and whether its limits hold."""
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        (F.col("l_extendedprice") > 40000).cast("int").alias(LABEL), F.col("l_quantity").cast("double").alias("quantity"),
+        F.col("l_linenumber").cast("double").alias("line"), F.when(F.col("l_tax") > 0, F.col("l_discount").cast("double")).alias("discount"))
+    names = ["quantity", "line", "discount"]
+    nodes = leafwise.train_leafwise(rows, names, trees=1, share=1.0).table(spark)
+    root, leaf = F.col("node") == 0, F.col("left").isNull()
+
+    def at(node, column):
+        return F.max(F.when(F.col("node") == node, F.col(column)))
+
+    told = nodes.agg(
+        F.get(F.array(*[F.lit(c) for c in names]), F.max(F.when(root, F.col("feature")))).alias("root_input"),
+        F.round(at(0, "threshold"), 6).alias("root_threshold"), at(1, "rows").alias("left_rows"), at(2, "rows").alias("right_rows"),
+        F.round(at(0, "gain"), 3).alias("root_gain"), (F.count_if(leaf) <= 15).alias("leaves_within_15"),
+        (F.max("depth") <= 5).alias("depth_within_5"), (F.sum(F.when(leaf, F.col("rows"))) == at(0, "rows")).alias("leaves_hold_all_rows"))
+    return told
