@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.constants import DEFAULT_RESOLUTION, VINTAGE_YEAR, YEAR_BUILT_RANGE
@@ -81,12 +81,26 @@ def building_features(placed: DataFrame) -> DataFrame:
     """Per cell: distinct buildings, exact median year, share built before the vintage year.
 
     The year side shuffles one row per (cell, year) and task, the count side one row per
-    (cell, building); neither sends a crowded cell's raw rows to one task.
+    (cell, building); neither sends a crowded cell's raw rows to one task. The middle is found by a
+    running count over the cell's distinct years, which spills to disk where they are many.
     """
     years = placed.groupBy("cell_id", "year_built").agg(F.count("*").alias("n"))
     early = F.when(F.col("year_built") < VINTAGE_YEAR, F.col("n")).otherwise(0)
-    vintage = years.groupBy("cell_id").agg(
-        F.percentile("year_built", F.lit(0.5), F.col("n")).alias("median_year_built"),
+    cell = Window.partitionBy("cell_id")
+    known = F.when(F.col("year_built").isNotNull(), F.col("n")).otherwise(0)
+    ranked = years.withColumn("known", known).withColumns({
+        "upto": F.sum("known").over(cell.orderBy("year_built").rowsBetween(Window.unboundedPreceding, 0)),
+        "total": F.sum("known").over(cell),
+    })
+
+    def year_at(place):
+        """The year at a place (from 1) among the cell's buildings in order of year."""
+        holds = (F.col("upto") >= place) & (F.col("upto") - F.col("known") < place)
+        return F.max(F.when(holds, F.col("year_built")))
+
+    lower, upper = year_at(F.floor((F.col("total") + 1) / 2)), year_at(F.floor((F.col("total") + 2) / 2))
+    vintage = ranked.groupBy("cell_id").agg(
+        (lower + (upper - lower) / 2).alias("median_year_built"),
         (F.sum(early) / F.sum("n")).alias("pct_pre_1980"),
     )
     counted = placed.select("cell_id", "objectid").distinct().groupBy("cell_id").agg(

@@ -152,6 +152,23 @@ def test_clipped_lengths_add_up_and_polygons_agree(spark):
         layers.line_density(df, "rail")
 
 
+def test_median_year_of_crowded_cells(spark):
+    """Fractional years, even and odd counts, repeated years, and buildings without a year, against the plain median."""
+    from statistics import median
+
+    years = {"crowd": [1900 + k * 0.013 for k in range(5_001)] + [1950.5] * 7, "even": [1920.25, 1990.5, 1990.5, 2001.0],
+             "one": [1979.75], "part": [None, 1960.0, 1970.0, None], "none": [None]}
+    rows = [(cell, k, y) for cell, known in years.items() for k, y in enumerate(known)]
+    placed = spark.createDataFrame(rows, "cell_id string, objectid int, year_built double")
+    got = {r["cell_id"]: r for r in layers.building_features(placed).collect()}
+    assert set(got) == set(years)
+    for cell, listed in years.items():
+        known = [y for y in listed if y is not None]
+        assert got[cell]["building_count"] == len(listed)
+        assert got[cell]["median_year_built"] == (pytest.approx(median(known), abs=1e-9) if known else None)
+        assert got[cell]["pct_pre_1980"] == pytest.approx(sum(y < 1980 for y in known) / len(listed))
+
+
 def test_building_features(spark):
     rows = [(1, "1965", -75.70, 45.42), (2, "1995", -75.70, 45.42), (3, "1500", -75.70, 45.42), (4, "old", -75.70, 45.42)]
     df = spark.createDataFrame(rows, "objectid bigint, year_built string, lon double, lat double")
