@@ -36,7 +36,9 @@ def ring_report(polygons: DataFrame, ring: str = "geometry") -> DataFrame:
 def usable_rings(polygons: DataFrame, ring: str = "geometry") -> DataFrame:
     """Polygons with an area; rings without one hold nothing (``ring_report`` counts them)."""
     bad = ring_problem(ring).isin("points", "open", "area")
-    return polygons.filter(~F.coalesce(bad, F.lit(False)))
+    # Generated, so that the filter does not copy the making of the ring into every look at a corner.
+    told = polygons.select("*", F.explode(F.array(F.coalesce(bad, F.lit(False)))).alias("_bad"))
+    return told.filter(~F.col("_bad")).drop("_bad")
 
 
 def ring_edges(ring: str, x: str = "lon", y: str = "lat") -> Column:
@@ -92,6 +94,49 @@ def share_inside_convex(ring_sides: str, px: str = "px", py: str = "py", vx: str
       s -> greatest(0D, s.high - s.low))""")
 
 
+#: Rings with more edges are not cut: the parts of a ring can be as many as the square of its edges.
+MAX_PART_EDGES = 32
+
+
+def level_parts(df: DataFrame, edges: str = "_edges", wanted: str = "true") -> DataFrame:
+    """Add ``_parts``: a simple ring cut at the heights of its corners; null where it stays whole.
+
+    A part lies from height y0 up to y1 between a left edge (lx, ly, lrun) and a right one (rx, ry, rrun) that reach over
+    both heights. A ring stays whole where ``wanted`` is false, beyond MAX_PART_EDGES edges, and where its edges cross.
+    """
+    heights = F.expr(f"CASE WHEN {wanted} AND size({edges}) <= {MAX_PART_EDGES} THEN array_sort(array_distinct(transform({edges}, e -> e.ay))) END")
+    slabs = "transform(sequence(1, size(_heights) - 1), i -> struct(_heights[i - 1] AS y0, _heights[i] AS y1))"
+    at = lambda y: f"e.ax + ({y} - e.ay) * e.run"
+    reaching = f"filter({edges}, e -> least(e.ay, e.by) <= h.y0 AND greatest(e.ay, e.by) >= h.y1)"
+    cuts = f"""transform({slabs}, h -> struct(h.y0 AS y0, h.y1 AS y1, array_sort(transform({reaching}, e -> struct(
+      {at('(h.y0 + h.y1) / 2')} AS x, {at('h.y0')} AS x0, {at('h.y1')} AS x1, e.ax AS ax, e.ay AS ay, e.run AS run))) AS s))"""
+    # Edges that share a corner differ there by rounding, far below a micrometre.
+    apart = """forall(_cuts, h -> size(h.s) > 1 AND size(h.s) % 2 = 0 AND forall(transform(h.s, (e, k) -> k = 0 OR (
+      e.x0 >= get(h.s, k - 1).x0 - 1e-6 AND e.x1 >= get(h.s, k - 1).x1 - 1e-6)), b -> b))"""
+    parts = """flatten(transform(_cuts, h -> transform(sequence(0, size(h.s) div 2 - 1), k -> struct(h.y0 AS y0, h.y1 AS y1,
+      h.s[2 * k].ax AS lx, h.s[2 * k].ay AS ly, h.s[2 * k].run AS lrun, h.s[2 * k + 1].ax AS rx, h.s[2 * k + 1].ay AS ry,
+      h.s[2 * k + 1].run AS rrun, least(h.s[2 * k].x0, h.s[2 * k].x1) AS x0, greatest(h.s[2 * k + 1].x0, h.s[2 * k + 1].x1) AS x1))))"""
+    rows = df.withColumn("_heights", heights).withColumn("_cuts", F.expr(f"CASE WHEN _heights IS NOT NULL THEN {cuts} END"))
+    return rows.withColumn("_parts", F.expr(f"CASE WHEN {apart} THEN {parts} END")).drop("_heights", "_cuts")
+
+
+def share_inside_part(px: str = "px", py: str = "py", vx: str = "vx", vy: str = "vy") -> Column:
+    """Share of the segment p + t*v, 0 <= t <= 1, inside one of ``level_parts``, whose fields are columns.
+
+    The lower height belongs to a part and the upper one does not, so a level segment counts in one part. Plain
+    arithmetic without functions of arrays, which Spark compiles.
+    """
+    low, high = ["0D"], ["1D"]
+    sides = ((f"(({px} - lx) - ({py} - ly) * lrun)", f"({vx} - {vy} * lrun)"),
+             (f"((rx - {px}) + ({py} - ry) * rrun)", f"({vy} * rrun - {vx})"))
+    for room, rate in sides:
+        low.append(f"CASE WHEN {rate} > 0 THEN - {room} / {rate} WHEN {rate} = 0 AND {room} < 0 THEN 2D ELSE 0D END")
+        high.append(f"CASE WHEN {rate} < 0 THEN - {room} / {rate} ELSE 1D END")
+    low.append(f"CASE WHEN {vy} > 0 THEN (y0 - {py}) / {vy} WHEN {vy} < 0 THEN (y1 - {py}) / {vy} WHEN {py} >= y0 AND {py} < y1 THEN 0D ELSE 2D END")
+    high.append(f"CASE WHEN {vy} > 0 THEN (y1 - {py}) / {vy} WHEN {vy} < 0 THEN (y0 - {py}) / {vy} ELSE 1D END")
+    return F.expr(f"greatest(0D, least({', '.join(high)}) - greatest({', '.join(low)}))")
+
+
 def outward_sides(edges: str) -> Column:
     """Edges of a convex ring as a corner (ax, ay) and a normal (nx, ny) that points away from the ring's middle."""
     middle = {c: f"aggregate({edges}, 0D, (s, e) -> s + e.a{c}) / size({edges})" for c in "xy"}

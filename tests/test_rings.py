@@ -103,3 +103,30 @@ def test_centre_of_a_ring_without_area_is_null(spark):
     rows = polygons(spark, {"square": SQUARE, "flat": [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (0.0, 0.0)], "one": [(1.0, 1.0)]})
     found = {r.cell_id: (r.lon, r.lat) for r in layers.polygon_point(rows).collect()}
     assert found == {"square": (1.0, 1.0), "flat": (None, None), "one": (None, None)}
+
+
+def test_parts_of_small_concave_rings_hold_what_the_ring_holds(spark):
+    """The parts of a ring sum to the alternating sum over its edges; rings that cross themselves or are long stay whole."""
+    rng = random.Random(11)
+    shapes = {f"s{i}": star(rng, rng.randint(7, 20)) for i in range(40)}
+    shapes |= {"bow": [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)], "long": star(rng, ring_tests.MAX_PART_EDGES + 1)}
+    rows = polygons(spark, shapes).withColumn("_edges", ring_tests.ring_edges("geometry"))
+    cut = ring_tests.level_parts(rows).cache()
+    assert {r.cell_id for r in cut.filter("_parts IS NULL").select("cell_id").collect()} == {"bow", "long"}
+    legs = spark.createDataFrame([(-2.0, 0.3, 4.0, -0.7), (0.1, -3.0, 0.0, 6.0), (-3.0, 0.2, 6.0, 0.0), (0.2, 0.1, -0.3, 0.2)],
+                                 "px double, py double, vx double, vy double")
+    pairs = cut.filter("_parts IS NOT NULL").crossJoin(legs)
+    whole = {(r.cell_id, r.px): r.share for r in pairs.select("cell_id", "px", ring_tests.share_inside("_edges").alias("share")).collect()}
+    parts = pairs.select("cell_id", "px", "py", "vx", "vy", F.inline("_parts")).select("cell_id", "px", ring_tests.share_inside_part().alias("share"))
+    found = {(r.cell_id, r.px): r.share for r in parts.groupBy("cell_id", "px").agg(F.sum("share").alias("share")).collect()}
+    assert found.keys() == whole.keys()
+    for key, share in whole.items():
+        assert found[key] == pytest.approx(share, abs=1e-9), key
+
+
+def test_ring_check_reads_a_made_ring_once(spark):
+    """The filter on a ring's problem stands above a generator, so a ring that is computed is not made anew for every corner."""
+    corner = [F.struct((F.col("id") + a).alias("lon"), (F.col("id") + b).alias("lat")) for a, b in SQUARE]
+    made = spark.range(1).select(F.col("id").cast("string").alias("cell_id"), F.array(*corner).alias("geometry"))
+    plan = ring_tests.usable_rings(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("struct(lon") == len(SQUARE)
