@@ -70,6 +70,17 @@ def meets_box(edges: str, box: tuple[str, str, str, str]) -> Column:
     return F.expr(crossed) | holds_point(edges, west, south)
 
 
+def spans_ring(box: tuple[str, str, str, str], extent: tuple[str, str, str, str]) -> Column:
+    """True where a box meets the extent (west, east, south, north) of a ring and reaches over all of it one way.
+
+    A ring is in one piece, so such a box meets it; most wide boxes are told from this without a look at the edges.
+    """
+    west, south, east, north = (F.col(c) for c in box)
+    ring_west, ring_east, ring_south, ring_north = (F.col(c) for c in extent)
+    meets = (west <= ring_east) & (east >= ring_west) & (south <= ring_north) & (north >= ring_south)
+    return meets & (((west <= ring_west) & (east >= ring_east)) | ((south <= ring_south) & (north >= ring_north)))
+
+
 def share_inside(edges: str, px: str = "px", py: str = "py", vx: str = "vx", vy: str = "vy") -> Column:
     """Share of the segment p + t*v, 0 <= t <= 1, inside any simple ring.
 

@@ -130,3 +130,12 @@ def test_ring_check_reads_a_made_ring_once(spark):
     made = spark.range(1).select(F.col("id").cast("string").alias("cell_id"), F.array(*corner).alias("geometry"))
     plan = ring_tests.usable_rings(made)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("struct(lon") == len(SQUARE)
+
+
+def test_box_over_all_of_a_ring_one_way_meets_it(spark):
+    """Boxes that reach over a U from side to side or from bottom to top are told without its edges; others are left open."""
+    boxes = {"across": (-1.0, 2.0, 5.0, 2.1), "upright": (1.9, -1.0, 2.1, 5.0), "gap": (1.5, 2.5, 2.5, 3.0), "above": (-1.0, 5.0, 5.0, 6.0)}
+    rows = spark.createDataFrame([(k, *v, 0.0, 4.0, 0.0, 4.0) for k, v in boxes.items()],
+                                 "name string, west double, south double, east double, north double, rw double, re double, rs double, rn double")
+    told = rows.filter(ring_tests.spans_ring(("west", "south", "east", "north"), ("rw", "re", "rs", "rn")))
+    assert {r["name"] for r in told.collect()} == {"across", "upright"}
