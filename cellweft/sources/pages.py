@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from cellweft.constants import MAX_PAGES
 from cellweft.errors import DataError
+from cellweft.session import scratch_path
 
 # Variants keep odd types inside a page from spoiling the whole page.
 PAGE_SCHEMA = T.StructType([
@@ -105,12 +106,16 @@ def page_audit(pages: DataFrame, page_size: int, max_pages: int = MAX_PAGES) ->
     """Per source: pages, features, whether any page was cut off, pages that repeat the one
     before, whether a page follows the last one, and whether the page cap was passed.
 
-    Consecutive pages meet in an equi-join on the page number, not in one long window.
+    Consecutive pages meet in an equi-join on the page number, not in one long window. The pages are parsed once: their
+    facts, a short row each, are written for both sides of the join.
     """
     facts = pages.select(
         "source", "arrival_page", "exceeded", F.coalesce(F.size("items"), F.lit(0)).alias("features"),
         F.sha2(F.to_json(F.struct(F.col("items").alias("f"))), 256).alias("digest"),
     )
+    path = scratch_path(pages.sparkSession, "page-facts")
+    facts.write.parquet(path)
+    facts = pages.sparkSession.read.parquet(path)
     before = facts.select(
         "source", (F.col("arrival_page") + 1).alias("arrival_page"), F.col("digest").alias("digest_before"),
         (~F.col("exceeded") | (F.col("features") < page_size)).alias("was_last"),
