@@ -248,3 +248,9 @@ def test_salted_join_splits_keys_crowded_on_the_right(spark):
     want = left.join(right, "k")
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
     assert sorted(got.columns) == ["a", "b", "k"]
+
+
+def test_lines_are_dealt_before_they_are_cut(spark):
+    """Lines of one file are not cut in one task: a shuffle of whole lines stands below the list of their legs."""
+    plan = layers.line_pieces(lines(spark, [(-75.7, 45.4), (-75.6, 45.4)]), 500.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("RepartitionByExpression") > plan.rindex("explode")
