@@ -1,6 +1,10 @@
 """Quality rules: plain counts, and character n-gram perplexity by language.
 
-The language model is modified Kneser-Ney of order four over characters. A
+Two models judge a text: one of exact grams (``exact_grams``: every code unit as it stands, models of any
+size, ``exact_loss``), and one of folded characters, described here (``loss``), which tells how
+the text is built even where its exact grams are rare. A text must lie inside the bands of both.
+
+The folded model is modified Kneser-Ney of order four over characters. A
 character folds the more the further it stands from the predicted one: 7 bits for
 the predicted character, then 6, 5 and 3. The low bits of a gram are then its own
 suffix gram, and all bits above the lowest 7 are its context, so Kneser-Ney's
@@ -18,8 +22,8 @@ the DENSE largest models of a round; the others are looked up in their sorted ar
 
 Bands: per language, documents that pass the plain rules form a histogram of
 log-perplexity per word. The band reaches ``width`` times the distance from the median to the
-10 % and 90 % quantiles, at least ``least`` to either side; outside it a document is
-rejected. A null language is a language of its own.
+10 % and 90 % quantiles, at least ``least`` to either side; a document outside either
+model's band is rejected. A null language is a language of its own.
 
 Defined results: a null or empty text has no words, all counts 0 and no perplexity, and
 fails the plain rules. Repeated rows are counted and judged each time.
@@ -33,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cellweft.llm import exact_grams as exact
 from cellweft.llm.common import small_side, tune, written
 from cellweft.llm.words import hash_words, split_words, windows
 
@@ -270,8 +275,10 @@ def total_loss(text: str | None, table: np.ndarray | None, orders: list | None =
     return -float(log_lookup(orders, seen)[inverse].sum(dtype=np.float64))
 
 
-def measure(docs: DataFrame, models: DataFrame, text_col="text", lang_col="lang", keep_text=False) -> DataFrame:
-    """A written copy of the given columns (the text if asked for), with those of COUNTS, ``loss`` and ``base_failed``."""
+def measure(docs: DataFrame, models: DataFrame, costs: DataFrame, text_col="text", lang_col="lang", keep_text=False) -> DataFrame:
+    """A written copy of the given columns (the text if asked for), with those of COUNTS, ``loss``, ``exact_loss`` and ``base_failed``."""
+    hot, rare = exact.hot_and_rare(costs)
+    known = docs.sparkSession.sparkContext.broadcast(exact.gathered(hot))
     rounds = written(rounds_of(models), "rounds")
     last = rounds.agg(F.max("round")).first()[0] or 0
     placed, told = docs, models.withColumn("round", F.lit(0))
@@ -285,14 +292,21 @@ def measure(docs: DataFrame, models: DataFrame, text_col="text", lang_col="lang"
     for k in range(last + 1):
         rows = placed.filter(F.col("round") == k).select(*names) if last else placed
         shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, gathered(told.filter(F.col("round") == k))))
-        part = written(measure_round(rows, shared, text_col, lang_col, keep_text), "measured")
+        part = written(measure_round(rows, shared, known, rare is not None, text_col, lang_col, keep_text), "measured")
         shared.destroy()
+        if rare is not None:
+            part = written(exact.settle(part, rare, lang_col), "measured")
         out = part if out is None else out.unionByName(part)
-    return out
+    known.destroy()
+    exact_loss = F.col("cost") / exact.SCALE / F.greatest("n_words", F.lit(1))
+    return out.withColumn("exact_loss", exact_loss).drop("cost")
+
 
+def measure_round(docs: DataFrame, shared, known, some_rare: bool, text_col: str, lang_col: str, keep_text: bool) -> DataFrame:
+    """``measure`` for documents whose languages' models are in ``shared``, a broadcast (name, models).
 
-def measure_round(docs: DataFrame, shared, text_col: str, lang_col: str, keep_text: bool) -> DataFrame:
-    """``measure`` for documents whose languages' models are in ``shared``, a broadcast (name, models)."""
+    ``cost`` adds up the exact grams in the broadcast ``known``. The others of a row stay beside it if ``some_rare``, or cost FLOOR.
+    """
 
     def run(batches):
         name, models = shared.value
@@ -305,10 +319,19 @@ def measure_round(docs: DataFrame, shared, text_col: str, lang_col: str, keep_te
             for column, values in zip(COUNTS, zip(*counts) if counts else [[]] * 5):
                 out[column] = np.array(values, np.int64)
             out["loss"] = np.array(losses, np.float64) / np.maximum(out["n_words"], 1)
+            paid = [exact.cost_of(text, known.value.get(lang)) for text, lang in zip(pdf[text_col], pdf[lang_col])]
+            if some_rare:
+                out["cost"] = pd.array([cost for cost, _, _ in paid], "Int64")
+                out["rare_grams"], out["rare_n"] = [[p[k] for p in paid] for k in (1, 2)]
+            else:
+                out["cost"] = pd.array([cost if cost is None else cost + exact.FLOOR * int(n.sum()) for cost, _, n in paid], "Int64")
             yield out
 
     kept = [f"`{name}` {kind}" for name, kind in docs.dtypes if keep_text or name != text_col]
-    counted = docs.mapInPandas(run, ", ".join([*kept, *[f"{c} long" for c in COUNTS], "loss double"]))
+    rare = ["rare_grams array<long>", "rare_n array<long>"] if some_rare else []
+    counted = docs.mapInPandas(run, ", ".join([*kept, *[f"{c} long" for c in COUNTS], "loss double", "cost long", *rare]))
+    if some_rare:
+        counted = counted.withColumn("row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumns({"base_failed": failed, "loss": F.when(~F.isnan("loss"), F.col("loss"))})
 
@@ -323,14 +346,14 @@ def start_of(bin_):
     return F.when(bin_ <= BINS, bin_ * BIN).otherwise(BIN * BINS * F.exp(bin_ / BINS - 1))
 
 
-def bands(measured: DataFrame, width: float = 6.0, least: float = 1.0, lang_col="lang") -> DataFrame:
+def bands(measured: DataFrame, width: float = 6.0, least: float = 1.0, lang_col="lang", loss_col="loss") -> DataFrame:
     """(lang, low, high) of log-perplexity per word, from a histogram.
 
     Its rows a language grow with the logarithm of the largest loss: a text of 2**31
     characters in 50 words falls into bin 70,049.
     """
-    passed = measured.filter(~F.col("base_failed") & F.col("loss").isNotNull())
-    histogram = passed.groupBy(F.col(lang_col).alias("lang"), bin_of(F.col("loss")).alias("bin")).count()
+    passed = measured.filter(~F.col("base_failed") & F.col(loss_col).isNotNull())
+    histogram = passed.groupBy(F.col(lang_col).alias("lang"), bin_of(F.col(loss_col)).alias("bin")).count()
     quantiles = F.percentile(start_of(F.col("bin")), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.col("count"))
     q = histogram.groupBy("lang").agg(quantiles.alias("q"))
     low, middle, high = (F.col("q")[i] for i in range(3))
@@ -340,18 +363,21 @@ def bands(measured: DataFrame, width: float = 6.0, least: float = 1.0, lang_col=
 
 
 def judge(measured: DataFrame, width: float = 6.0, least: float = 1.0, lang_col="lang") -> DataFrame:
-    """``measured`` with ``kept``: passes the plain rules and lies inside its language's band."""
-    limits = small_side(bands(measured, width, least, lang_col), "bands")
-    told = measured.join(limits, F.col(lang_col).eqNullSafe(F.col("band_lang")), "left")
-    inside = F.coalesce((F.col("loss") >= F.col("low")) & (F.col("loss") <= F.col("high")), F.lit(True))
-    return told.withColumn("kept", ~F.col("base_failed") & inside).drop("band_lang", "low", "high")
+    """``measured`` with ``kept``: passes the plain rules and lies inside its language's band of either loss."""
+    told = measured.withColumn("kept", ~F.col("base_failed"))
+    for loss in ("loss", "exact_loss"):
+        limits = small_side(bands(measured, width, least, lang_col, loss), "bands")
+        told = told.join(limits, F.col(lang_col).eqNullSafe(F.col("band_lang")), "left")
+        inside = F.coalesce((F.col(loss) >= F.col("low")) & (F.col(loss) <= F.col("high")), F.lit(True))
+        told = told.withColumn("kept", F.col("kept") & inside).drop("band_lang", "low", "high")
+    return told
 
 
 def rate_documents(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """(id, lang, counts, base_failed, loss, kept), one row per document."""
+    """(id, lang, counts, base_failed, loss, exact_loss, kept), one row per document."""
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return judge(measure(rows, train(rows)))
+    return judge(measure(rows, train(rows), exact.exact_costs(rows)))
 
 
 def keep_good(docs: DataFrame, text_col="text", lang_col="lang") -> DataFrame:
@@ -361,6 +387,6 @@ def keep_good(docs: DataFrame, text_col="text", lang_col="lang") -> DataFrame:
     inner = {c: f"c{k}" for k, c in enumerate(names)}
     rows = docs.toDF(*inner.values())
     text, lang = inner[text_col], inner[lang_col]
-    models = train(rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")))
-    measured = measure(rows, models, text, lang, keep_text=True)
+    taught = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    measured = measure(rows, train(taught), exact.exact_costs(taught), text, lang, keep_text=True)
     return judge(measured, lang_col=lang).filter("kept").select(*inner.values()).toDF(*names)

@@ -66,7 +66,7 @@ def op6_vantage_trees(spark, folder):
 @query("op7_perplexity")
 def op7_perplexity(spark, folder):
     rated = perplexity.rate_documents(table(spark, folder, "documents"))
-    return rated.select(F.col("id").alias("doc_id"), *perplexity.COUNTS, "base_failed", "kept", "loss")
+    return rated.select(F.col("id").alias("doc_id"), *perplexity.COUNTS, "base_failed", "kept", "loss", "exact_loss")
 
 
 @query("op8_quote_links")
