@@ -148,6 +148,43 @@ def share_inside_part(px: str = "px", py: str = "py", vx: str = "vx", vy: str =
     return F.expr(f"greatest(0D, least({', '.join(high)}) - greatest({', '.join(low)}))")
 
 
+#: Simple rings of at most this many edges are held corner by corner in columns, so that a pair is tried in one compiled row.
+MAX_CORNERS = 8
+
+
+def with_corners(df: DataFrame, wanted: str, edges: str = "_edges") -> DataFrame:
+    """Add the corners (cx0, cy0), (cx1, cy1), ... of simple rings of at most MAX_CORNERS edges, counter-clockwise.
+
+    A ring with fewer edges repeats its last corner, which adds edges without a length. Null where ``wanted`` is false.
+    """
+    area = f"""aggregate({edges}, 0D, (s, e) -> s + (e.ax - {edges}[0].ax) * (e.by - {edges}[0].ay)
+      - (e.bx - {edges}[0].ax) * (e.ay - {edges}[0].ay))"""
+    turned = f"CASE WHEN {wanted} AND size({edges}) <= {MAX_CORNERS} THEN IF({area} < 0, reverse({edges}), {edges}) END"
+    rows = df.withColumn("_turned", F.expr(turned))
+    corner = "coalesce(get(_turned, {k}), element_at(_turned, -1)).a{c}"
+    return rows.withColumns({f"c{c}{k}": F.expr(corner.format(k=k, c=c)) for k in range(MAX_CORNERS) for c in "xy"}).drop("_turned")
+
+
+def with_corner_sides(df: DataFrame, piece: str, px: str = "px", py: str = "py", vx: str = "vx", vy: str = "vy") -> DataFrame:
+    """Add how far each corner of ``with_corners`` lies to the left of the segment p + t*v, and whether it does, under names of ``piece``."""
+    side = {f"_{piece}_side{k}": F.expr(f"{vx} * (cy{k} - {py}) - {vy} * (cx{k} - {px})") for k in range(MAX_CORNERS)}
+    return df.withColumns(side).withColumns({f"_{piece}_left{k}": F.expr(f"_{piece}_side{k} > 0") for k in range(MAX_CORNERS)})
+
+
+def share_inside_corners(piece: str, px: str = "px", py: str = "py") -> Column:
+    """Share of the segment p + t*v, 0 <= t <= 1, inside a simple ring, from the columns of ``with_corner_sides``.
+
+    The segment's line leaves a counter-clockwise ring where an edge comes from its right to its left and enters it where one
+    goes from left to right: places left less places entered, each cut to the segment. A point has no share.
+    """
+    places = []
+    for a in range(MAX_CORNERS):
+        b = (a + 1) % MAX_CORNERS
+        place = f"((cx{a} - {px}) * (cy{b} - {py}) - (cy{a} - {py}) * (cx{b} - {px})) / (_{piece}_side{b} - _{piece}_side{a})"
+        places.append(f"IF(_{piece}_left{a} = _{piece}_left{b}, 0D, IF(_{piece}_left{a}, -1D, 1D) * least(1D, greatest(0D, {place})))")
+    return F.expr(f"greatest(0D, {' + '.join(places)})")
+
+
 def outward_sides(edges: str) -> Column:
     """Edges of a convex ring as a corner (ax, ay) and a normal (nx, ny) that points away from the ring's middle."""
     middle = {c: f"aggregate({edges}, 0D, (s, e) -> s + e.a{c}) / size({edges})" for c in "xy"}

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from cellweft.constants import EXTENT
 from cellweft.errors import DataError
 from cellweft.functions import geo
 from cellweft.operators import joins, lattice, layers
+from cellweft.operators import rings as rings_of
+from cellweft.plans import inputs
 
 BOX_RING = [(-75.71, 45.41), (-75.69, 45.41), (-75.69, 45.43), (-75.71, 45.43), (-75.71, 45.41)]
 
@@ -254,3 +257,76 @@ def test_lines_are_dealt_before_they_are_cut(spark):
     """Lines of one file are not cut in one task: a shuffle of whole lines stands below the list of their legs."""
     plan = layers.line_pieces(lines(spark, [(-75.7, 45.4), (-75.6, 45.4)]), 500.0)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("RepartitionByExpression") > plan.rindex("explode")
+
+
+def u_rings(seed, n):
+    """Closed U shapes of random size near one place, every second one clockwise."""
+    rng = np.random.default_rng(seed)
+    rings = []
+    for i in range(n):
+        x, y, w, h = rng.uniform(-75.72, -75.70), rng.uniform(45.40, 45.42), rng.uniform(0.02, 0.06), rng.uniform(0.02, 0.05)
+        ring = [(float(x + w * a / 6), float(y + h * b / 3)) for a, b in (*inputs.U_CORNERS, inputs.U_CORNERS[0])]
+        rings.append(ring[::-1] if i % 2 else ring)
+    return rings
+
+
+def near_paths(seed, n, corners=3, step=0.004):
+    rng = np.random.default_rng(seed)
+    starts = zip(rng.uniform(-75.71, -75.68, n), rng.uniform(45.41, 45.43, n), strict=True)
+    return [[(float(x + a), float(y + b)) for a, b in np.cumsum(rng.uniform(-step, step, (corners, 2)), axis=0)] for x, y in starts]
+
+
+def shuffled_rows(plan):
+    """Rows that each exchange of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+    below = plan.children()
+    return own + [n for i in range(below.length()) for n in shuffled_rows(below.apply(i))]
+
+
+def test_pairs_of_lines_and_concave_cells_are_counted_where_they_are_made(spark):
+    """Cells that overlap meet the same lines many times over: no exchange writes a row per pair."""
+    found = layers.line_density_on_polygons(lines(spark, *near_paths(1, 250)), polygons(spark, *u_rings(2, 60)))
+    pairs = sum(r["line_count_water"] for r in found.collect())
+    rows = shuffled_rows(found._jdf.queryExecution().executedPlan())
+    assert pairs > 5_000 and len(rows) > 2 and max(rows) < pairs / 2
+
+
+def test_step_of_pairs_is_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes; an interpreted pair costs some 25 times as much."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = layers.line_density_on_polygons(lines(spark, *near_paths(1, 250)), polygons(spark, *u_rings(2, 60))).select("*")
+        code = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8_000
+
+
+def test_repeated_and_missing_ids_beside_rings_of_every_kind(spark):
+    """Lines and cells that share an id or have none, long legs, points and gaps, against a join of every piece with every ring."""
+    rng = np.random.default_rng(3)
+    turns = np.sort(rng.uniform(0, 2 * np.pi, 12))
+    star = [(float(-75.69 + r * np.cos(a)), float(45.42 + r * np.sin(a) / 2)) for a, r in zip(turns, rng.uniform(0.005, 0.03, 12), strict=True)]
+    rings = [*u_rings(4, 12), BOX_RING, [*star, star[0]]]
+    names = [f"p{i}" for i in range(9)] + ["p0", None, None, "box", "p1"]
+    shapes = spark.createDataFrame(list(zip(names, rings, strict=True)), "cell_id string, geometry array<struct<lon:double,lat:double>>")
+    paths = [*near_paths(5, 40), *near_paths(6, 10, corners=6, step=0.02), *near_paths(7, 3, corners=1), [], [(-75.8, 45.41), (-75.6, 45.43)],
+             [(-75.70, 45.42), None, (-75.69, 45.43), (-75.69, 45.43), (-75.68, 45.40), (-75.60, 45.41)]]
+    ids = [None if i % 9 == 4 else i % 30 for i in range(len(paths))]
+    df = spark.createDataFrame([(k, path) for k, path in zip(ids, paths, strict=True)], "objectid bigint, geometry array<struct<lon:double,lat:double>>")
+    edges = layers.metric_polygons(shapes).select("cell_id", "_edges")
+    met = layers.line_pieces(df, 500.0).crossJoin(edges).select("cell_id", "objectid", (rings_of.share_inside("_edges") * F.sqrt(
+        F.col("vx") ** 2 + F.col("vy") ** 2) / 1000).alias("km")).filter("km > 1e-12")
+    want = {r[0]: (r[1], r[2]) for r in met.groupBy("cell_id").agg(F.sum("km"), F.count_distinct("objectid")).collect()}
+    got = {r[0]: (r[1], r[2]) for r in layers.line_density_on_polygons(df, shapes).collect()}
+    assert got.keys() == want.keys() and None in got
+    for name, (km, count) in want.items():
+        assert got[name][0] == pytest.approx(km, abs=1e-9) and got[name][1] == count, name
+    assert layers.line_density_on_polygons(df.limit(0), shapes).isEmpty() and layers.line_density_on_polygons(df, shapes.limit(0)).isEmpty()
