@@ -153,20 +153,25 @@ MAX_CORNERS = 8
 
 
 def with_corners(df: DataFrame, wanted: str, edges: str = "_edges") -> DataFrame:
-    """Add the corners (cx0, cy0), (cx1, cy1), ... of simple rings of at most MAX_CORNERS edges, counter-clockwise.
+    """Add ``_corners``: the corners (x, y) of a simple ring of at most MAX_CORNERS edges, counter-clockwise.
 
     A ring with fewer edges repeats its last corner, which adds edges without a length. Null where ``wanted`` is false.
     """
     area = f"""aggregate({edges}, 0D, (s, e) -> s + (e.ax - {edges}[0].ax) * (e.by - {edges}[0].ay)
       - (e.bx - {edges}[0].ax) * (e.ay - {edges}[0].ay))"""
-    turned = f"CASE WHEN {wanted} AND size({edges}) <= {MAX_CORNERS} THEN IF({area} < 0, reverse({edges}), {edges}) END"
-    rows = df.withColumn("_turned", F.expr(turned))
-    corner = "coalesce(get(_turned, {k}), element_at(_turned, -1)).a{c}"
-    return rows.withColumns({f"c{c}{k}": F.expr(corner.format(k=k, c=c)) for k in range(MAX_CORNERS) for c in "xy"}).drop("_turned")
+    full = f"concat({edges}, array_repeat(element_at({edges}, -1), {MAX_CORNERS} - size({edges})))"
+    corners = f"transform({full}, e -> struct(e.ax AS x, e.ay AS y))"
+    return df.withColumn("_corners", F.expr(
+        f"CASE WHEN {wanted} AND size({edges}) <= {MAX_CORNERS} THEN IF({area} < 0, reverse({corners}), {corners}) END"))
+
+
+def corner_columns() -> list[Column]:
+    """The corners of ``with_corners`` as columns (cx0, cy0), (cx1, cy1), ..."""
+    return [F.expr(f"get(_corners, {k}).{c}").alias(f"c{c}{k}") for k in range(MAX_CORNERS) for c in "xy"]
 
 
 def with_corner_sides(df: DataFrame, piece: str, px: str = "px", py: str = "py", vx: str = "vx", vy: str = "vy") -> DataFrame:
-    """Add how far each corner of ``with_corners`` lies to the left of the segment p + t*v, and whether it does, under names of ``piece``."""
+    """Add how far each of ``corner_columns`` lies to the left of the segment p + t*v, and whether it does, under names of ``piece``."""
     side = {f"_{piece}_side{k}": F.expr(f"{vx} * (cy{k} - {py}) - {vy} * (cx{k} - {px})") for k in range(MAX_CORNERS)}
     return df.withColumns(side).withColumns({f"_{piece}_left{k}": F.expr(f"_{piece}_side{k} > 0") for k in range(MAX_CORNERS)})
 

@@ -149,10 +149,10 @@ def test_corners_of_small_rings_give_the_share_of_their_edges(spark):
     shapes |= {f"{name}r": ring[::-1] for name, ring in shapes.items()} | {"u": U_SHAPE, "long": star(rng, ring_tests.MAX_CORNERS + 1)}
     edges = polygons(spark, shapes).withColumn("_edges", ring_tests.ring_edges("geometry"))
     rows = ring_tests.with_corners(ring_tests.level_parts(edges), "_parts IS NOT NULL").cache()
-    without = {r.cell_id for r in rows.filter("cx0 IS NULL").collect()}
+    without = {r.cell_id for r in rows.filter("_corners IS NULL").collect()}
     assert "long" in without and "u" not in without and len(without) < len(shapes) / 2
     legs = spark.createDataFrame([(-2.0, 0.3, 4.0, -0.7), (0.1, -3.0, 0.0, 6.0), (-3.0, 0.2, 6.0, 0.0), (0.2, 0.1, -0.3, 0.2), (0.05, 0.0, 0.0, 0.0)],
                                  "px double, py double, vx double, vy double")
-    sided = ring_tests.with_corner_sides(rows.filter("cx0 IS NOT NULL").crossJoin(legs), "leg")
+    sided = ring_tests.with_corner_sides(rows.filter("_corners IS NOT NULL").select("*", *ring_tests.corner_columns()).crossJoin(legs), "leg")
     for r in sided.select("cell_id", "vx", ring_tests.share_inside_corners("leg").alias("got"), ring_tests.share_inside("_edges").alias("want")).collect():
         assert r.got == pytest.approx(r.want, abs=1e-9), (r.cell_id, r.vx)
